@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import quality_rules
+from lakeloom.llm import quality_rules, source_mix, token_files
 
 _QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op7_source_mix": source_mix.op7_source_mix,
+    "op10_token_files": token_files.op10_token_files,
 }
 _ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op7_source_mix": source_mix.ORACLE,
 }
 
 
