@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import decontamination, quality_rules, source_mix, token_counts, token_files
+from lakeloom.llm import decontamination, ngram_join, quality_rules, source_mix, token_counts, token_files
 
 _QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_source_mix": source_mix.op7_source_mix,
     "op10_token_files": token_files.op10_token_files,
 }
 _ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op4_ngram_join": ngram_join.ORACLE,
     "op7_source_mix": source_mix.ORACLE,
 }
 
