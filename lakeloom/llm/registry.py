@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import decontamination, ngram_join, quality_rules, source_mix, token_counts, token_files
+from lakeloom.llm import decontamination, language_id, ngram_join, quality_rules, source_mix, token_counts, token_files
 
 _QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -14,6 +14,7 @@ _QUERIES = {
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_source_mix": source_mix.op7_source_mix,
+    "op9_language_id": language_id.op9_language_id,
     "op10_token_files": token_files.op10_token_files,
 }
 _ORACLES = {
