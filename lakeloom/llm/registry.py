@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import decontamination, language_id, ngram_join, quality_rules, source_mix, token_counts, token_files
+from lakeloom.llm import decontamination, language_id, license_scan, ngram_join, quality_rules, source_mix, token_counts, token_files
 
 _QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_token_counts": token_counts.op2_token_counts,
     "op4_ngram_join": ngram_join.op4_ngram_join,
+    "op5_license_scan": license_scan.op5_license_scan,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_source_mix": source_mix.op7_source_mix,
     "op9_language_id": language_id.op9_language_id,
