@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import decontamination, language_id, license_scan, ngram_join, quality_rules, source_mix, token_counts, token_files
+from lakeloom.llm import decontamination, html_text, language_id, license_scan, ngram_join, quality_rules, source_mix, token_counts, token_files
 
 _QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,6 +15,7 @@ _QUERIES = {
     "op5_license_scan": license_scan.op5_license_scan,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_source_mix": source_mix.op7_source_mix,
+    "op8_html_text": html_text.op8_html_text,
     "op9_language_id": language_id.op9_language_id,
     "op10_token_files": token_files.op10_token_files,
 }
