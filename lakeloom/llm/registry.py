@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import decontamination, html_text, language_id, license_scan, ngram_join, quality_rules, source_mix, token_counts, token_files
+import corpus_pipeline
+from lakeloom.llm import decontamination, html_text, language_id, license_scan, ngram_join, quality_classifier, quality_rules, source_mix, token_counts, token_files
 
 _QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_quality_classifier": quality_classifier.op3_quality_classifier,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_license_scan": license_scan.op5_license_scan,
     "op6_decontamination": decontamination.op6_decontamination,
@@ -19,8 +21,10 @@ _QUERIES = {
     "op9_language_id": language_id.op9_language_id,
     "op10_token_files": token_files.op10_token_files,
 }
+_QUERIES["pipeline"] = corpus_pipeline.run
 _ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op3_quality_classifier": quality_classifier.ORACLE,
     "op4_ngram_join": ngram_join.ORACLE,
     "op7_source_mix": source_mix.ORACLE,
 }
@@ -31,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return _ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
