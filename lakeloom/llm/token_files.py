@@ -36,7 +36,7 @@ END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 NULL_ID = np.iinfo(np.int64).min
 #: Words whose ids a task keeps at once.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
@@ -48,29 +48,65 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
 class WordEncoder:
     """Encodes texts as the tokenizer would, each distinct word once.
 
-    Only for tokenizers that drop white space and never join across it, as
-    ``word_bpe_49k.json`` does: a text's ids are then those of its words.
+    Only for tokenizers that lower-case, drop white space, never join across it
+    and mark the last token of each run of letters, as ``word_bpe_49k.json``
+    does: a text's ids are then those of its words, closing marks are a run of
+    their own, and words of letters alone can be encoded many at a time.
     """
 
+    #: Closing marks: a run of them after letters is encoded alone.
+    MARKS = b".,;:!?#*$%&|()[]{}=+/-_~"
+    #: Words of letters that are encoded in one call.
+    TOGETHER = 100
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
+    def _words(self, text: str | None) -> list[bytes]:
+        """Words between ASCII white space, their ASCII letters lower-cased unless that could make a special token."""
+        raw = (text or "").encode()
+        return raw.split() if b"<|" in raw else raw.lower().split()
+
+    def _learn(self, new: list[bytes]) -> None:
+        known, marks = self.known, self.MARKS
+        cut = [w.rstrip(marks) for w in new]
+        stems = sorted({w for w in cut if w and w not in known})
+        letters = [w for w, t in zip(stems, b" ".join(stems).decode().split(" ")) if t.isalpha()]
+        size, end_of = self.dtype.itemsize, self.ends_word
+        groups = [letters[i : i + self.TOGETHER] for i in range(0, len(letters), self.TOGETHER)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, self.dtype)
+            ends = ((np.flatnonzero(end_of[ids]) + 1) * size).tolist()
+            if len(ends) == len(group):
+                raw = ids.tobytes()
+                known.update(zip(group, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+        marked = [(w, stem) for w, stem in zip(new, cut) if stem in known and len(w) > len(stem) and stem.decode().isalpha()]
+        tails = list({w[len(stem) :] for w, stem in marked}.difference(known))
+        self._learn_plainly(tails)
+        known.update([(w, known[stem] + known[w[len(stem) :]]) for w, stem in marked])
+        self._learn_plainly([w for w in new if w not in known])
+
+    def _learn_plainly(self, words: list[bytes]) -> None:
+        coded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        self.known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(words, coded))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes of ``dtype``."""
-        words = [t.encode().split() if t else [] for t in texts]  # bytes split at ASCII white space only
-        new = set().union(*words) - self.known.keys()
+        words = [self._words(t) for t in texts]
+        all_words = set().union(*words)
+        new = list(all_words.difference(self.known))
         if len(self.known) + len(new) > CACHED_WORDS:
             self.known.clear()
-            new = set().union(*words)
-        if new:
-            ask = list(new)
-            got = self.tokenizer.encode_batch_fast([w.decode() for w in ask], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(ask, got))
+            new = list(all_words)
+        self._learn(new)
         return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
 
 
