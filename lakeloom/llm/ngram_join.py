@@ -10,14 +10,17 @@ matches, so each step lengthens only what still looks costly:
    with any other set have no link (most of a corpus ends here).
 2. What remains, whole sets: a set needs t(n) shingles that occur elsewhere.
 3. What remains gets a prefix by its estimated candidates (mean number of other
-   sets per shingle); a pair is verified on its whole sets if it shares the
-   smaller l of the two.
-
-Equal sets are one node from the start, so copies cost nothing.  A shingle with
-many sets never emits all their pairs: its sets are compared with a few hubs,
-links found are contracted, and only shingles whose sets still lie in several
-components go on with other hubs.  Pairs that are left when that stops paying
-are compared one by one, so no link between components is lost.
+   sets per shingle), the whole set if one of its shingles is in many sets; a
+   pair needs the smaller l of the two in shared prefix shingles, and is then
+   verified on its whole sets.
+
+Equal sets are one node from the start, so copies cost nothing.  A shingle in
+many sets (a heavy one) never emits all their pairs.  Pairs are met through light
+shingles; the heavy ones they may share besides are bounded by the number each
+set has.  Pairs that share heavy shingles only need three quarters of both sets
+to be heavy: such sets are first compared with a few hubs and contracted, then
+those of one hub are compared across components, if their bound allows a link.
+No link between components is lost.
 
 Nodes are 64-bit digests of the sets.  Cases: null and empty texts are empty sets
 that link with nothing; a text of fewer words is one shingle; each row links by
@@ -45,14 +48,10 @@ SIMILARITY = 75
 #: Percent of a set that step 1 adds to the prefix.
 FIRST_SHARE = 10
 #: Step 3: up to so many other sets per shingle, so many percent are added.
-SHARES = ((4, 1), (16, 5), (64, 10), (None, 20))
-#: Sets of one shingle up to which all its pairs are emitted, and hubs beyond.
+SHARES = ((4, 1), (16, 5), (None, 10))
+#: Sets of one shingle up to which all its pairs are emitted; beyond, hubs it is compared with.
 FEW_SETS = 16
 HUBS = 4
-#: Rounds of hubs before the pairs that are left are compared one by one, and
-#: the rows per posting at which that is done at once.
-MAX_ROUNDS = 12
-LEFT_PER_POSTING = 4
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -152,6 +151,15 @@ def _shared(postings: DataFrame) -> DataFrame:
     return once.withColumn("df", F.count("*").over(by)).where("df > 1")
 
 
+def _still_possible(shared: DataFrame, similarity: int) -> DataFrame:
+    """Sets with enough shared shingles for a link: node, and the ``share`` its prefix is lengthened by."""
+    counts = shared.groupBy("node", "n").agg(F.count("*").alias("c"), F.sum(F.col("df") - 1).alias("cost"), F.max("df").alias("most"))
+    share = F.lit(SHARES[-1][1])
+    for most, percent in reversed(SHARES[:-1]):
+        share = F.when(F.col("cost") < most * F.col("c"), percent).otherwise(share)
+    return counts.where(f"c >= {_overlap('n', similarity)}").select("node", F.when(F.col("most") > FEW_SETS, 100).otherwise(share).alias("share"))
+
+
 def _documents_of(docs: DataFrame, nodes: DataFrame, chosen: DataFrame) -> DataFrame:
     """One document of each chosen node: (doc_id, text)."""
     ids = materialise(nodes.where("doc_id IS NOT NULL").join(chosen.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "chosen")
@@ -172,23 +180,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return both.where(f"100 * _both >= {similarity} * (_nx + _ny - _both)").select("x", "y")
 
 
-def _hub_pairs(heavy: DataFrame, seed: int, similarity: int) -> DataFrame:
-    """Pairs of each set with the hubs of its shingles, across components.
-
-    The order of hubs is one for all shingles, so sets that share many shingles
-    meet the same few hubs.
-    """
-    order = F.xxhash64("node", F.lit(seed))
-    hubs = heavy.withColumn("_rank", F.row_number().over(W.partitionBy("token").orderBy(order, "node"))).where(F.col("_rank") <= HUBS)
-    hubs = hubs.select("token", F.col("node").alias("_hub"), F.col("n").alias("_hub_n"), F.col("label").alias("_hub_label"))
-    met = heavy.join(hubs, "token").where("label <> _hub_label").where(_sizes_fit("n", "_hub_n", similarity))
-    return met.select(*_pair("node", "_hub")).distinct()
-
-
 def _sizes_fit(m: str, n: str, similarity: int) -> str:
     return f"100 * least({m}, {n}) >= {similarity} * greatest({m}, {n})"
 
 
+def _may_link(overlap: str, m: str, n: str, similarity: int) -> str:
+    return f"{100 + similarity} * ({overlap}) >= {similarity} * ({m} + {n})"
+
+
 def link_components(docs: DataFrame, similarity: int = SIMILARITY, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     k = shingle_words
@@ -199,48 +198,47 @@ def link_components(docs: DataFrame, similarity: int = SIMILARITY, shingle_words
     # A partner may be smaller: its l, of its size, is what both share at least.
     first = first.where(f"c >= greatest(1, ({FIRST_SHARE} * ({_overlap('n', similarity)}) + 99) div 100)")
     second = _shared(_postings(_documents_of(rows, nodes, materialise(first.select("node"), "first")), 100, similarity, k))
-    second = second.groupBy("node", "n").agg(F.count("*").alias("c"), F.sum(F.col("df") - 1).alias("cost")).where(f"c >= {_overlap('n', similarity)}")
-    share = F.lit(SHARES[-1][1])
-    for most, percent in reversed(SHARES[:-1]):
-        share = F.when(F.col("cost") < most * F.col("c"), percent).otherwise(share)
-    second = materialise(second.select("node", share.alias("share")), "second")
+    second = materialise(_still_possible(second, similarity), "second")
 
     sets = materialise(_sets(_documents_of(rows, nodes, second), k).join(second, "node"), "sets")
-    extra = "cast(greatest(1, (share * n + 99) div 100) as int)"
-    prefixes = sets.select("node", "n", F.expr(extra).alias("l"), F.expr(f"explode(slice(tokens, 1, least(n, cast(n - {_overlap('n', similarity)} as int) + {extra})))").alias("token"))
+    least, extra = f"cast({_overlap('n', similarity)} as int)", "cast(greatest(1, (share * n + 99) div 100) as int)"
+    sets = materialise(sets.withColumn("l", F.expr(f"least({extra}, {least})")).drop("share"), "sets")
+    prefixes = sets.select("node", "n", F.expr(f"explode(slice(tokens, 1, n - {least} + l))").alias("token"))
     third = materialise(prefixes.withColumn("df", F.count("*").over(W.partitionBy("token"))).where("df > 1"), "third")
+    heavy = third.where(F.col("df") > FEW_SETS)
+    held = heavy.groupBy("node").agg(F.count("*").alias("h"))
+    sizes = materialise(sets.select("node", "n", "l").join(held, "node", "left").fillna(0, ["h"]), "sizes")
 
     light = third.where(F.col("df") <= FEW_SETS)
-    other = light.select("token", F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("l").alias("_l"))
+    other = light.select("token", F.col("node").alias("_node"), F.col("n").alias("_n"))
     met = light.join(other, "token").where("node < _node").where(_sizes_fit("n", "_n", similarity))
-    pairs = met.groupBy(F.col("node").alias("x"), F.col("_node").alias("y")).agg(F.count("*").alias("c"), F.min(F.least("l", "_l")).alias("_need")).where("c >= _need").select("x", "y")
-    heavy = third.where(F.col("df") > FEW_SETS).select("token", "node", "n", F.col("node").alias("label"))
-    links = materialise(_verified(pairs.unionByName(_hub_pairs(heavy, 0, similarity)).distinct(), sets, similarity), "links")
+    met = met.groupBy(F.col("node").alias("x"), F.col("_node").alias("y")).agg(F.count("*").alias("c"))
+    met = met.join(sizes.toDF("x", "nx", "lx", "hx"), "x").join(sizes.toDF("y", "ny", "ly", "hy"), "y")
+    met = met.withColumn("c", F.col("c") + F.least("hx", "hy")).where("c >= least(lx, ly)")
+    whole = f"lx = {_overlap('nx', similarity)} AND ly = {_overlap('ny', similarity)}"
+    pairs = met.where(f"NOT ({whole}) OR {_may_link('c', 'nx', 'ny', similarity)}").select("x", "y")
+
+    # Pairs of heavy shingles alone.  The sets of a shingle in an order of their own, one for all shingles,
+    # those with the largest heavy share first: sets that share much meet the same few hubs.
+    full = heavy.select("token", "node").join(sizes.where(f"100 * h >= {similarity} * n"), "node")
+    order = W.partitionBy("token").orderBy(F.col("h") / F.col("n") * -1, "node")
+    hubs = full.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= HUBS)
+    first = hubs.where("_rank = 1").select("token", F.col("node").alias("hub"))
+    hubs = hubs.select("token", F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("h").alias("_h"))
+    bound = f"{_sizes_fit('n', '_n', similarity)} AND {_may_link('least(h, _h)', 'n', '_n', similarity)}"
+    of_hubs = full.join(hubs, "token").where(f"node <> _node AND {bound}").select(*_pair("node", "_node")).distinct()
+    links = materialise(_verified(pairs.unionByName(of_hubs).distinct(), sets, similarity), "links")
     labels = materialise(connected_components(links), "labels")
 
-    for seed in range(1, MAX_ROUNDS + 1):
-        heavy = heavy.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        own = W.partitionBy("token")
-        heavy = materialise(heavy.withColumns({"_a": F.min("label").over(own), "_b": F.max("label").over(own)}).where("_a <> _b").drop("_a", "_b"), "heavy")
-        parts = heavy.groupBy("token", "label").agg(F.count("*").alias("g"))
-        parts = parts.groupBy("token").agg(F.sum("g").alias("g"), F.sum(F.col("g") * F.col("g")).alias("own"))
-        left, postings = parts.agg(F.sum((F.col("g") * F.col("g") - F.col("own")) / 2), F.sum("g")).first()
-        if not postings:
-            break
-        last = left <= LEFT_PER_POSTING * postings or seed == MAX_ROUNDS
-        if last:
-            # Blocks of a shingle's sets, not the shingle, are dealt out.
-            other = heavy.select("token", F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("label").alias("_label"))
-            met = heavy.join(other, "token").where("node < _node AND label <> _label").where(_sizes_fit("n", "_n", similarity))
-            pairs = met.select(*_pair("node", "_node")).distinct()
-        else:
-            pairs = _hub_pairs(heavy, seed, similarity)
-        found = materialise(_verified(pairs, sets, similarity), "links")
-        links = links.unionByName(found)
-        if last or not found.isEmpty():
-            labels = materialise(connected_components(links), "labels")
-        if last:
-            break
+    of_hub = full.join(first, "token").select("hub", "node", "n", "h").distinct()
+    of_hub = of_hub.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    own = W.partitionBy("hub")
+    of_hub = materialise(of_hub.withColumns({"_a": F.min("label").over(own), "_b": F.max("label").over(own)}).where("_a <> _b").drop("_a", "_b"), "of-hub")
+    if not of_hub.isEmpty():
+        other = of_hub.select("hub", F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("h").alias("_h"), F.col("label").alias("_label"))
+        across = of_hub.join(other, "hub").where(f"node < _node AND label <> _label AND {bound}").select(*_pair("node", "_node")).distinct()
+        found = materialise(_verified(across, sets, similarity), "links")
+        labels = materialise(connected_components(links.unionByName(found)), "labels")
 
     own = nodes.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("_least"))
     own = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
