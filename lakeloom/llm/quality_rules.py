@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import SPACE, pick, text_documents
+from lakeloom.llm.common import SPACE, materialise, text_documents
 
 WORD = rf"[^{SPACE}]+"
 GAP = rf"[{SPACE}]+"
@@ -53,23 +53,25 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             "_bits": F.expr("cast(length(bin(size(_words))) as int)"),
         }
     )
+    # Each array is bound once to a lambda's name: a filter that Catalyst pushes below would else repeat it for every element.
     a = a.withColumn(
         "_keys",
         F.expr(
-            "sort_array(transform(slice(_words, 1, greatest(size(_words) - 2, 0)),"
-            " (w, i) -> shiftleft(xxhash64(w, get(_words, i + 1), get(_words, i + 2)), _bits) | i))"
+            "element_at(transform(array(struct(_words AS w, _bits AS b)), s -> sort_array(transform("
+            "slice(s.w, 1, greatest(size(s.w) - 2, 0)),"
+            " (x, i) -> shiftleft(xxhash64(x, get(s.w, i + 1), get(s.w, i + 2)), s.b) | i))), 1)"
         ),
     )
     a = a.withColumn(
         "_hits",
         F.expr(
-            "sort_array(transform(filter(_keys, (x, i) ->"
-            " shiftright(x, _bits) <=> shiftright(get(_keys, i + 1), _bits) OR"
-            " shiftright(x, _bits) <=> shiftright(get(_keys, i - 1), _bits)),"
-            " x -> x & (shiftleft(1L, _bits) - 1)))"
+            "element_at(transform(array(struct(_keys AS k, _bits AS b)), s -> sort_array(transform(filter(s.k, (x, i) ->"
+            " shiftright(x, s.b) <=> shiftright(get(s.k, i + 1), s.b) OR"
+            " shiftright(x, s.b) <=> shiftright(get(s.k, i - 1), s.b)),"
+            " x -> x & (shiftleft(1L, s.b) - 1)))), 1)"
         ),
     )
-    covered = "aggregate(transform(_hits, (p, i) -> coalesce(least(3L, get(_hits, i + 1) - p), 3L)), 0L, (s, x) -> s + x)"
+    covered = "element_at(transform(array(_hits), h -> aggregate(transform(h, (p, i) -> coalesce(least(3L, get(h, i + 1) - p), 3L)), 0L, (s, x) -> s + x)), 1)"
     return a.withColumn("n_repeat_words", F.expr(covered)).drop("_words", "_lines", "_bits", "_keys", "_hits")
 
 
@@ -147,7 +149,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Kept documents, without the removed lines; n_chars follows the text."""
-    ruled = apply_rules(docs, keep=("lang", "source")).where("kept")
+    # Written before the filter, which would else be pushed below the join and compute the statistics twice.
+    ruled = materialise(apply_rules(docs, keep=("lang", "source")), "rules").where("kept")
     return ruled.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars"))
 
 

@@ -65,7 +65,7 @@ def water_fill(weighted: DataFrame, total: float, max_epochs: int = MAX_EPOCHS)
 def mix(docs: DataFrame, seed: str = SEED, total_share: float = TOTAL_SHARE, max_epochs: int = MAX_EPOCHS, weights: tuple[int, ...] = WEIGHTS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, source, size, source_size, target, ``whole`` repetitions,
     ``part`` words of one more, ``taken`` words in all, and the ``keep`` columns."""
-    rows = pick(docs, "doc_id", "source", "text", *keep)
+    rows = pick(docs, *dict.fromkeys(("doc_id", "source", "text", *keep)))
     rows = rows.select("doc_id", F.col("source").cast("string").alias("source"), words_in("text").alias("size"), *keep)
     rows = rows.withColumn("_order", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     rows = rows.withColumn("_bucket", F.substring("_order", 1, 3))
