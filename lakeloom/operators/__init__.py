@@ -1 +1 @@
-
+"""Operators that Spark has no single call for, as compositions of DataFrame operations."""

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.plans import relational
+from lakeloom.plans import relational, star
+from lakeloom.streaming import events
 
-_MODULES = (relational,)
+_MODULES = (relational, star, events)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

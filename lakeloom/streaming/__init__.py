@@ -1 +1 @@
-
+"""Structured Streaming jobs over the events table."""
