@@ -232,8 +232,8 @@ def link_components(docs: DataFrame, similarity: int = SIMILARITY, shingle_words
 
     of_hub = full.join(first, "token").select("hub", "node", "n", "h").distinct()
     of_hub = of_hub.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    own = W.partitionBy("hub")
-    of_hub = materialise(of_hub.withColumns({"_a": F.min("label").over(own), "_b": F.max("label").over(own)}).where("_a <> _b").drop("_a", "_b"), "of-hub")
+    several = of_hub.groupBy("hub").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("hub")
+    of_hub = materialise(of_hub.join(several, "hub", "left_semi"), "of-hub")
     if not of_hub.isEmpty():
         other = of_hub.select("hub", F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("h").alias("_h"), F.col("label").alias("_label"))
         across = of_hub.join(other, "hub").where(f"node < _node AND label <> _label AND {bound}").select(*_pair("node", "_node")).distinct()
