@@ -9,6 +9,10 @@ within the row, so no word is ever shuffled.
 Cases: a null or empty text has no words and fails; a null host is a host of its
 own; rows that repeat a doc_id count as one document for line frequency, and
 each row gets its own verdict from its own text; other columns are left alone.
+
+The pipeline's stage counts distinct texts instead (``by_text``), and of the texts
+that share a line above the limit the longest keeps it, so neither exact copies nor
+large groups of near copies lose all their members before the n-gram join.
 """
 
 from __future__ import annotations
@@ -76,15 +80,20 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
 
 def _line_rows(docs: DataFrame) -> DataFrame:
-    """A row for each line that has a word: _host, _doc, _id, _hash, _pos, _line, _line_words."""
+    """A row for each line that has a word: _host, _doc, _id, _hash, _chars, _pos, _line, _line_words."""
     one = F.expr("posexplode(split(coalesce(text, ''), '\n', -1))")
     rows = docs.select(
-        F.coalesce("_host", F.lit("\0")).alias("_host"), F.col("doc_id").alias("_id"), _text_hash(F.col("text")).alias("_hash"), one.alias("_pos", "_raw")
+        F.coalesce("_host", F.lit("\0")).alias("_host"),
+        F.col("doc_id").alias("_id"),
+        _text_hash(F.col("text")).alias("_hash"),
+        F.length("text").alias("_chars"),
+        one.alias("_pos", "_raw"),
     )
     return rows.select(
         "_host",
         "_id",
         "_hash",
+        "_chars",
         F.coalesce("_id", "_hash").alias("_doc"),
         "_pos",
         _line_key(F.col("_raw")).alias("_line"),
@@ -92,14 +101,18 @@ def _line_rows(docs: DataFrame) -> DataFrame:
     ).where("_line_words > 0")
 
 
-def line_frequency(docs: DataFrame, max_docs_per_host: int = MAX_DOCS_PER_HOST) -> DataFrame:
-    """Lines above the limit: _host, _line, n_docs.
+def line_frequency(docs: DataFrame, max_docs_per_host: int = MAX_DOCS_PER_HOST, by_text: bool = False) -> DataFrame:
+    """Lines above the limit: _host, _line, n_docs; with ``by_text`` also _keeper, the hash of the longest text that has the line.
 
     The distinct count is dealt by host, line and document first, so a line that
     a third of all documents share is summed before its counts meet.
     """
     rows = _line_rows(docs)
-    return rows.groupBy("_host", "_line").agg(F.countDistinct("_doc").alias("n_docs")).where(F.col("n_docs") > max_docs_per_host)
+    if by_text:
+        found = rows.groupBy("_host", "_line").agg(F.countDistinct("_hash").alias("n_docs"), F.max(F.struct("_chars", "_hash"))["_hash"].alias("_keeper"))
+    else:
+        found = rows.groupBy("_host", "_line").agg(F.countDistinct("_doc").alias("n_docs"))
+    return found.where(F.col("n_docs") > max_docs_per_host)
 
 
 def apply_rules(
@@ -108,18 +121,21 @@ def apply_rules(
     max_docs_per_host: int = MAX_DOCS_PER_HOST,
     max_removed_share: float = MAX_REMOVED_SHARE,
     keep: tuple[str, ...] = (),
+    by_text: bool = False,
 ) -> DataFrame:
     """Per row: doc_id, ``keep`` columns, statistics, removed_words, base_failed, kept, clean_text.
 
-    ``clean_text`` is the text without the removed lines.
+    ``clean_text`` is the text without the removed lines.  ``by_text`` counts
+    distinct texts rather than doc_ids, and leaves each line in one text.
     """
     base = text_documents(docs, host, *keep).withColumnRenamed(host, "_host") if host not in keep else text_documents(docs, *keep).withColumn("_host", F.col(host))
     base = base.withColumn("_host", F.col("_host").cast("string"))
-    common = line_frequency(base, max_docs_per_host).select("_host", "_line")
+    common = line_frequency(base, max_docs_per_host, by_text).drop("n_docs")
+    common_lines = _line_rows(base).join(common, ["_host", "_line"])
+    if by_text:
+        common_lines = common_lines.where("_hash <> _keeper")
     removed = (
-        _line_rows(base)
-        .join(common, ["_host", "_line"])
-        .dropDuplicates(["_id", "_hash", "_pos"])
+        common_lines.dropDuplicates(["_id", "_hash", "_pos"])
         .groupBy("_id", "_hash")
         .agg(F.sum("_line_words").cast("long").alias("removed_words"), F.collect_set("_line").alias("_removed"))
     )
@@ -148,9 +164,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Kept documents, without the removed lines; n_chars follows the text."""
+    """Kept documents, without the removed lines; n_chars follows the text.
+
+    Lines are counted by distinct texts, so copies are left to the n-gram join.
+    """
     # Written before the filter, which would else be pushed below the join and compute the statistics twice.
-    ruled = materialise(apply_rules(docs, keep=("lang", "source")), "rules").where("kept")
+    ruled = materialise(apply_rules(docs, keep=("lang", "source"), by_text=True), "rules").where("kept")
     return ruled.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars"))
 
 

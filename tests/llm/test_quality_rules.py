@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 
+from lakeloom.llm import ngram_join
 from lakeloom.llm import quality_rules as qr
 from tests.llm.helpers import documents
 
@@ -53,5 +54,20 @@ def test_a_filter_above_does_not_repeat_the_arrays(spark):
     assert qr.apply_rules(documents(spark, rows)).where("kept").count() == 20
 
 
+def test_large_groups_of_copies_in_one_source_keep_a_document_after_the_join(spark):
+    """35 exact copies, and 35 near copies (distinct texts that differ in a line): one of each group stays, with its text."""
+    exact = "\n".join(" ".join(f"e{i}x{j}" for j in range(20)) for i in range(6))
+    near = "\n".join(" ".join(f"n{i}x{j}" for j in range(20)) for i in range(6))
+    rows = [(i, exact, "en", "hot") for i in range(35)] + [(100 + i, f"{near}\nown{i}", "en", "hot") for i in range(35)]
+    rows += [(200 + i, "site line all pages have\n" + " ".join(f"p{i}x{j}" for j in range(60)), "en", "hot") for i in range(35)]
+    left = ngram_join.stage(spark, qr.stage(spark, documents(spark, rows), ""), "").collect()
+    assert [r["text"] for r in left if r["doc_id"] < 100] == [exact]
+    assert [r["text"].startswith(near) for r in left if 100 <= r["doc_id"] < 200] == [True]
+    own = [r["text"] for r in left if r["doc_id"] >= 200]
+    assert len(own) == 35 and sum("site line" in x for x in own) == 1
+    # The operator itself counts documents, as its SQL does.
+    assert not any(r["kept"] for r in qr.apply_rules(documents(spark, rows[:35])).collect())
+
+
 def test_empty_table(spark):
     assert qr.apply_rules(documents(spark, [])).count() == 0
