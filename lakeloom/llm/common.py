@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space as a Java/RE2 character class body.
@@ -30,6 +30,11 @@ def text_documents(docs: DataFrame, *names: str) -> DataFrame:
     return out.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
 
 
+def text_hash(text: Column) -> Column:
+    """With doc_id, what tells a row from others: rows may have no doc_id, or repeat one with another text."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share: ``spark.checkpoint.dir``.
 

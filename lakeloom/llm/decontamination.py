@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import materialise, pick, text_documents
+from lakeloom.llm.common import materialise, pick, text_documents, text_hash
 from lakeloom.llm.textkernels import WORD_BY_ALNUM, Words, text_blocks
 
 #: Share of an item's words that may be edited.
@@ -135,16 +135,21 @@ class Pieces:
                 yield r, self.ids[m], best[0], max(0, best[1] - n + 1), best[1]
 
 
-def find_items(docs: DataFrame, items: DataFrame) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, row_hash: bool = False) -> DataFrame:
     """doc_id, item_id, distance, first_word, last_word of each document's best match with each item.
 
     first_word is where the item would start without insertions or deletions.
+    ``row_hash`` adds text_hash, the hash of the row's own text.
     """
     spark = docs.sparkSession
     rows = text_documents(docs)
+    schema, names = MATCHES, ["doc_id", "item_id", "distance", "first_word", "last_word"]
+    if row_hash:
+        rows = rows.withColumn("text_hash", text_hash(F.col("text")))
+        schema, names = f"{MATCHES}, text_hash long", [*names, "text_hash"]
     wanted = pick(items, "item_id", "text").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     blocks = -(-wanted.count() // BLOCK_ITEMS)
-    out = spark.createDataFrame([], MATCHES)
+    out = spark.createDataFrame([], schema)
     if blocks > 1:
         wanted = materialise(wanted.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "items")
     for block in range(blocks):
@@ -159,12 +164,12 @@ def find_items(docs: DataFrame, items: DataFrame) -> DataFrame:
                     found = list(pieces.matches(Words(part.column(1), WORD_BY_ALNUM)))
                     if found:
                         r, item, distance, first, last = zip(*found)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([ids[x] for x in r], pa.int64()), pa.array(item, pa.int64()), pa.array(distance, pa.int32()), pa.array(first, pa.int64()), pa.array(last, pa.int64())],
-                            ["doc_id", "item_id", "distance", "first_word", "last_word"],
-                        )
+                        columns = [pa.array([ids[x] for x in r], pa.int64()), pa.array(item, pa.int64()), pa.array(distance, pa.int32()), pa.array(first, pa.int64()), pa.array(last, pa.int64())]
+                        if row_hash:
+                            columns.append(part.column(2).take(pa.array(r)))
+                        yield pa.RecordBatch.from_arrays(columns, names)
 
-        found = rows.mapInArrow(search, MATCHES)
+        found = rows.mapInArrow(search, schema)
         out = found if block == 0 else out.unionByName(found)
     return out
 
@@ -175,7 +180,9 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    rows = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
-    return rows.join(leaks.withColumnRenamed("doc_id", "_leak"), F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    """Rows that hold no benchmark item, each by its own text."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = find_items(docs, items, row_hash=True).select(F.col("doc_id").alias("_leak"), F.col("text_hash").alias("_leak_hash")).distinct()
+    rows = pick(docs, "doc_id", "text", "lang", "source", "n_chars").withColumn("_hash", text_hash(F.col("text")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_leak")) & (F.col("_hash") == F.col("_leak_hash"))
+    return rows.join(leaks, same, "left_anti").drop("_hash")

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import materialise, pick, text_documents
+from lakeloom.llm.common import materialise, pick, text_documents, text_hash
 from lakeloom.llm.components import connected_components
 from lakeloom.llm.textkernels import WORD_BY_SPACE, Words, mix64, text_blocks
 
@@ -119,7 +119,16 @@ def _mapped(docs: DataFrame, schema: str, rows_of: Callable[[ShingleSets, np.nda
 
 
 def _nodes(docs: DataFrame, k: int) -> DataFrame:
-    return _mapped(docs, "doc_id long, n_shingles long, node long", lambda s, _, ids: [ids, pa.array(s.n), pa.array(s.node)], k)
+    names = ["doc_id", "text_hash", "n_shingles", "node"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in text_blocks(batch, "text"):
+                sets = ShingleSets(block.column(1), k)
+                yield pa.RecordBatch.from_arrays([block.column(0), block.column(2), pa.array(sets.n), pa.array(sets.node)], names)
+
+    rows = text_documents(docs).withColumn("text_hash", text_hash(F.col("text")))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long")
 
 
 def _postings(docs: DataFrame, share: int, similarity: int, k: int) -> DataFrame:
@@ -188,9 +197,11 @@ def _may_link(overlap: str, m: str, n: str, similarity: int) -> str:
     return f"{100 + similarity} * ({overlap}) >= {similarity} * ({m} + {n})"
 
 
-def link_components(docs: DataFrame, similarity: int = SIMILARITY, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    k = shingle_words
+def _linked(docs: DataFrame, similarity: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Every row (doc_id, text_hash, n_shingles, node), and the label of each node that rows with doc_id have.
+
+    The second also has ``first``, the least (doc_id, text_hash) of the node's rows.
+    """
     rows = text_documents(docs)
     nodes = materialise(_nodes(rows, k), "nodes")
 
@@ -240,9 +251,14 @@ def link_components(docs: DataFrame, similarity: int = SIMILARITY, shingle_words
         found = materialise(_verified(across, sets, similarity), "links")
         labels = materialise(connected_components(links.unionByName(found)), "labels")
 
-    own = nodes.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("_least"))
-    own = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    component = own.groupBy("label").agg(F.min("_least").alias("component_id"))
+    own = nodes.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    return nodes, own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def link_components(docs: DataFrame, similarity: int = SIMILARITY, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    nodes, own = _linked(docs, similarity, shingle_words)
+    component = own.groupBy("label").agg(F.min("first.doc_id").alias("component_id"))
     of_node = own.join(component, "label").select("node", "component_id")
     out = nodes.join(of_node, "node", "left")
     alone = F.expr("doc_id IS NULL OR n_shingles = 0")
@@ -254,12 +270,17 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, the one with the least doc_id; rows without doc_id stay."""
-    rows = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
-    stay = link_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = rows.join(stay, "doc_id", "left_semi")
-    one = one.withColumn("_k", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_k = 1").drop("_k")
-    return one.unionByName(rows.where("doc_id IS NULL"))
+    """One row of each component, the one with the least doc_id (then text hash).
+
+    Rows without doc_id stay, and each text without words of a doc_id stays once.
+    """
+    rows = pick(docs, "doc_id", "text", "lang", "source", "n_chars").withColumns({"_id": F.col("doc_id").cast("long"), "_hash": text_hash(F.col("text"))})
+    nodes, own = _linked(docs, SIMILARITY, SHINGLE_WORDS)
+    stay = own.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    stay = stay.unionByName(nodes.where("doc_id IS NOT NULL AND n_shingles = 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
+    one = rows.join(stay, ["_id", "_hash"], "left_semi")
+    one = one.withColumn("_k", F.row_number().over(W.partitionBy("_id", "_hash").orderBy("lang", "source", "n_chars"))).where("_k = 1").drop("_k")
+    return one.unionByName(rows.where("_id IS NULL").select(one.columns)).drop("_id", "_hash")
 
 
 def components_sql(docs: str) -> str:

@@ -77,3 +77,13 @@ def test_verbatim_passages_in_the_corpus(spark):
     verbatim = {(d["doc_id"], i["item_id"]) for d in docs for i in items if i["text"] in d["text"]}
     got = {(r["doc_id"], r["item_id"]) for r in dc.op6_decontamination(spark, SF).collect()}
     assert verbatim and verbatim <= got
+
+
+def test_stage_judges_each_row_by_its_own_text(spark, tmp_path):
+    """A dirty row takes no clean row along that has no doc_id either, or the same one."""
+    item = "What is the name of the river that runs there"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    dirty = [(None, f"x {item}", "en", "a"), (5, item, "en", "a"), (5, item, "fr", "b")]
+    clean = [(None, "clean", "en", "a"), (None, "clean too", "en", "a"), (None, None, "en", "a"), (5, "clean", "en", "a"), (6, "clean", "en", "a")]
+    got = dc.stage(spark, documents(spark, dirty + clean), str(tmp_path)).collect()
+    assert sorted(((r["doc_id"], r["text"], r["lang"], r["source"]) for r in got), key=repr) == sorted(clean, key=repr)

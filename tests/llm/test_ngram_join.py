@@ -76,3 +76,11 @@ def test_stage_keeps_one_of_each_group(spark):
     body = " ".join(f"w{i}" for i in range(40))
     rows = [(2, body, "en", "a"), (1, body, "en", "a"), (1, body, "en", "a"), (3, "lonely", "en", "a"), (4, None, "en", "a"), (None, body, "en", "a")]
     assert sorted((r["doc_id"] for r in nj.stage(spark, documents(spark, rows), "").collect()), key=repr) == sorted([1, 3, 4, None], key=repr)
+
+
+def test_stage_tells_rows_by_id_and_text(spark):
+    """Rows that repeat a doc_id with unlinked texts are judged each by its own text, whichever text hashes lower."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(3, a, "en", "a"), (7, a, "en", "a"), (7, b, "en", "a"), (7, c, "en", "a"), (7, d + " tail", "en", "a"), (8, d, "en", "a"), (7, "", "en", "a"), (None, a, "en", "a"), (None, d, "en", "a")]
+    got = [(r["doc_id"], r["text"]) for r in nj.stage(spark, documents(spark, rows), "").collect()]
+    assert sorted(got, key=repr) == sorted([(3, a), (7, b), (7, c), (7, d + " tail"), (7, ""), (None, a), (None, d)], key=repr)
