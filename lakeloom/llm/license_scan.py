@@ -6,7 +6,9 @@ diagonal (document position - template position); votes are counted by document,
 template and diagonal.  Diagonals near each other whose document spans follow or
 overlap are merged (words put in or left out move the diagonal), and a span is
 verified by the share of the template's words that its hits cover and by the
-span's length against the template's.  Base phrases must be covered whole on one
+span's length against the template's.  A merged span that fails is cut where the
+template's positions begin anew (a short notice repeated on the next line lies a
+few diagonals further), and its parts are verified one by one.  Base phrases must be covered whole on one
 diagonal, so each is one place.
 
 Grams of two words serve templates of up to ``SHORT_WORDS`` words, grams of four
@@ -155,17 +157,27 @@ def scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     reach = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
     near = F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) <= DIAGONAL_SLACK
     starts = F.col("base") | F.coalesce(~(near & (F.col("first") <= reach + DIAGONAL_SLACK)), F.lit(True))
-    votes = votes.withColumn("_starts", starts.cast("int"))
-    votes = votes.withColumn("_span", F.sum("_starts").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    spans = votes.groupBy(*row, *what, "_span").agg(
+    # The template begins anew if a diagonal repeats more positions of the one before than it adds.
+    before = F.coalesce(F.lag("to").over(order), F.lit(0))
+    anew = starts | (before - F.col("from") > F.col("to") - F.greatest("from", before))
+    votes = votes.withColumns({"_starts": starts.cast("int"), "_anew": anew.cast("int")})
+    so_far = order.rowsBetween(W.unboundedPreceding, 0)
+    votes = votes.withColumns({"_merged": F.sum("_starts").over(so_far), "_part": F.sum("_anew").over(so_far)})
+    # Part 0 is the merged span.
+    one = F.col("base") | (F.col("template") < 0)
+    votes = votes.withColumn("_part", F.explode(F.when(one, F.array(F.lit(0).cast("long"))).otherwise(F.array(F.lit(0).cast("long"), "_part"))))
+    spans = votes.groupBy(*row, *what, "_merged", "_part").agg(
         F.min("first").alias("first"), F.max("last").alias("last"), F.max("k").alias("k"), F.array_distinct(F.flatten(F.collect_list("positions"))).alias("positions")
     )
     words = F.size(F.array_distinct(F.flatten(F.transform("positions", lambda p: F.sequence(p, p + F.col("k") - 1)))))
     cover = F.when(F.col("template") < 0, F.lit(0.0)).otherwise(words / F.col("template_words"))
     length = F.col("last") - F.col("first") + 1
     spans = spans.withColumn("_cover", cover).withColumn("_score", F.col("_cover") * F.least(F.lit(1.0), F.expr("try_divide(template_words, last - first + 1)")))
+    good = (F.col("_cover") >= MIN_COVER) & (F.col("_score") >= MIN_COVER)
+    whole = F.bool_or((F.col("_part") == 0) & (good | one)).over(W.partitionBy(*row, "template", "_merged"))
+    spans = spans.withColumn("_whole", whole).where((F.col("_part") == 0) == F.col("_whole"))
     place = F.col("base") & (F.col("_cover") == 1) & (length == F.col("template_words"))
-    found = ~F.col("base") & (F.col("_cover") >= MIN_COVER) & (F.col("_score") >= MIN_COVER) & (F.col("template") >= 0)
+    found = ~F.col("base") & good & (F.col("template") >= 0)
     # Of notices that begin at one word (versions of a license), the best one counts.
     spans = spans.withColumn("_best", F.max(F.when(found, F.col("_score"))).over(W.partitionBy("_row", "first")))
     found = found & (F.col("_score") == F.col("_best"))

@@ -45,3 +45,15 @@ def test_notices_with_edits_are_found_by_merged_diagonals(spark):
     assert got[2]["labels"] == "mit" and 0.7 <= got[2]["score"] < 1
     assert got[3]["labels"] == ""
     assert got[4]["labels"] == "cc-by,cc-by-sa"
+
+
+def test_a_short_notice_repeated_back_to_back(spark):
+    """The copies lie a few diagonals apart; each is found, with words of another line between or without."""
+    notices = ["Released under the MIT License", "Licensed under the MIT License", "Licensed under the BSD License"]
+    cases = [(n, k, between) for n in notices for k in (1, 2, 20) for between in ("\n", "\nalso ")]
+    rows = [(i, between.join([n] * k), "en", "a") for i, (n, k, between) in enumerate(cases)]
+    got = by_id(ls.scan(documents(spark, rows)))
+    for i, (n, k, between) in enumerate(cases):
+        step = 4 + len(between.split()) + 1
+        assert got[i]["labels"] == ("bsd" if "BSD" in n else "mit") and got[i]["score"] == 1
+        assert [s["first_word"] for s in got[i]["spans"] if s["score"] == 1] == [step * j for j in range(k)]
