@@ -2,8 +2,12 @@
 
 A page is cut into flat blocks at block-level tags.  A block has its word count
 and link density, those of its neighbours, and what its surroundings say: whether
-it stands in an article or main element, in a heading, or in an element whose
-tag, role, id or class names page furniture (menus, notices, adverts, comments).
+it stands in an article or main element, in a heading, in an element whose tag,
+role, id or class names page furniture (menus, notices, adverts, comments), or
+beside an article that holds most of the page's words.  An id or class makes no
+furniture of a wrapper that holds the page's main element, its largest article or
+most of its words.  A link is an ``a`` with href, up to its end; one that is not
+closed ends at the next ``a`` or where its block ends.
 A decision tree, grown by Gini impurity on the small labelled table below, tells
 main text from the rest.  The table and the tree are the same for every page and
 size; Spark deals out the pages.
@@ -36,6 +40,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z0-9]+")
+_LINK_TAG = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 
 #: Elements whose content is never text of the page.
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video head title textarea select option button".split())
@@ -62,6 +67,12 @@ FURNITURE_WORDS = frozenset(
 CONTENT_WORDS = frozenset("article content post entry story main body text".split())
 
 
+#: Words before which a name tells of an element's neighbours, not of itself.
+LAYOUT_WORDS = frozenset("has have with no without hide hidden show".split())
+#: Words of readers' comments, which may be most of a page.
+COMMENT_WORDS = frozenset("comment comments disqus reply replies respond discussion".split())
+
+
 class Block(NamedTuple):
     text: str
     words: int
@@ -69,55 +80,130 @@ class Block(NamedTuple):
     article: bool
     furniture: bool
     heading: bool
+    beside: bool = False
+
+
+class Element:
+    """An element that an id or class names furniture, or an article or main element."""
+
+    def __init__(self, parent: int, tag: str, named: bool, comments: bool):
+        self.parent, self.tag, self.named, self.comments = parent, tag, named, comments
+        self.words = 0  # outside links and furniture by tag or role
+        self.title = False  # holds an h1
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
 
 
-def _kind(tag: str, raw: str, in_article: bool) -> tuple[bool, bool, bool]:
-    """Whether an element is an article, is furniture, is hidden."""
+def _furniture_words(name: str) -> set[str]:
+    """Words of one id or class that name furniture."""
+    words = _NAME.findall(name.replace("_", " ").replace("-", " "))
+    found = {w for i, w in enumerate(words) if w in FURNITURE_WORDS and not (i and any(x in LAYOUT_WORDS for x in words[:i]))}
+    # Page builders call every part a widget: "elementor-widget-text-editor".
+    return found if words[:1] and words[0] in ("widget", "widgets") else found - {"widget", "widgets"}
+
+
+def _kind(tag: str, raw: str, in_article: bool) -> tuple[bool, bool, set[str], bool]:
+    """Whether an element is an article, is furniture by its tag or role, the words that name it furniture, whether it is hidden."""
     own = _attributes(raw) if raw else {}
     role = own.get("role", "").lower()
-    words = set(_NAME.findall(f"{own.get('id', '')} {own.get('class', '')}".lower().replace("_", " ").replace("-", " ")))
+    names = f"{own.get('id', '')} {own.get('class', '')}".lower()
+    words = set(_NAME.findall(names.replace("_", " ").replace("-", " ")))
     hidden = "hidden" in own or own.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", "")) is not None
     furniture = tag in FURNITURE or (tag == "header" and not in_article) or role in ROLES
-    if tag in ("article", "main", "body", "html") and not role:
-        furniture = False
-    elif words & FURNITURE_WORDS:
+    named = set().union(*map(_furniture_words, names.split())) if words & FURNITURE_WORDS else set()
+    if words & CONTENT_WORDS and named <= {"header", "side", "text"}:
         # "post-header" in an article is its title, "article-comments" are still comments.
-        furniture = furniture or not (words & CONTENT_WORDS and words & FURNITURE_WORDS <= {"header", "side", "text"})
-    return tag in ("article", "main") or role in ("article", "main"), furniture, hidden
+        named = set()
+    if tag in ("article", "main", "body", "html") and not role:
+        furniture, named = False, named & COMMENT_WORDS if tag == "article" else set()
+    return tag in ("article", "main") or role in ("article", "main"), furniture, named, hidden
+
+
+def _settle(blocks: list[Block], places: list[tuple[int, str]], elements: list[Element]) -> list[Block]:
+    """The blocks, with what the elements around them (``places``: the innermost one, and the block's heading tag) say of the page as a whole."""
+    for b, (at, heading) in zip(blocks, places):
+        if not b.furniture and at >= 0:
+            elements[at].words += b.words - b.linked
+            elements[at].title |= heading == "h1"
+    total = sum(b.words - b.linked for b in blocks if not b.furniture)
+    for e in reversed(elements):  # parents come before their children
+        if e.parent >= 0:
+            elements[e.parent].words += e.words
+            elements[e.parent].title |= e.title
+    largest = {}
+    for kind in ("main", "article"):
+        mine = [i for i, e in enumerate(elements) if e.tag == kind and not e.comments and e.words]
+        if mine:
+            largest[kind] = max(mine, key=lambda i: elements[i].words)
+    holds = set()
+    for i in largest.values():
+        at = elements[i].parent
+        while at >= 0:
+            e = elements[at]
+            # A list of teasers holds an article too, but more of the others.
+            if elements[i].tag == "main" or e.title or (2 * elements[i].words >= e.words and 10 * elements[i].words >= total):
+                holds.add(at)
+            at = e.parent
+    within, furniture = [], []
+    for i, e in enumerate(elements):
+        within.append(i in largest.values() or (e.parent >= 0 and within[e.parent]))
+        most = 2 * e.words > total and (within[i] or not largest)
+        wrapper = (i in holds or most) and (not e.comments or e.title)
+        furniture.append((e.named and not wrapper) or (e.parent >= 0 and furniture[e.parent]))
+    text = [not b.furniture and (at < 0 or not furniture[at]) for b, (at, _) in zip(blocks, places)]
+    total = sum(b.words - b.linked for b, t in zip(blocks, text) if t)
+    most = any(2 * elements[i].words > total and not furniture[i] for i in largest.values())
+    return [b._replace(furniture=not t, beside=most and not (at >= 0 and within[at])) for b, t, (at, _) in zip(blocks, text, places)]
+
+
+class State(NamedTuple):
+    """What holds inside an open element."""
+
+    tag: str
+    article: bool
+    furniture: bool
+    dropped: bool
+    heading: str
+    element: int  # index of the innermost Element, or -1
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order."""
     out: list[Block] = []
+    places: list[tuple[int, str]] = []
+    elements: list[Element] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, article, furniture, dropped, heading
-    article = furniture = dropped = heading = False
-    links = 0
+    stack: list[State] = []
+    outside = State("", False, False, False, "", -1)
+    now = outside
+    link = unclosed = False
 
     def flush() -> None:
+        nonlocal link, unclosed
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
             words = text.count(" ") + 1
-            out.append(Block(text, words, min(words, len("".join(linked).split())), article, furniture, heading))
+            out.append(Block(text, words, min(words, len("".join(linked).split())), now.article, now.furniture, now.heading != ""))
+            places.append((now.element, now.heading))
         parts.clear()
         linked.clear()
+        if unclosed:
+            link = unclosed = False
 
-    def enter(state: tuple[str, bool, bool, bool, bool] | None) -> None:
-        nonlocal article, furniture, dropped, heading
-        _, article, furniture, dropped, heading = state or ("", False, False, False, False)
+    def enter(state: State | None) -> None:
+        nonlocal now
+        now = state or outside
 
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.search(page, at)
         piece = page[at : m.start() if m else end]
-        if piece and not dropped:
+        if piece and not now.dropped:
             parts.append(piece)
-            if links:
+            if link:
                 linked.append(piece)
         if not m:
             break
@@ -132,9 +218,9 @@ def blocks_of(page: str) -> list[Block]:
                 flush()
         elif closing:
             if tag == "a":
-                links = max(0, links - 1)
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None and not (tag not in BLOCK and any(s[0] in BLOCK for s in stack[depth + 1 :])):
+                link = unclosed = False
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
+            if depth is not None and not (tag not in BLOCK and any(s.tag in BLOCK for s in stack[depth + 1 :])):
                 if tag in BLOCK:
                     flush()
                 del stack[depth:]
@@ -151,31 +237,39 @@ def blocks_of(page: str) -> list[Block]:
                 _end_implied(stack, tag)
                 enter(stack[-1] if stack else None)
             if tag == "a":
-                links += 1
-            is_article, is_furniture, hidden = _kind(tag, m[3], article)
-            state = (tag, article or is_article, furniture or is_furniture, dropped or hidden or tag in RAW, heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
+                link = "href" in _attributes(m[3])
+                following = _LINK_TAG.search(page, at)
+                unclosed = link and not (following and following[1])
+            is_article, is_furniture, named, hidden = _kind(tag, m[3], now.article)
+            element = now.element
+            if (is_article or named) and not now.furniture:
+                role = "main" if tag == "main" or (is_article and "main" in _attributes(m[3]).get("role", "").lower()) else "article" if is_article else tag
+                elements.append(Element(element, role, bool(named), bool(named & COMMENT_WORDS)))
+                element = len(elements) - 1
+            heading = now.heading or (tag if tag in ("h1", "h2", "h3", "h4", "h5", "h6") else "")
+            state = State(tag, now.article or is_article, now.furniture or is_furniture, now.dropped or hidden or tag in RAW, heading, element)
             if not m[3].endswith("/") or tag in BLOCK:
                 stack.append(state)
                 enter(state)
     flush()
-    return out
+    return _settle(out, places, elements)
 
 
-def _end_implied(stack: list[tuple[str, bool, bool, bool, bool]], tag: str) -> None:
+def _end_implied(stack: list[State], tag: str) -> None:
     """End the open paragraph, and the open item or cell that a new one ends, with all inline elements in them."""
     inner = len(stack)
-    while inner and stack[inner - 1][0] not in BLOCK:
+    while inner and stack[inner - 1].tag not in BLOCK:
         inner -= 1
-    if inner and (stack[inner - 1][0] == "p" or stack[inner - 1][0] in CLOSES.get(tag, ())):
+    if inner and (stack[inner - 1].tag == "p" or stack[inner - 1].tag in CLOSES.get(tag, ())):
         del stack[inner - 1 :]
-        if tag == "tr" and stack and stack[-1][0] == "tr":
+        if tag == "tr" and stack and stack[-1].tag == "tr":
             stack.pop()
 
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "article", "furniture", "heading")
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "article", "furniture", "heading", "beside")
 
-#: Small labelled table: the features above, then 1 for main text.  Fixed values, made by hand.
-LABELLED = (
+#: Small labelled table: the features above but ``beside``, then 1 for main text.  Fixed values, made by hand.
+_LABELLED = (
     # article paragraphs and headings
     (40, 0.0, 35, 0.0, 50, 0.0, 1, 0, 0, 1), (12, 0.0, 6, 0.0, 30, 0.0, 1, 0, 0, 1), (3, 0.0, 60, 0.0, 2, 0.0, 1, 0, 0, 1),
     (6, 0.0, 8, 0.0, 45, 0.0, 1, 0, 1, 1), (1, 0.0, 6, 1.0, 20, 0.0, 1, 0, 1, 1), (9, 0.0, 5, 0.0, 9, 0.0, 1, 0, 1, 1),
@@ -198,6 +292,13 @@ LABELLED = (
     (7, 0.85, 40, 0.0, 6, 1.0, 0, 0, 0, 0), (12, 0.9, 10, 1.0, 8, 1.0, 0, 0, 0, 0), (3, 0.67, 2, 1.0, 2, 1.0, 0, 0, 0, 0),
     (6, 1.0, 30, 0.0, 30, 0.0, 0, 0, 0, 0), (5, 0.8, 6, 0.0, 4, 1.0, 0, 0, 0, 0), (3, 1.0, 7, 0.0, 2, 1.0, 0, 0, 1, 0),
 )
+#: Text beside an article that holds most of the page's words: teasers, notes of the site.
+_BESIDE = (
+    (30, 0.0, 40, 0.0, 20, 0.0, 0, 0, 0), (12, 0.0, 3, 1.0, 25, 0.0, 0, 0, 0), (6, 0.0, 2, 1.0, 14, 0.0, 0, 0, 1), (4, 0.0, 6, 0.0, 5, 0.0, 0, 0, 0),
+    (60, 0.05, 0, 0.0, 0, 0.0, 0, 0, 0), (18, 0.2, 20, 0.0, 9, 0.5, 0, 0, 0), (5, 0.0, 0, 0.0, 40, 0.0, 0, 0, 1), (25, 0.1, 30, 0.0, 28, 0.1, 1, 0, 0),
+    (9, 0.0, 6, 0.0, 45, 0.0, 1, 0, 1), (40, 0.0, 3, 1.0, 12, 0.0, 1, 0, 0), (8, 0.5, 4, 0.0, 7, 1.0, 1, 0, 0), (14, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0),
+)
+LABELLED = (*((*r[:-1], 0, r[-1]) for r in _LABELLED), *((*r, 1, 0) for r in _BESIDE))
 
 
 class Node(NamedTuple):
@@ -236,19 +337,13 @@ def features_of(blocks: list[Block]) -> list[tuple]:
     """Features of each block; beyond the ends stand blocks without words."""
     size = [(b.words, b.linked / b.words) for b in blocks]
     padded = [(0, 0.0), *size, (0, 0.0)]
-    return [(*padded[i + 1], *padded[i], *padded[i + 2], int(b.article), int(b.furniture), int(b.heading)) for i, b in enumerate(blocks)]
+    return [(*padded[i + 1], *padded[i], *padded[i + 2], int(b.article), int(b.furniture), int(b.heading), int(b.beside)) for i, b in enumerate(blocks)]
 
 
 def main_text(page: str | None, tree: Node) -> str:
-    """The main text blocks, joined by an empty line.
-
-    If the page marks an article, text outside it is not the article's.
-    """
+    """The main text blocks, joined by an empty line."""
     blocks = blocks_of(page or "")
-    chosen = [b for b, f in zip(blocks, features_of(blocks)) if is_main(tree, f)]
-    if any(b.article for b in chosen):
-        chosen = [b for b in chosen if b.article]
-    return "\n\n".join(b.text for b in chosen)
+    return "\n\n".join(b.text for b, f in zip(blocks, features_of(blocks)) if is_main(tree, f))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -36,6 +36,30 @@ def test_awkward_pages(spark):
     assert ht.extract(pages(spark, [])).count() == 0
 
 
+def para(name, n=30):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+def test_layouts_that_lost_the_article(spark):
+    body = f"<h1>The title</h1><p>{para('a')}</p><p>{para('b')}</p><p>{para('c')}</p>"
+    want = "\n\n".join(["The title", para("a"), para("b"), para("c")])
+    side = f"<div class='sidebar'><p>{para('side', 12)}</p></div><div id='comments'><article class='comment-body'><p>{para('said', 12)}</p></article></div>"
+    cases = [f"<div class='{c}'><article>{body}</article></div>{side}" for c in ("has-sidebar", "content-with-sidebar", "elementor-widget-text-editor", "elementor-widget", "sidebar-layout", "page header-fixed")]
+    cases += [f"<div class='{c}'>{body}</div>{side}" for c in ("has-sidebar", "elementor-widget-text-editor", "widget-wrap")]
+    cases += [f"<article><div class='widget text-widget'>{body}</div></article>{side}", f"<div class='sidebar-page'><main><div class='promo-top'>{body}</div></main></div>{side}"]
+    cases += [f"{a}<div>{body}</div>{side}" for a in ("<a name='top'/>", "<a name=x>", "<p><a href='/'>Home</p>", "<div><a name='top'></a></div>", "<a href='/'>Home<a name=y>")]
+    got = {r["page_id"]: r["text"] for r in ht.extract(pages(spark, [(i, "u", f"<html><body>{c}</body></html>") for i, c in enumerate(cases)])).collect()}
+    assert {i: c for i, c in enumerate(cases) if got[i] != want} == {}
+
+
+def test_teaser_articles_do_not_drop_the_main_text():
+    cards = "".join(f"<article><p>{para(f't{k}x', 12)}</p></article>" for k in range(3))
+    text = ht.main_text(f"<body><div><h1>The title</h1><p>{para('a', 60)}</p><p>{para('b', 60)}</p></div><div>{cards}</div></body>", ht.grow(ht.LABELLED))
+    assert text.startswith(f"The title\n\n{para('a', 60)}\n\n{para('b', 60)}")
+    linked = "<body><a href='/x'><div>" + para("card", 8) + "</div></a><div><p>" + para("a", 60) + "</p></div></body>"
+    assert ht.main_text(linked, ht.grow(ht.LABELLED)) == para("a", 60)
+
+
 def test_tree_separates_its_table():
     tree = ht.grow(ht.LABELLED)
     wrong = sum(ht.is_main(tree, r[:-1]) != bool(r[-1]) for r in ht.LABELLED)
