@@ -2,8 +2,8 @@
 
 Everything here works on the UTF-8 buffer of a whole block of texts at once, so
 no Python loop runs per word or per character.  Blocks are cut by bytes
-(``text_blocks``), which bounds a task's memory whatever the length of a batch;
-one text is never cut.
+(``text_blocks``); one text is never cut, but its bytes are worked through in
+chunks, so beyond the text itself a kernel holds eight bytes a word.
 """
 
 from __future__ import annotations
@@ -48,14 +48,22 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
-def _powers(base: int, n: int, _cache: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
-    have = _cache.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        steps = np.full(size, base & (2**64 - 1), _U)
-        steps[0] = 1
-        have = _cache[base] = np.multiply.accumulate(steps)
-    return have[:n]
+#: Lead bytes of kana and Han characters (U+3000 to U+9FFF), which are written without spaces.
+_UNSPACED = np.zeros(256, bool)
+_UNSPACED[0xE3:0xEA] = True
+
+#: Bytes that are worked on at once.
+CHUNK = 1 << 20
+_MASK = (1 << 64) - 1
+
+
+def _powers(base: int) -> np.ndarray:
+    steps = np.full(CHUNK + 1, base, _U)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+_POWERS, _POWERS_INV = _powers(_BASE), _powers(_BASE_INV)
 
 
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,38 +92,76 @@ def text_blocks(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) ->
 class Words:
     """The words of a block of texts.
 
-    ``start``/``end``: byte range of each word; ``doc``: its text's row;
-    ``first``: n+1 offsets of each text's words; ``hash``: 64-bit word hashes;
-    ``raw``: the bytes, lower-cased (A-Z) if asked.
+    ``hash``: 64-bit word hashes in order; ``first``: n+1 offsets of each text's
+    words; ``counts``: words of each text.  ``lower``: A-Z count as a-z;
+    ``unspaced``: each kana or Han character is a word of its own.
     """
 
-    def __init__(self, texts: pa.Array, is_word: np.ndarray, lower: bool = True):
+    def __init__(self, texts: pa.Array, is_word: np.ndarray, lower: bool = True, unspaced: bool = False):
         raw, offsets = buffer_of(texts)
-        self.raw = _LOWER[raw] if lower else raw
-        inside = is_word[self.raw]
-        edge = np.zeros(len(inside) + 1, bool)
-        edge[1:-1] = inside[1:] & inside[:-1]
-        cut = offsets[1:-1]
-        edge[cut] = False  # a word ends where its text ends
-        joined = edge  # True: this byte continues a word
-        self.start = np.flatnonzero(inside & ~joined[:-1])
-        self.end = np.flatnonzero(inside & ~joined[1:]) + 1
-        self.first = np.searchsorted(self.start, offsets)
+        hashes, first, seen = [], [], 0
+        held: tuple[int, int] | None = None  # hash and bytes of a word that reached the end of the chunk
+        a = 0
+        while a < len(raw):
+            b = min(a + CHUNK, len(raw))
+            while b < len(raw) and b > a + 1 and raw[b] & 0xC0 == 0x80:  # no character is cut
+                b -= 1
+            part = _LOWER[raw[a:b]] if lower else raw[a:b]
+            inside = is_word[part]
+            joined = np.zeros(b - a + 1, bool)  # this byte continues a word
+            joined[1:-1] = inside[1:] & inside[:-1]
+            own = slice(*np.searchsorted(offsets, [a, b]))
+            cut = offsets[own] - a
+            joined[cut] = False  # a word ends where its text ends
+            alone = np.flatnonzero(_UNSPACED[part]) if unspaced else cut[:0]
+            joined[alone] = False
+            joined[np.minimum(alone + 3, b - a)] = False
+            start = np.flatnonzero(inside & ~joined[:-1])
+            end = np.flatnonzero(inside & ~joined[1:]) + 1
+            sums = np.zeros(b - a + 1, _U)
+            np.cumsum(_BYTE_CODE[part] * _POWERS[: b - a], out=sums[1:])
+            value = (sums[end] - sums[start]) * _POWERS_INV[start]
+            size = (end - start).astype(_U)
+            goes_on = int(held is not None and bool(inside[0]) and 0 not in cut[:1] and not (len(alone) and alone[0] == 0))
+            if held and goes_on:
+                value[0] = (held[0] + pow(_BASE, held[1], 1 << 64) * int(value[0])) & _MASK
+                size[0] += _U(held[1])
+            elif held:
+                hashes.append(_word_hash(*np.array([[held[0]], [held[1]]], _U)))
+            first.append(seen + np.searchsorted(start, cut) - goes_on)
+            seen += len(start) - goes_on
+            held = None
+            if len(end) and end[-1] == b - a and not (len(alone) and alone[-1] + 3 == b - a):
+                held = int(value[-1]), int(size[-1])
+                value, size = value[:-1], size[:-1]
+            hashes.append(_word_hash(value, size))
+            a = b
+        if held:
+            hashes.append(_word_hash(*np.array([[held[0]], [held[1]]], _U)))
+        self.hash = np.concatenate([np.zeros(0, _U), *hashes])
+        rest = len(offsets) - sum(map(len, first))
+        self.first = np.concatenate([*first, np.full(rest, seen)]).astype(np.int64)
         self.counts = np.diff(self.first)
-        self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
-        n = len(self.raw)
-        sums = np.zeros(n + 1, _U)
-        np.cumsum(_BYTE_CODE[self.raw] * _powers(_BASE, n), out=sums[1:])
-        value = (sums[self.end] - sums[self.start]) * _powers(_BASE_INV, n + 1)[self.start]
-        self.hash = mix64(value ^ (self.end - self.start).astype(_U))
-
-    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Start word (in the block) and hash of every run of k words inside one text."""
-        n = len(self.hash)
-        if n < k:
+
+    def text_of(self, word: np.ndarray) -> np.ndarray:
+        """The text that each word stands in."""
+        return np.searchsorted(self.first, word, "right") - 1
+
+    def grams(self, k: int, low: int = 0, high: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """First word (in the block) and hash of every run of k words inside one text that begins at words low to high."""
+        high = min(len(self.hash) - k + 1, len(self.hash) if high is None else high)
+        if high <= low:
             return np.zeros(0, np.int64), np.zeros(0, _U)
-        value = np.zeros(n - k + 1, _U)
+        value = np.zeros(high - low, _U)
         for j in range(k):
-            value = value * _U(_BASE) + self.hash[j : n - k + 1 + j]
-        at = np.flatnonzero(self.doc[: n - k + 1] == self.doc[k - 1 :])
-        return at, mix64(value[at] ^ _U(k))
+            value = value * _U(_BASE) + self.hash[low + j : high + j]
+        inside = np.ones(high - low, bool)
+        for j in range(1, k):  # runs that would cross into the next text
+            over = self.first[1:-1] - j - low
+            inside[over[(over >= 0) & (over < high - low)]] = False
+        at = np.flatnonzero(inside)
+        return at + low, mix64(value[at] ^ _U(k))
+
+
+def _word_hash(value: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return mix64(value ^ size)
