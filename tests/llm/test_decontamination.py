@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.01"
 
 
 def words(text):
-    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+    return re.findall(r"[\u3000-\u9fff]|[^\x00-\x2F\x3A-\x60\x7B-\x7F\u3000-\u9fff]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
 
 
 def least_distance(item, doc):
@@ -33,7 +33,7 @@ def brute(rows, items):
         doc = words(text)
         for item_id, t in items:
             item = words(t)
-            if len(item) >= dc.MIN_ITEM_WORDS and (d := least_distance(item, doc)) <= dc.error_budget(len(item)):
+            if item and (d := least_distance(item, doc)) <= dc.error_budget(len(item)):
                 out.append((doc_id, item_id, d))
     return sorted(out, key=repr)
 
@@ -49,7 +49,7 @@ def items_of(spark, items):
 
 def test_edited_items_against_sellers_table(spark):
     r = random.Random(3)
-    items = [(i, " ".join(f"i{i}w{j}" if j % 7 else "the" for j in range(n))) for i, n in enumerate([4, 5, 6, 9, 17, 40, 130])]
+    items = [(i, " ".join(f"i{i}w{j}" if j % 7 else "the" for j in range(n))) for i, n in enumerate([1, 2, 3, 4, 5, 6, 9, 17, 40, 130])]
     rows = []
     for k in range(60):
         w = r.choice(items)[1].split()
@@ -66,7 +66,7 @@ def test_awkward_rows_and_blocks_of_items(spark, monkeypatch):
     rows = [(1, None, "en", "a"), (2, "", "en", "a"), (None, f"x {item.upper()}!", "en", "a"), (3, "filler " * 30000 + item, "en", "a"), (3, item, "en", "a"), (4, "clean", "en", "a")]
     want = brute(rows, [(i, t) for i, t in items if t])
     assert found(spark, rows, items_of(spark, items)) == want
-    monkeypatch.setattr(dc, "BLOCK_ITEMS", 2)
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 60)
     assert found(spark, rows, items_of(spark, items)) == want
     assert found(spark, [], items_of(spark, items)) == [] == found(spark, rows, [])
 
@@ -87,3 +87,39 @@ def test_stage_judges_each_row_by_its_own_text(spark, tmp_path):
     clean = [(None, "clean", "en", "a"), (None, "clean too", "en", "a"), (None, None, "en", "a"), (5, "clean", "en", "a"), (6, "clean", "en", "a")]
     got = dc.stage(spark, documents(spark, dirty + clean), str(tmp_path)).collect()
     assert sorted(((r["doc_id"], r["text"], r["lang"], r["source"]) for r in got), key=repr) == sorted(clean, key=repr)
+
+
+def plain_matches(rows, items):
+    pieces = dc.Pieces(items)
+    got = [(rows[r][0], i, d) for r, i, d, *_ in pieces.matches(dc._words(dc.pa.array([t for _, t in rows], "string")))]
+    return sorted(got, key=repr)
+
+
+def test_short_items_and_unspaced_scripts():
+    """Items of one to four words stand there exactly; Han characters are words."""
+    items = [(1, "zebra"), (2, "Red zebra"), (3, "one red zebra"), (4, "see one red zebra"), (5, "do you see one red"), (6, "日本の首都はどこですか"), (7, "日本"), (8, ""), (9, "?!")]
+    rows = [(1, "do you see one red zebra"), (2, "do you sea one zebra"), (3, "私は日本の首都がどこですかと聞いた"), (4, "zebras are red"), (5, None), (6, ""), (7, "red zebra red zebra")]
+    assert plain_matches(rows, items) == brute(rows, items)
+    assert {(1, 1), (1, 4), (1, 5), (3, 6), (3, 7)} <= {(d, i) for d, i, _ in plain_matches(rows, items)}
+
+
+def test_a_piece_of_many_items_and_places(monkeypatch):
+    """Slices of hits give the same matches as all at once."""
+    r = random.Random(5)
+    items = [(i, f"what is the capital of c{i} and of d{i % 7} now") for i in range(60)] + [(99, "what is the")]
+    rows = [(k, " ".join(f"what is the capital of c{r.randrange(80)} and of d{r.randrange(9)} now" for _ in range(12))) for k in range(5)]
+    want = brute(rows, items)
+    assert plain_matches(rows, items) == want
+    monkeypatch.setattr(dc, "MOST_HITS", 50)
+    monkeypatch.setattr(dc, "SLICE_WORDS", 17)
+    assert plain_matches(rows, items) == want
+
+
+def test_a_stage_drops_rows_by_each_block_of_items(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 60)
+    items = [(i, f"item number {i} holds these very words {i} and no other") for i in range(6)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(i, f"so {t}", "en", None) for i, t in items] + [(10, "clean", None, None), (None, None, None, None), (11, "", "en", "a"), (11, "", "en", "a")]
+    got = dc.stage(spark, documents(spark, rows), str(tmp_path))
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sorted((r["doc_id"] or -1 for r in got.collect())) == [-1, 10, 11, 11]
