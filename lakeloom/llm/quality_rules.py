@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import SPACE, materialise, text_documents
+from lakeloom.llm.common import SPACE, text_documents
 
 WORD = rf"[^{SPACE}]+"
 GAP = rf"[{SPACE}]+"
@@ -53,7 +53,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             "word_chars": F.length(F.regexp_replace(text, GAP, "")).cast("long"),
             "n_symbols": F.length(F.regexp_replace(text, SYMBOLS, "")).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            # Window hash above, window number below: one sort of longs brings equal windows together.
+            # Window hash above, window number below: one sort of longs brings windows that may be equal together.
             "_bits": F.expr("cast(length(bin(size(_words))) as int)"),
         }
     )
@@ -67,16 +67,26 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         ),
     )
     a = a.withColumn(
-        "_hits",
+        "_maybe",
         F.expr(
-            "element_at(transform(array(struct(_keys AS k, _bits AS b)), s -> sort_array(transform(filter(s.k, (x, i) ->"
+            "element_at(transform(array(struct(_keys AS k, _bits AS b)), s -> transform(filter(s.k, (x, i) ->"
             " shiftright(x, s.b) <=> shiftright(get(s.k, i + 1), s.b) OR"
             " shiftright(x, s.b) <=> shiftright(get(s.k, i - 1), s.b)),"
-            " x -> x & (shiftleft(1L, s.b) - 1)))), 1)"
+            " x -> cast(x & (shiftleft(1L, s.b) - 1) as int))), 1)"
+        ),
+    )
+    # Equal hash bits are candidates only: their words are sorted, and windows equal to a neighbour count.
+    windows = "sort_array(transform(s.m, p -> struct(get(s.w, p) AS a, get(s.w, p + 1) AS b, get(s.w, p + 2) AS c, p AS p)))"
+    same = "coalesce(x.a = get(t.v, {0}).a AND x.b = get(t.v, {0}).b AND x.c = get(t.v, {0}).c, false)"
+    a = a.withColumn(
+        "_hits",
+        F.expr(
+            f"element_at(transform(transform(array(struct(_words AS w, _maybe AS m)), s -> struct({windows} AS v)), t ->"
+            f" sort_array(transform(filter(t.v, (x, i) -> {same.format('i + 1')} OR {same.format('i - 1')}), x -> x.p))), 1)"
         ),
     )
-    covered = "element_at(transform(array(_hits), h -> aggregate(transform(h, (p, i) -> coalesce(least(3L, get(h, i + 1) - p), 3L)), 0L, (s, x) -> s + x)), 1)"
-    return a.withColumn("n_repeat_words", F.expr(covered)).drop("_words", "_lines", "_bits", "_keys", "_hits")
+    covered = "element_at(transform(array(_hits), h -> aggregate(transform(h, (p, i) -> coalesce(least(3L, cast(get(h, i + 1) - p as long)), 3L)), 0L, (s, x) -> s + x)), 1)"
+    return a.withColumn("n_repeat_words", F.expr(covered)).drop("_words", "_lines", "_bits", "_keys", "_maybe", "_hits")
 
 
 def _line_rows(docs: DataFrame) -> DataFrame:
@@ -167,9 +177,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Kept documents, without the removed lines; n_chars follows the text.
 
     Lines are counted by distinct texts, so copies are left to the n-gram join.
+    Null and empty texts go; repeated rows and rows without doc_id are judged one
+    by one; an empty table gives no rows; of other columns none is kept.
     """
-    # Written before the filter, which would else be pushed below the join and compute the statistics twice.
-    ruled = materialise(apply_rules(docs, keep=("lang", "source"), by_text=True), "rules").where("kept")
+    # One number of both verdicts: a filter on one of them would be pushed below the join and compute the statistics twice.
+    ruled = apply_rules(docs, keep=("lang", "source"), by_text=True).where("greatest(cast(base_failed as int), cast(NOT kept as int)) = 0")
     return ruled.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars"))
 
 
