@@ -22,7 +22,9 @@ to be heavy: such sets are first compared with a few hubs and contracted, then
 those of one hub are compared across components, if their bound allows a link.
 No link between components is lost.
 
-Nodes are 64-bit digests of the sets.  Cases: null and empty texts are empty sets
+Nodes are 64-bit digests of the sets, told apart by a second one where two sets
+share a digest; shingles are 64-bit hashes.  One text of any length takes some
+tens of bytes a word.  Cases: null and empty texts are empty sets
 that link with nothing; a text of fewer words is one shingle; each row links by
 its own text, rows that repeat a doc_id too; rows without doc_id take part in no
 link and have no component; an empty table gives no rows; other columns are ignored.
@@ -38,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import materialise, pick, text_documents, text_hash
+from lakeloom.llm.common import Scratch, materialise, pick, text_documents, text_hash
 from lakeloom.llm.components import connected_components
 from lakeloom.llm.textkernels import WORD_BY_SPACE, Words, mix64, text_blocks
 
@@ -52,6 +54,10 @@ SHARES = ((4, 1), (16, 5), (None, 10))
 #: Sets of one shingle up to which all its pairs are emitted; beyond, hubs it is compared with.
 FEW_SETS = 16
 HUBS = 4
+#: Words that are worked on at once, sets that a task remembers, digests that different sets may share.
+SLICE_WORDS = 1 << 18
+REMEMBERED = 1 << 20
+MOST_SHARED = 10_000
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -62,17 +68,49 @@ def least_overlap(n, similarity: int):
 
 
 class ShingleSets:
-    """The distinct shingles of each text of a block, ascending within a text."""
+    """The distinct shingles of each text of a block, ascending within a text.
 
-    def __init__(self, texts: pa.Array, k: int = SHINGLE_WORDS):
+    ``node`` is a digest of each set and ``check`` an independent one; sets whose
+    node is among ``shared`` (nodes of different sets) get one made of both.
+    """
+
+    def __init__(self, texts: pa.Array, k: int = SHINGLE_WORDS, shared: np.ndarray | None = None):
         words = Words(texts, WORD_BY_SPACE)
+        if len(texts) == 1:
+            self.value = self._of_one(words, k)
+            self.n = np.array([len(self.value)], np.int64)
+        else:
+            self.value, self.n = self._of_many(words, k)
+        del words
+        self.first = np.concatenate([[0], np.cumsum(self.n)])
+        self.node = self._digest(0).view(np.int64)
+        if shared is not None and len(shared):
+            at = np.flatnonzero(np.isin(self.node, shared))
+            self.node[at] = mix64(self.node.view(np.uint64)[at] ^ self.check()[at].view(np.uint64)).view(np.int64)
+
+    @staticmethod
+    def _of_one(words: Words, k: int) -> np.ndarray:
+        """Of a text that may be very long: grams are made slice by slice and sorted in place."""
+        n = len(words.hash)
+        k = min(k, n)
+        value = np.zeros(n - k + 1 if n else 0, np.uint64)
+        for a in range(0, len(value), SLICE_WORDS):
+            value[a : a + SLICE_WORDS] = words.grams(k, a, a + SLICE_WORDS)[1]
+        value.sort()
+        new = np.ones(len(value), bool)
+        new[1:] = value[1:] != value[:-1]
+        return value[new]
+
+    @staticmethod
+    def _of_many(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         places, values = [], []
         for j in range(1, k + 1):
             at, value = words.grams(j)
+            row = words.text_of(at)
             if j < k:  # the whole of a text of j words
-                own = words.counts[words.doc[at]] == j
-                at, value = at[own], value[own]
-            places.append(words.doc[at])
+                own = words.counts[row] == j
+                row, value = row[own], value[own]
+            places.append(row)
             values.append(value)
         row, value = np.concatenate(places), np.concatenate(values)
         order = np.argsort(value)
@@ -81,72 +119,94 @@ class ShingleSets:
         row, value = row[order], value[order]
         new = np.ones(len(value), bool)
         new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
-        self.row, self.value = row[new], value[new]
-        self.n = np.bincount(self.row, minlength=len(words.counts)).astype(np.int64)
-        self.first = np.concatenate([[0], np.cumsum(self.n)])
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(self.value))])
-        self.node = mix64((sums[self.first[1:]] - sums[self.first[:-1]]) ^ self.n.astype(np.uint64)).view(np.int64)
+        return value[new], np.bincount(row[new], minlength=len(words.counts)).astype(np.int64)
+
+    def _digest(self, salt: int) -> np.ndarray:
+        sums = np.zeros(len(self.n), np.uint64)
+        full = np.flatnonzero(self.n)
+        if len(full):
+            sums[full] = np.add.reduceat(mix64(self.value + np.uint64(salt)), self.first[:-1][full])
+        return mix64(sums ^ self.n.astype(np.uint64))
 
-    def postings(self, rows: np.ndarray, share: int, similarity: int) -> np.ndarray:
-        """Indexes of the prefix shingles of the rows that are marked."""
+    def check(self) -> np.ndarray:
+        return self._digest(0x5851F42D4C957F2D).view(np.int64)
+
+    def postings(self, rows: np.ndarray, share: int, similarity: int) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes of the prefix shingles of the rows that are marked, and their rows."""
         extra = np.maximum(1, (share * self.n + 99) // 100)
         length = np.minimum(self.n, self.n - least_overlap(self.n, similarity) + extra)
         length[~rows] = 0
-        rank = np.arange(len(self.value)) - self.first[self.row]
-        return np.flatnonzero(rank < length[self.row])
+        row = np.repeat(np.arange(len(self.n), dtype=np.int32), length)
+        at = np.arange(len(row)) + np.repeat(self.first[:-1] - (np.cumsum(length) - length), length)
+        return at, row
 
 
-def _mapped(docs: DataFrame, schema: str, rows_of: Callable[[ShingleSets, np.ndarray, pa.Array], list[pa.Array]], k: int) -> DataFrame:
+def _mapped(docs: DataFrame, schema: str, rows_of: Callable[[ShingleSets, np.ndarray], list[pa.Array]], k: int, shared: np.ndarray) -> DataFrame:
     """Arrow rows made from the shingle sets; ``rows_of`` also gets the marks of
-    sets not seen before in the task, and the doc_ids."""
+    sets that the task hasn't met before (as far as it remembers)."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for block in text_blocks(batch, "text"):
-                sets = ShingleSets(block.column(1), k)
+                sets = ShingleSets(block.column(1), k, shared)
                 fresh = sets.n > 0
                 for i, node in enumerate(sets.node.tolist()):
                     if node in seen:
                         fresh[i] = False
                     seen.add(node)
-                columns = rows_of(sets, fresh, block.column(0))
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                columns = rows_of(sets, fresh)
                 for a in range(0, len(columns[0]), 1 << 16):
                     yield pa.RecordBatch.from_arrays([c[a : a + (1 << 16)] for c in columns], names)
 
     return text_documents(docs).mapInArrow(run, schema)
 
 
-def _nodes(docs: DataFrame, k: int) -> DataFrame:
-    names = ["doc_id", "text_hash", "n_shingles", "node"]
+def _nodes(docs: DataFrame, k: int, shared: np.ndarray | None = None) -> DataFrame:
+    names = ["doc_id", "text_hash", "n_shingles", "node", "check"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in text_blocks(batch, "text"):
-                sets = ShingleSets(block.column(1), k)
-                yield pa.RecordBatch.from_arrays([block.column(0), block.column(2), pa.array(sets.n), pa.array(sets.node)], names)
+                sets = ShingleSets(block.column(1), k, shared)
+                yield pa.RecordBatch.from_arrays([block.column(0), block.column(2), pa.array(sets.n), pa.array(sets.node), pa.array(sets.check())], names)
 
     rows = text_documents(docs).withColumn("text_hash", text_hash(F.col("text")))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, check long")
+
 
+def _told_apart(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
+    """The nodes of all rows, and the digests that different sets share.
+
+    Among n distinct sets about n * n / 2**65 share one, so their list is next to
+    empty; a list that is not means that something else is wrong.
+    """
+    nodes = materialise(_nodes(docs, k), "nodes", keep=True)
+    twice = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").select("node")
+    shared = np.array([r["node"] for r in twice.limit(MOST_SHARED + 1).collect()], np.int64)
+    if len(shared) > MOST_SHARED:
+        raise ValueError("the digests of different sets agree too often")
+    return (materialise(_nodes(docs, k, shared), "nodes", keep=True), shared) if len(shared) else (nodes, shared)
 
-def _postings(docs: DataFrame, share: int, similarity: int, k: int) -> DataFrame:
-    def rows_of(s: ShingleSets, fresh: np.ndarray, _: pa.Array) -> list[pa.Array]:
-        at = s.postings(fresh, share, similarity)
-        row = s.row[at]
+
+def _postings(docs: DataFrame, share: int, similarity: int, k: int, shared: np.ndarray) -> DataFrame:
+    def rows_of(s: ShingleSets, fresh: np.ndarray) -> list[pa.Array]:
+        at, row = s.postings(fresh, share, similarity)
         return [pa.array(s.value[at].view(np.int64)), pa.array(s.node[row]), pa.array(s.n[row].astype(np.int32))]
 
-    return _mapped(docs, "token long, node long, n int", rows_of, k)
+    return _mapped(docs, "token long, node long, n int", rows_of, k, shared)
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    def rows_of(s: ShingleSets, fresh: np.ndarray, _: pa.Array) -> list[pa.Array]:
+def _sets(docs: DataFrame, k: int, shared: np.ndarray) -> DataFrame:
+    def rows_of(s: ShingleSets, fresh: np.ndarray) -> list[pa.Array]:
         keep = np.flatnonzero(fresh)
         all_values = pa.LargeListArray.from_arrays(pa.array(s.first), pa.array(s.value.view(np.int64)))
         return [pa.array(s.node[keep]), pa.array(s.n[keep].astype(np.int32)), all_values.take(pa.array(keep)).cast(pa.list_(pa.int64()))]
 
-    return _mapped(docs, "node long, n int, tokens array<bigint>", rows_of, k).dropDuplicates(["node"])
+    return _mapped(docs, "node long, n int, tokens array<bigint>", rows_of, k, shared).dropDuplicates(["node"])
 
 
 def _overlap(n: str, similarity: int) -> str:
@@ -202,16 +262,20 @@ def _linked(docs: DataFrame, similarity: int, k: int) -> tuple[DataFrame, DataFr
 
     The second also has ``first``, the least (doc_id, text_hash) of the node's rows.
     """
-    rows = text_documents(docs)
-    nodes = materialise(_nodes(rows, k), "nodes")
+    with Scratch(docs.sparkSession):
+        return _link(text_documents(docs), similarity, k)
+
+
+def _link(rows: DataFrame, similarity: int, k: int) -> tuple[DataFrame, DataFrame]:
+    nodes, shared = _told_apart(rows, k)
 
-    first = _shared(_postings(rows, FIRST_SHARE, similarity, k)).groupBy("node", "n").agg(F.count("*").alias("c"))
+    first = _shared(_postings(rows, FIRST_SHARE, similarity, k, shared)).groupBy("node", "n").agg(F.count("*").alias("c"))
     # A partner may be smaller: its l, of its size, is what both share at least.
     first = first.where(f"c >= greatest(1, ({FIRST_SHARE} * ({_overlap('n', similarity)}) + 99) div 100)")
-    second = _shared(_postings(_documents_of(rows, nodes, materialise(first.select("node"), "first")), 100, similarity, k))
+    second = _shared(_postings(_documents_of(rows, nodes, materialise(first.select("node"), "first")), 100, similarity, k, shared))
     second = materialise(_still_possible(second, similarity), "second")
 
-    sets = materialise(_sets(_documents_of(rows, nodes, second), k).join(second, "node"), "sets")
+    sets = materialise(_sets(_documents_of(rows, nodes, second), k, shared).join(second, "node"), "sets")
     least, extra = f"cast({_overlap('n', similarity)} as int)", "cast(greatest(1, (share * n + 99) div 100) as int)"
     sets = materialise(sets.withColumn("l", F.expr(f"least({extra}, {least})")).drop("share"), "sets")
     prefixes = sets.select("node", "n", F.expr(f"explode(slice(tokens, 1, n - {least} + l))").alias("token"))
@@ -239,7 +303,7 @@ def _linked(docs: DataFrame, similarity: int, k: int) -> tuple[DataFrame, DataFr
     bound = f"{_sizes_fit('n', '_n', similarity)} AND {_may_link('least(h, _h)', 'n', '_n', similarity)}"
     of_hubs = full.join(hubs, "token").where(f"node <> _node AND {bound}").select(*_pair("node", "_node")).distinct()
     links = materialise(_verified(pairs.unionByName(of_hubs).distinct(), sets, similarity), "links")
-    labels = materialise(connected_components(links), "labels")
+    labels = connected_components(links)
 
     of_hub = full.join(first, "token").select("hub", "node", "n", "h").distinct()
     of_hub = of_hub.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -249,8 +313,9 @@ def _linked(docs: DataFrame, similarity: int, k: int) -> tuple[DataFrame, DataFr
         other = of_hub.select("hub", F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("h").alias("_h"), F.col("label").alias("_label"))
         across = of_hub.join(other, "hub").where(f"node < _node AND label <> _label AND {bound}").select(*_pair("node", "_node")).distinct()
         found = materialise(_verified(across, sets, similarity), "links")
-        labels = materialise(connected_components(links.unionByName(found)), "labels")
+        labels = connected_components(links.unionByName(found))
 
+    labels = materialise(labels, "labels", keep=True)
     own = nodes.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
     return nodes, own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
