@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import SPACE, materialise, pick, smallest_rank_base
+from lakeloom.llm.common import SPACE, Scratch, materialise, pick, smallest_rank_base
 
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
@@ -69,21 +69,22 @@ def mix(docs: DataFrame, seed: str = SEED, total_share: float = TOTAL_SHARE, max
     rows = rows.select("doc_id", F.col("source").cast("string").alias("source"), words_in("text").alias("size"), *keep)
     rows = rows.withColumn("_order", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     rows = rows.withColumn("_bucket", F.substring("_order", 1, 3))
-    sums = materialise(rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_n")), "mix")
-    sizes = materialise(sums.groupBy("source").agg(F.sum("_n").alias("source_size")), "mix-sources")
-    weighted = materialise(weights_by_rank(sizes, weights), "mix-weights")
-    total = weighted.agg(F.sum("source_size")).first()[0] or 0
-    plan = water_fill(weighted, total_share * total, max_epochs)
-    plan = plan.withColumn("whole", F.coalesce(F.expr("cast(floor(try_divide(target, source_size)) as long)"), F.lit(0).cast("long")))
-    plan = plan.withColumn("_rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
-    before = F.sum("_n").over(W.partitionBy("source").orderBy("_bucket")) - F.col("_n")
-    last = (
-        sums.withColumn("_before", before)
-        .join(plan.select(F.col("source").alias("_source"), "_rest"), F.col("source").eqNullSafe(F.col("_source")))
-        .where("_before < _rest AND _before + _n >= _rest")
-        .select(F.col("source").alias("_s"), F.col("_bucket").alias("_last"), (F.col("_rest") - F.col("_before")).alias("_left"))
-    )
-    plan = materialise(plan.join(last, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumnRenamed("source", "_source"), "mix-plan")
+    with Scratch(docs.sparkSession):
+        sums = materialise(rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_n")), "mix")
+        sizes = materialise(sums.groupBy("source").agg(F.sum("_n").alias("source_size")), "mix-sources")
+        weighted = materialise(weights_by_rank(sizes, weights), "mix-weights")
+        total = weighted.agg(F.sum("source_size")).first()[0] or 0
+        plan = water_fill(weighted, total_share * total, max_epochs)
+        plan = plan.withColumn("whole", F.coalesce(F.expr("cast(floor(try_divide(target, source_size)) as long)"), F.lit(0).cast("long")))
+        plan = plan.withColumn("_rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
+        before = F.sum("_n").over(W.partitionBy("source").orderBy("_bucket")) - F.col("_n")
+        last = (
+            sums.withColumn("_before", before)
+            .join(plan.select(F.col("source").alias("_source"), "_rest"), F.col("source").eqNullSafe(F.col("_source")))
+            .where("_before < _rest AND _before + _n >= _rest")
+            .select(F.col("source").alias("_s"), F.col("_bucket").alias("_last"), (F.col("_rest") - F.col("_before")).alias("_left"))
+        )
+        plan = materialise(plan.join(last, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumnRenamed("source", "_source"), "mix-plan", keep=True)
     placed = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")))
     at_last = F.coalesce(F.col("_bucket") == F.col("_last"), F.lit(False))
     outside = placed.where(~at_last).withColumn("part", F.when(F.col("_bucket") < F.col("_last"), F.col("size")).otherwise(F.lit(0).cast("long")))

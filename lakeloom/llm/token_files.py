@@ -192,7 +192,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
 def token_files(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Write the documents' token files to the shared folder and read them back."""
-    folder = scratch_path(docs.sparkSession, "tokens")
+    folder = scratch_path(docs.sparkSession, "tokens", keep=True)
     return read_token_files(write_token_files(docs, folder, vocabulary or tokenizer_path(), end_id))
 
 
