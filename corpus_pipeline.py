@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom.llm import decontamination, ngram_join, quality_rules, source_mix, token_files
-from lakeloom.llm.common import materialise
+from lakeloom.llm.common import Scratch, materialise
 
 #: (name, function of (spark, docs, sf_dir)).
 STAGES = [
@@ -25,8 +25,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
+    """All stages over ``documents``, each written as Parquet and read again.
+
+    What a stage wrote on its way, and the table it read, go when its own is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+    with Scratch(spark) as tables:
+        for name, stage in STAGES:
+            before = list(tables.own)
+            with Scratch(spark):
+                docs = materialise(stage(spark, docs, sf_dir), name, keep=True)
+            # The first block passes on what its stage keeps; only the table itself is read from now on.
+            tables.remove(before)
+        tables.keep()
     return docs
