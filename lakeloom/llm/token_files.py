@@ -6,7 +6,8 @@ folder: ``p.ids.bin`` (uint16 if every id fits, else uint32), ``p.offsets.bin``
 (int64, one more than documents, from 0) and ``p.docs.bin`` (int64 doc_ids, the
 smallest int64 for null).  A document's place in the whole corpus is its
 partition's base plus its own offset; bases are prefix sums of the partitions'
-sizes.  Files are memory-mapped where the store is local and streamed elsewhere.
+sizes.  Files are memory-mapped where the store is local and read by ranges elsewhere.
+Partitions hold about ``PART_BYTES`` of text at most, however much there is.
 
 A task writes under a name of its own and moves the finished files to their
 final names, so a repeated or speculative task replaces them by the same bytes.
@@ -17,6 +18,7 @@ often as they occur; an empty table has no files; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -35,6 +37,8 @@ from lakeloom.llm.textkernels import text_blocks
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 NULL_ID = np.iinfo(np.int64).min
+#: Text of one partition, about; a task also holds 16 bytes a document of it.
+PART_BYTES = 256 << 20
 #: Words whose ids a task keeps at once.
 CACHED_WORDS = 600_000
 
@@ -45,41 +49,88 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class WordEncoder:
-    """Encodes texts as the tokenizer would, each distinct word once.
+#: What the tokenizer file must say for texts to be encoded word by word.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    Only for tokenizers that lower-case, drop white space, never join across it
-    and mark the last token of each run of letters, as ``word_bpe_49k.json``
-    does: a text's ids are then those of its words, closing marks are a run of
-    their own, and words of letters alone can be encoded many at a time.
+
+def by_words(settings: dict) -> bool:
+    """Whether a text's ids are those of its words between ASCII white space.
+
+    So it is if the tokenizer composes characters, joins white space, lower-cases,
+    cuts by ``PATTERN`` (no match has white space in it), marks the last token of
+    each cut, and matches special tokens without white space on the raw text.
+    """
+    normalizer, cut, model = (settings.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    parts = normalizer.get("normalizers") or []
+    cuts = cut.get("pretokenizers") or []
+    return (
+        [p["type"] for p in parts] == NORMALIZERS
+        and (parts[1]["pattern"], parts[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+        and cuts[0]["pattern"] == {"Regex": PATTERN}
+        and (cuts[0]["behavior"], cuts[0]["invert"]) == ("Removed", True)
+        and not cuts[1]["add_prefix_space"]
+        and not cuts[1]["use_regex"]
+        and model.get("type") == "BPE"
+        and model.get("end_of_word_suffix") == "</w>"
+        and not model.get("dropout")
+        and settings.get("truncation") is settings.get("padding") is None
+        and all("<|" in t["content"] and not any(c.isspace() for c in t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in settings.get("added_tokens") or [])
+    )
+
+
+class TextEncoder:
+    """Encodes texts exactly as the tokenizer does.
+
+    Where the tokenizer allows it (``by_words``), each distinct word is encoded
+    once and kept.  Words whose normalised form is letters alone are one cut
+    each, so many are encoded in one call and told apart by the mark of their last
+    token; closing ASCII marks after such a word are a cut of their own.  All other
+    words are encoded one by one, and texts whole with any other tokenizer.
     """
 
     #: Closing marks: a run of them after letters is encoded alone.
     MARKS = b".,;:!?#*$%&|()[]{}=+/-_~"
     #: Words of letters that are encoded in one call.
     TOGETHER = 100
+    #: Letters up to here (Latin, Greek, Cyrillic) are letters in every version of Unicode at hand.
+    LAST_LETTER = "\u0523"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
+        with open(path, "rb") as f:
+            self.by_words = by_words(json.load(f))
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
-    def _words(self, text: str | None) -> list[bytes]:
-        """Words between ASCII white space, their ASCII letters lower-cased unless that could make a special token."""
+    @staticmethod
+    def _words(text: str | None) -> list[bytes]:
+        """Words between ASCII white space; those of ASCII alone lower-cased, unless that could make a special token."""
         raw = (text or "").encode()
-        return raw.split() if b"<|" in raw else raw.lower().split()
+        if b"<|" in raw:
+            return raw.split()
+        # A capital before a combining mark is composed differently than a small letter.
+        return raw.lower().split() if raw.isascii() else [w.lower() if w.isascii() else w for w in raw.split()]
+
+    def _is_letters(self, word: bytes) -> bool:
+        """Whether the word as the tokenizer normalises it is letters alone."""
+        if word.isascii():
+            return word.isalpha()
+        text = self.tokenizer.normalizer.normalize_str(word.decode())
+        return text.isalpha() and max(text) <= self.LAST_LETTER
 
     def _learn(self, new: list[bytes]) -> None:
         known, marks = self.known, self.MARKS
         cut = [w.rstrip(marks) for w in new]
-        stems = sorted({w for w in cut if w and w not in known})
-        letters = [w for w, t in zip(stems, b" ".join(stems).decode().split(" ")) if t.isalpha()]
+        is_letters = {w: self._is_letters(w) for w in {*cut} if w}
+        letters = sorted(w for w, yes in is_letters.items() if yes and w not in known)
         size, end_of = self.dtype.itemsize, self.ends_word
         groups = [letters[i : i + self.TOGETHER] for i in range(0, len(letters), self.TOGETHER)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
@@ -88,18 +139,21 @@ class WordEncoder:
             if len(ends) == len(group):
                 raw = ids.tobytes()
                 known.update(zip(group, [raw[a:b] for a, b in zip([0, *ends], ends)]))
-        marked = [(w, stem) for w, stem in zip(new, cut) if stem in known and len(w) > len(stem) and stem.decode().isalpha()]
-        tails = list({w[len(stem) :] for w, stem in marked}.difference(known))
-        self._learn_plainly(tails)
+        marked = [(w, stem) for w, stem in zip(new, cut) if len(w) > len(stem) and is_letters.get(stem) and stem in known]
+        self._learn_plainly(list({w[len(stem) :] for w, stem in marked}.difference(known)))
         known.update([(w, known[stem] + known[w[len(stem) :]]) for w, stem in marked])
         self._learn_plainly([w for w in new if w not in known])
 
     def _learn_plainly(self, words: list[bytes]) -> None:
-        coded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(words, coded))
+        self.known.update(zip(words, self._whole([w.decode() for w in words])))
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes of ``dtype``."""
+        if not self.by_words:
+            return self._whole([t or "" for t in texts])
         words = [self._words(t) for t in texts]
         all_words = set().union(*words)
         new = list(all_words.difference(self.known))
@@ -119,7 +173,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder = WordEncoder(vocabulary)
+        encoder = TextEncoder(vocabulary)
         fs, root = pafs.FileSystem.from_uri(folder)
         own = f"{root}/{part}-{uuid.uuid4().hex}"
         end = np.array([end_id], encoder.dtype).tobytes()
@@ -150,19 +204,33 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
         )
 
     rows = text_documents(docs)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     manifest = sorted(placed.mapInArrow(write, _MANIFEST).collect(), key=lambda r: r["part"])  # a row a partition
     bases = np.concatenate([[0], np.cumsum([r["n_ids"] for r in manifest])]).astype(int).tolist()
     return spark.createDataFrame([(*r, b) for r, b in zip(manifest, bases)], f"{_MANIFEST}, base long")
 
 
-def _mapped(fs: pafs.FileSystem, path: str, dtype: str) -> np.ndarray:
-    if fs.type_name == "local":
-        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+class _File:
+    """A flat file of numbers: memory-mapped where the store is local, read by ranges elsewhere."""
+
+    def __init__(self, fs: pafs.FileSystem, path: str, dtype: str):
+        self.dtype = np.dtype(dtype)
+        if fs.type_name == "local":
+            self.length = os.path.getsize(path) // self.dtype.itemsize
+            self.values = np.memmap(path, self.dtype, "r") if self.length else np.zeros(0, self.dtype)
+        else:
+            self.values, self.source = None, fs.open_input_file(path)
+            self.length = self.source.size() // self.dtype.itemsize
+
+    def __getitem__(self, own: slice) -> np.ndarray:
+        low, high, _ = own.indices(self.length)
+        if self.values is not None:
+            return np.asarray(self.values[low:high])
+        self.source.seek(low * self.dtype.itemsize)
+        return np.frombuffer(self.source.read(max(0, high - low) * self.dtype.itemsize), self.dtype)
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -172,11 +240,10 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 fs, root = pafs.FileSystem.from_uri(r["folder"])
-                ids, offsets, docs = (_mapped(fs, f"{root}/{r['part']}.{k}.bin", d) for k, d in (("ids", r["dtype"]), ("offsets", "<i8"), ("docs", "<i8")))
-                for a in range(0, len(docs), 4096):
-                    at = np.asarray(offsets[a : a + 4097])
-                    own = np.asarray(docs[a : a + 4096])
-                    sums = [zlib.crc32(ids[i:j].astype("<u4").tobytes()) for i, j in zip(at[:-1], at[1:])]
+                ids, offsets, docs = (_File(fs, f"{root}/{r['part']}.{k}.bin", d) for k, d in (("ids", r["dtype"]), ("offsets", "<i8"), ("docs", "<i8")))
+                for a in range(0, docs.length, 4096):
+                    at, own = offsets[a : a + 4097], docs[a : a + 4096]
+                    sums = [_crc32(ids, i, j) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
                     yield pa.RecordBatch.from_pydict(
                         {
                             "doc_id": pa.array(own, pa.int64(), mask=own == NULL_ID),
@@ -190,6 +257,14 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _crc32(ids: _File, low: int, high: int) -> int:
+    """Of ids low to high as little-endian unsigned 32-bit integers, a slice at a time."""
+    crc = 0
+    for i in range(low, high, 1 << 20):
+        crc = zlib.crc32(ids[i : min(high, i + (1 << 20))].astype("<u4").tobytes(), crc)
+    return crc
+
+
 def token_files(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Write the documents' token files to the shared folder and read them back."""
     folder = scratch_path(docs.sparkSession, "tokens", keep=True)
@@ -201,5 +276,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The digest of the written files, a row a document."""
+    """The digest of the written files, a row a document.
+
+    Null and empty texts are the end id alone, rows without doc_id come first,
+    repeated rows are written as often as they occur; an empty table gives no rows.
+    """
     return token_files(docs)
