@@ -1,26 +1,29 @@
 """Language identification by prediction by partial matching.
 
-Each language has a context tree of order ``ORDER`` over bytes: counts of each
-byte after each context of up to three bytes.  With frozen counts, a byte costs
-its code length in the longest context that has seen it, plus the escapes from
-the longer contexts that were seen without it (method C: a context seen n times
-with d distinct bytes gives a byte seen c times c / (n + d), an escape
-d / (n + d)).  A text's language is the one with the shortest code.
-
-Counts are gathered by Spark: tasks count byte runs per language with numpy, one
-grouped sum merges them.  Bytes are first mapped to 64 codes (letters lower-cased,
-frequent non-ASCII bytes each their own, white space one, digits one, the rest
-one), so a whole model has at most 64**4 runs a language, whatever the corpus;
-costs of all languages are table lookups for a block of texts at once.
+Each language has a context tree over bytes: counts of each byte after each
+context of up to ``ORDER`` bytes.  With frozen counts, a byte costs its code length
+in the longest context that has seen it, plus the escapes from the longer contexts
+that were seen without it (method C: a context seen n times with d distinct bytes
+gives a byte seen c times c / (n + d), an escape d / (n + d)); a context that was
+never seen costs nothing, and below the empty one all 256 bytes cost alike.  A
+text's language is the one with the shortest code.
+
+Bytes are taken as they are and all counts are kept.  Counts are gathered by
+Spark: tasks count byte runs per language with numpy, one grouped sum merges them.
+The trees are sparse (sorted runs and contexts of each length).  Languages are
+dealt by hash into blocks of about ``BLOCK_RUNS`` runs, and each block is one pass
+over the texts that carries the best code so far, so neither the driver nor a task
+holds more than a block, however many languages there are.
 
 Training: documents with a text and a language whose crc32(doc_id) mod 4 is not
 2; of a language with more than ``MAX_TRAINING_DOCS`` such documents, those whose
 hash falls under the matching share (a bound on a labelled sample, nothing else
-is capped).  Every whole text is predicted.
+is capped).  Every whole text is predicted, a slice at a time if it is long.
 
 Cases: a null text or one without a letter is ``und`` with score 0; a null lang or
 doc_id trains nothing; ties go to the first language by name; with nothing to
-learn from all texts are ``und``; other columns are ignored.
+learn from all texts are ``und``; repeated rows are predicted one by one; other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,195 +32,187 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import pick, text_documents
+from lakeloom.llm.common import Scratch, materialise, pick, text_documents
 from lakeloom.llm.textkernels import buffer_of, text_blocks
 
-ORDER = 3
-CODES = 64
+ORDER = 4
 #: Labelled documents a language is learned from, about.
 MAX_TRAINING_DOCS = 20_000
-#: Runs seen less often in a language are left to shorter contexts.
-MIN_COUNT = 2
+#: Runs of the languages of one pass, about.
+BLOCK_RUNS = 4_000_000
+#: Languages whose table is broadcast to the rows it samples; more are joined by a shuffle.
+BROADCAST_LANGS = 100_000
+#: Bytes of text that are scored at once.
+SLICE_BYTES = 1 << 21
 UNKNOWN = "und"
 
 
-def _byte_codes() -> np.ndarray:
-    """Code of each byte: 0 white space, 1 other ASCII, 2 digits, letters, then bytes of 128 and up."""
-    code = np.ones(256, np.int64)
-    code[[9, 10, 11, 12, 13, 32]] = 0
-    code[0x30:0x3A] = 2
-    code[0x41:0x5B] = code[0x61:0x7B] = 3 + np.arange(26)
-    # Continuation bytes by their low five bits (case of Latin letters falls together), lead bytes by two.
-    code[0x80:0xC0] = 29 + np.arange(64) % 32
-    code[0xC0:0x100] = 61 + np.minimum(np.arange(64) // 24, 2)
-    return code
-
-
-_CODE = _byte_codes()
-
-
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def _runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte the run of ORDER + 1 codes that ends with it, and the texts' offsets.
+def _runs(raw: np.ndarray, offsets: np.ndarray, low: int, high: int) -> np.ndarray:
+    """For each byte from low to high the run of ORDER + 1 bytes of its text that ends with it; before a text stand spaces."""
+    begin = max(0, low - ORDER)
+    part = raw[begin:high].astype(np.int64)
+    place = np.arange(low, high)
+    inside = place - offsets[np.searchsorted(offsets, place, "right") - 1]  # bytes of the text before this one
+    run = np.zeros(high - low, np.int64)
+    for back in range(ORDER, -1, -1):
+        byte = part[np.maximum(place - back - begin, 0)]
+        run = run << 8 | np.where(inside >= back, byte, 0x20)
+    return run
+
 
-    Before a text stand white spaces.
-    """
+def _slices(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """The runs of all texts slice by slice: (runs, the texts' offsets, low, high)."""
     raw, offsets = buffer_of(texts)
-    n = np.diff(offsets)
-    padded = np.zeros(len(raw) + ORDER * len(n), np.int64)
-    place = np.arange(len(raw)) + ORDER * np.repeat(np.arange(1, len(n) + 1), n)
-    padded[place] = _CODE[raw]
-    run = np.zeros(len(raw), np.int64)
-    for back in range(ORDER, -1, -1):
-        run = run * CODES + padded[place - back]
-    return run, offsets
+    for low in range(0, len(raw), SLICE_BYTES):
+        high = min(len(raw), low + SLICE_BYTES)
+        yield _runs(raw, offsets, low, high), offsets, low, high
 
 
 def count_runs(docs: DataFrame) -> DataFrame:
     """lang, run, n: counts of byte runs over all texts given."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for block in text_blocks(batch, "text"):
                 langs = np.array(block.column(2).to_pylist(), object)
                 for lang in sorted(set(langs)):
-                    own = block.column(1).filter(pa.array(langs == lang))
-                    run, times = np.unique(_runs(own)[0], return_counts=True)
-                    held.setdefault(lang, []).append((run, times))
-                    if len(held[lang]) >= 16:
-                        held[lang] = [_merged(held[lang])]
-        for lang, parts in held.items():
-            run, times = _merged(parts)
-            for a in range(0, len(run), 1 << 16):
-                part = slice(a, a + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(run[part]), pa.string()), pa.array(run[part]), pa.array(times[part])], ["lang", "run", "n"])
+                    for run, *_ in _slices(block.column(1).filter(pa.array(langs == lang))):
+                        held[lang] = _merged(held.get(lang), *np.unique(run, return_counts=True))
+                if sum(len(run) for run, _ in held.values()) > BLOCK_RUNS:
+                    yield from _count_rows(held)
+                    held.clear()
+        yield from _count_rows(held)
 
     return text_documents(docs, "lang").mapInArrow(count, "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    run, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return run, np.bincount(place, np.concatenate([p[1] for p in parts])).astype(np.int64)
+def _count_rows(held: dict[str, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for lang, (run, times) in held.items():
+        for a in range(0, len(run), 1 << 16):
+            part = slice(a, a + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(run[part]), pa.string()), pa.array(run[part]), pa.array(times[part])], ["lang", "run", "n"])
+
+
+def _merged(held: tuple[np.ndarray, np.ndarray] | None, run: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if held is None:
+        return run, times
+    both, place = np.unique(np.concatenate([held[0], run]), return_inverse=True)
+    return both, np.bincount(place, np.concatenate([held[1], times])).astype(np.int64)
 
 
 def _sample(docs: DataFrame, most: int) -> DataFrame:
     """Training documents: all of a language, or a share by hash of about ``most``."""
     rows = text_documents(docs, "lang").withColumn("lang", F.col("lang").cast("string"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
-    share = F.lit(1.0)
-    for lang, n in counts.items():
-        if n > most:
-            share = F.when(F.col("lang") == lang, F.lit(most / n)).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    many = materialise(rows.groupBy("lang").count().where(F.col("count") > most).select(F.col("lang").alias("_lang"), (F.lit(float(most)) / F.col("count")).alias("_share")), "langs")
+    few = many.count() <= BROADCAST_LANGS
+    rows = rows.join(F.broadcast(many) if few else many, F.col("lang") == F.col("_lang"), "left")
+    return rows.where(F.col("_share").isNull() | (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("_share") * (1 << 20))).select("doc_id", "text", "lang")
+
+
+class Tree:
+    """The context tree of one language: for each length the sorted runs with their
+    code lengths, and the sorted contexts with the code lengths of their escapes."""
+
+    def __init__(self, run: np.ndarray, n: np.ndarray):
+        self.levels = []  # from the longest context to the empty one
+        for order in range(ORDER, -1, -1):
+            runs, place = np.unique(run & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+            counts = np.bincount(place, n)
+            context, inside = np.unique(runs >> 8, return_inverse=True)
+            # The byte comes last in a run: what stands before it is its context.
+            total, distinct = np.bincount(inside, counts), np.bincount(inside)
+            seen = total + distinct
+            self.levels.append((runs, (np.log2(seen[inside]) - np.log2(counts)).astype(np.float32), context, (np.log2(seen) - np.log2(distinct)).astype(np.float32)))
+
+    def costs(self, run: np.ndarray) -> np.ndarray:
+        """Code length in bits of the last byte of each run."""
+        bits = np.zeros(len(run))
+        left = np.arange(len(run))  # runs whose byte no longer context has seen
+        for order, (runs, cost, context, escape) in zip(range(ORDER, -1, -1), self.levels):
+            own = run[left] & ((1 << 8 * (order + 1)) - 1)
+            at = np.minimum(np.searchsorted(runs, own), len(runs) - 1)
+            hit = runs[at] == own
+            bits[left[hit]] += cost[at[hit]]
+            left, own = left[~hit], own[~hit] >> 8
+            at = np.minimum(np.searchsorted(context, own), len(context) - 1)
+            bits[left] += np.where(context[at] == own, escape[at], 0)
+        bits[left] += 8
+        return bits
 
 
 class Model:
-    """Code lengths in bits of every run under every language.
-
-    ``row``: for each run of four codes seen in some language its row of
-    ``known`` (else 0); unseen runs cost the escape of their context plus the
-    code length of the last three, whose tables are dense.
-    """
-
-    def __init__(self, langs: list[str], lang: np.ndarray, run: np.ndarray, n: np.ndarray):
-        self.langs = langs
-        size = len(langs)
-        below = np.full((1, size), np.log2(CODES))  # order -1: all codes alike
-        for order in range(ORDER):
-            width = CODES ** (order + 1)
-            counts = np.zeros((width, size))
-            np.add.at(counts, (run % width, lang), n)
-            below = self._costs(counts, below)
-        self.short = below.astype(np.float32)
-        keep = n >= MIN_COUNT
-        self.runs, place = np.unique(run[keep], return_inverse=True)
-        counts = np.zeros((len(self.runs), size))
-        np.add.at(counts, (place, lang[keep]), n[keep])
-        context, inside = np.unique(self.runs // CODES, return_inverse=True)
-        total, distinct = np.zeros((2, len(context), size))
-        np.add.at(total, inside, counts)
-        np.add.at(distinct, inside, counts > 0)
-        seen = np.maximum(total + distinct, 1)
-        with np.errstate(divide="ignore"):
-            escape = np.where(total > 0, -np.log2(np.maximum(distinct, 1) / seen), 0.0)
-            cost = np.where(counts > 0, -np.log2(counts / seen[inside]), escape[inside] + below[self.runs % CODES**ORDER])
-        self.escape = np.zeros((CODES**ORDER, size), np.float32)
-        self.escape[context] = escape
-        self.known = np.concatenate([np.zeros((1, size)), cost]).astype(np.float32)
-
-    @staticmethod
-    def _costs(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """Costs of all runs of one length, with escapes to ``below``, the costs without their first code."""
-        by_context = counts.reshape(-1, CODES, counts.shape[1])
-        total = np.repeat(by_context.sum(axis=1), CODES, axis=0)
-        distinct = np.repeat((by_context > 0).sum(axis=1), CODES, axis=0)
-        seen = np.maximum(total + distinct, 1)
-        shorter = below[np.arange(len(counts)) % len(below)]
-        escape = np.where(total > 0, -np.log2(np.maximum(distinct, 1) / seen), 0.0)
-        with np.errstate(divide="ignore"):
-            return np.where(counts > 0, -np.log2(counts / seen), escape + shorter)
-
-    def lengths(self, texts: pa.Array, row_of: np.ndarray) -> np.ndarray:
+    """The trees of a block of languages."""
+
+    def __init__(self, langs: np.ndarray, run: np.ndarray, n: np.ndarray):
+        self.langs = sorted(set(langs))
+        self.trees = [Tree(run[langs == lang], n[langs == lang]) for lang in self.langs]
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
         """Code length of each text (rows) under each language (columns)."""
-        run, offsets = _runs(texts)
-        row = row_of[run]
-        bits = self.known[row]
-        new = np.flatnonzero(row == 0)
-        tail = run[new]
-        bits[new] = self.escape[tail // CODES] + self.short[tail % CODES**ORDER]
-        sums = np.zeros((len(offsets) - 1, len(self.langs)))
-        full = np.flatnonzero(np.diff(offsets))
-        if len(full):
-            sums[full] = np.add.reduceat(bits, offsets[:-1][full], axis=0, dtype=np.float64)
+        sums = np.zeros((len(texts), len(self.langs)))
+        for run, offsets, low, high in _slices(texts):
+            runs, place = np.unique(run, return_inverse=True)
+            begin = np.clip(offsets, low, high) - low
+            full = np.flatnonzero(begin[1:] > begin[:-1])
+            for i, tree in enumerate(self.trees):
+                sums[full, i] += np.add.reduceat(tree.costs(runs)[place], begin[:-1][full])
         return sums
 
-    def row_of(self) -> np.ndarray:
-        """The dense index of runs; made in each task from the sparse one that is sent."""
-        rows = np.zeros(CODES ** (ORDER + 1), np.int32)
-        rows[self.runs] = np.arange(1, len(self.runs) + 1)
-        return rows
 
+def train(docs: DataFrame, most: int = MAX_TRAINING_DOCS) -> list[Broadcast]:
+    """The counts of each block of languages, as (lang, run, n) in a broadcast."""
+    spark = docs.sparkSession
+    with Scratch(spark):
+        counts = materialise(count_runs(_sample(docs, most)), "runs")
+        blocks = -(-counts.count() // BLOCK_RUNS)
+        own = F.pmod(F.xxhash64("lang"), F.lit(max(1, blocks)))
+        return [spark.sparkContext.broadcast(counts.where(own == block).toArrow()) for block in range(blocks)]
 
-def train(docs: DataFrame, most: int = MAX_TRAINING_DOCS) -> Model | None:
-    counts = count_runs(_sample(docs, most)).toPandas()  # bounded by languages x CODES ** (ORDER + 1)
-    if counts.empty:
-        return None
-    langs = sorted(counts["lang"].unique())
-    lang = np.searchsorted(np.array(langs, object), counts["lang"].to_numpy(object))
-    return Model(langs, lang, counts["run"].to_numpy(np.int64), counts["n"].to_numpy(np.int64))
 
-
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+def predict(docs: DataFrame, models: list[Broadcast]) -> DataFrame:
     """doc_id, held_out, lang_pred, score; the score is the language's posterior per text, all alike before."""
     rows = text_documents(docs).withColumn("_letter", F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False)))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, row_of = sent.value, None
-        for batch in batches:
-            for block in text_blocks(batch, "text", 1 << 19):
-                letter = block.column(2).to_numpy(zero_copy_only=False).astype(bool)
-                if model is None:
-                    langs, score = [UNKNOWN] * len(letter), np.zeros(len(letter))
-                else:
-                    row_of = model.row_of() if row_of is None else row_of
-                    bits = model.lengths(block.column(1), row_of)
-                    best = bits.argmin(axis=1)
-                    score = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -60)).sum(axis=1)
-                    langs = [model.langs[b] if ok else UNKNOWN for b, ok in zip(best, letter)]
-                    score[~letter] = 0
-                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(langs, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
-
-    out = rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    # What is carried from pass to pass: the shortest code, its language, and the sum of 2 ** (shortest - length) over all.
+    rows = rows.withColumns({"_bits": F.lit(float("inf")).cast("double"), "_lang": F.lit(UNKNOWN), "_sum": F.lit(0.0).cast("double")})
+    for sent in models:
+
+        def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            model = None
+            for batch in batches:
+                for block in text_blocks(batch, "text", SLICE_BYTES):
+                    if model is None:
+                        table = sent.value
+                        model = Model(table["lang"].to_numpy(), table["run"].to_numpy(), table["n"].to_numpy())
+                    if not model.langs:
+                        yield block
+                        continue
+                    bits, before = model.lengths(block.column(1)), block.column(3).to_numpy()
+                    lang = np.array(block.column(4).to_pylist(), object)
+                    own, name = bits.min(axis=1), np.array(model.langs, object)[bits.argmin(axis=1)]
+                    best = np.minimum(own, before)
+                    total = np.exp2(np.maximum(best[:, None] - bits, -1000)).sum(axis=1)
+                    total += np.where(np.isinf(before), 0, block.column(5).to_numpy() * np.exp2(np.maximum(best - np.where(np.isinf(before), best, before), -1000)))
+                    taken = (own < before) | ((own == before) & (name < lang))
+                    yield pa.RecordBatch.from_arrays([*block.columns[:3], pa.array(best), pa.array(np.where(taken, name, lang), pa.string()), pa.array(total)], block.schema.names)
+
+        rows = rows.mapInArrow(score, rows.schema)
+    known = F.col("_letter") & ~F.col("_bits").isin(float("inf"))
+    return rows.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.when(known, F.col("_lang")).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(known, F.lit(1.0) / F.col("_sum")).otherwise(0.0).alias("score"),
+    )
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
