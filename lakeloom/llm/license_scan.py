@@ -1,12 +1,13 @@
 """License scans by diagonal voting.
 
 Every rolling word k-gram of every document is hashed and joined in Spark to the
-positions of the same gram in the license templates.  A hit votes for the
+positions of the same gram in the license templates.  A hit counts only if its
+words are the template's words, so nothing rests on hashes alone; it votes for the
 diagonal (document position - template position); votes are counted by document,
 template and diagonal.  Diagonals near each other whose document spans follow or
 overlap are merged (words put in or left out move the diagonal), and a span is
-verified by the share of the template's words that its hits cover and by the
-span's length against the template's.  A merged span that fails is cut where the
+verified by the share of the template's words that stand in it, each compared in
+its place, and by the span's length against the template's.  A merged span that fails is cut where the
 template's positions begin anew (a short notice repeated on the next line lies a
 few diagonals further), and its parts are verified one by one.  Base phrases must be covered whole on one
 diagonal, so each is one place.
@@ -16,7 +17,10 @@ the longer ones.  The template table is a fixed library (checked against
 ``MAX_TEMPLATE_GRAMS``), so its broadcast does not grow with the data.
 
 Cases: a null or empty text has no words and no places; rows are told apart even
-if they repeat; other columns are ignored; an empty table gives no rows.
+if they repeat; grams of a long text leave in slices; of notices that begin at
+one word the best ones count, all of them if they are equal; a span that covers
+exactly ``MIN_COVER`` counts; other columns are ignored; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ from lakeloom.llm.textkernels import WORD_BY_ALNUM, Words, text_blocks
 SHORT_WORDS = 3
 SHORT_GRAM, LONG_GRAM = 2, 4
 MAX_TEMPLATE_GRAMS = 200_000
+#: Words that are worked on at once.
+SLICE_WORDS = 1 << 18
 #: Diagonals up to so many words apart may be one span.
 DIAGONAL_SLACK = 6
 #: Share of a template's words that a verified span covers.
@@ -77,58 +83,62 @@ NOTICES = (
 MARKER = -1
 
 
-def _grams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word index, hash and length of all short and long grams."""
-    (a, ah), (b, bh) = words.grams(SHORT_GRAM), words.grams(LONG_GRAM)
-    return np.concatenate([a, b]), np.concatenate([ah, bh]), np.repeat([SHORT_GRAM, LONG_GRAM], [len(a), len(b)])
-
-
 def template_grams(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> DataFrame:
-    """gram, template, position, k, template_words, label, base: a row for each gram of each template."""
+    """gram, words, template, position, k, template_words, label, base: a row for each gram of each template."""
     texts = [(p, label, True) for p, label in phrases] + [(t, label, False) for label, t in notices]
-    words = Words(pa.array([t for t, _, _ in texts]), WORD_BY_ALNUM)
-    rows = [(MARKER, -1, 0, 0, 0, "", False)]
-    for at, value, k in zip(*_grams(words)):
-        r = int(words.doc[at])
-        n = int(words.counts[r])
-        if (n <= SHORT_WORDS) == (k == SHORT_GRAM):
-            rows.append((int(value.view(np.int64)), r, int(at - words.first[r]), int(k), n, texts[r][1], texts[r][2]))
+    words = Words(pa.array([t for t, _, _ in texts]), WORD_BY_ALNUM, places=True)
+    rows = [(MARKER, "", -1, 0, 0, 0, "", False)]
+    for k in (SHORT_GRAM, LONG_GRAM):
+        at, value = words.grams(k)
+        for i, gram, r in zip(at.tolist(), value.view(np.int64).tolist(), words.text_of(at).tolist()):
+            n = int(words.counts[r])
+            if (n <= SHORT_WORDS) == (k == SHORT_GRAM):
+                rows.append((gram, words.words_at(i, k), r, i - int(words.first[r]), k, n, texts[r][1], texts[r][2]))
     if len(rows) > MAX_TEMPLATE_GRAMS:
         raise ValueError("the template library is larger than what may be broadcast")
-    return spark.createDataFrame(rows, "gram long, template int, position long, k int, template_words int, label string, base boolean")
+    return spark.createDataFrame(rows, "gram long, words string, template int, position long, k int, template_words int, label string, base boolean")
+
 
+_GRAMS = "_row long, doc_id long, n_words long, _from long, grams array<bigint>, named map<int,string>"
 
-def _document_grams(docs: DataFrame) -> DataFrame:
-    """_row, doc_id, n_words, n_short, grams: short grams by word, then long ones."""
+
+def _document_grams(docs: DataFrame, templates: DataFrame) -> DataFrame:
+    """Slices of each document's grams of one length: _row, doc_id, n_words, _from (the first gram's word), grams,
+    and ``named``, the words of those grams whose hash is a template's, by place in the slice.
+
+    Each document has a slice of the marker alone besides.
+    """
+    # Checked against MAX_TEMPLATE_GRAMS when the templates were made.
+    sent = docs.sparkSession.sparkContext.broadcast(np.unique(np.array([r["gram"] for r in templates.select("gram").collect()], np.int64)))
+    names = [x.split()[0] for x in _GRAMS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = sent.value
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for block in text_blocks(batch, "text"):
-                words = Words(block.column(1), WORD_BY_ALNUM)
-                n = words.counts
-                short, long = np.maximum(n - SHORT_GRAM + 1, 0), np.maximum(n - LONG_GRAM + 1, 0)
-                sizes = short + long + 1
-                first = np.concatenate([[0], np.cumsum(sizes)])
-                out = np.zeros(first[-1], np.int64)
-                out[first[:-1]] = MARKER
-                for k, skip in ((SHORT_GRAM, np.zeros_like(n)), (LONG_GRAM, short)):
-                    at, value = words.grams(k)
-                    r = words.doc[at]
-                    out[first[r] + 1 + skip[r] + at - words.first[r]] = value.view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row + np.arange(len(n))),
-                        block.column(0),
-                        pa.array(n.astype(np.int64)),
-                        pa.array(short.astype(np.int64)),
-                        pa.LargeListArray.from_arrays(pa.array(first), pa.array(out)).cast(pa.list_(pa.int64())),
-                    ],
-                    ["_row", "doc_id", "n_words", "n_short", "grams"],
-                )
-                row += len(n)
-
-    return text_documents(docs).mapInArrow(run, "_row long, doc_id long, n_words long, n_short long, grams array<bigint>")
+                words = Words(block.column(1), WORD_BY_ALNUM, places=True)
+                n = len(words.counts)
+
+                def rows(r: np.ndarray, begin: np.ndarray, first: np.ndarray, gram: np.ndarray, place: np.ndarray, name: list[str], words=words, block=block, row=row) -> pa.RecordBatch:
+                    """A row for each text of r; ``place``: the grams that have a name."""
+                    named = pa.MapArray.from_arrays(np.searchsorted(place, first).astype(np.int32), pa.array((place - first[np.searchsorted(first, place, "right") - 1]).astype(np.int32)), pa.array(name, pa.string()))
+                    grams = pa.ListArray.from_arrays(first.astype(np.int32), pa.array(gram))
+                    return pa.RecordBatch.from_arrays([pa.array(row + r), block.column(0).take(pa.array(r)), pa.array(words.counts[r]), pa.array(begin), grams, named], names)
+
+                yield rows(np.arange(n), np.zeros(n, np.int64), np.arange(n + 1), np.full(n, MARKER), np.arange(n), [""] * n)
+                for k in (SHORT_GRAM, LONG_GRAM):
+                    for low in range(0, len(words.hash), SLICE_WORDS):
+                        at, value = words.grams(k, low, low + SLICE_WORDS)
+                        if not len(at):
+                            continue
+                        gram, text = value.view(np.int64), words.text_of(at)
+                        r, first = np.unique(text, return_index=True)
+                        place = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, gram), len(wanted) - 1)] == gram)
+                        yield rows(r, at[first] - words.first[r], np.append(first, len(at)), gram, place, [words.words_at(i, k) for i in at[place].tolist()])
+                row += n
+
+    return text_documents(docs).mapInArrow(run, _GRAMS)
 
 
 def scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
@@ -137,10 +147,9 @@ def scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     ``spans``: the verified spans as (label, first_word, last_word, score), base places not among them.
     """
     templates = template_grams(docs.sparkSession) if templates is None else templates
-    grams = _document_grams(docs).select("_row", "doc_id", "n_words", "n_short", F.posexplode("grams").alias("_i", "gram"))
-    hits = grams.join(F.broadcast(templates), "gram")
-    at = F.when(F.col("_i") <= F.col("n_short"), F.col("_i") - 1).otherwise(F.col("_i") - 1 - F.col("n_short"))
-    hits = hits.withColumn("_at", F.when(F.col("template") < 0, 0).otherwise(at).cast("long"))
+    grams = _document_grams(docs, templates).select("_row", "doc_id", "n_words", "_from", "named", F.posexplode("grams").alias("_i", "gram"))
+    hits = grams.join(F.broadcast(templates), "gram").where("element_at(named, _i) = words")
+    hits = hits.withColumn("_at", (F.col("_from") + F.col("_i")).cast("long"))
     row = ["_row", "doc_id", "n_words"]
     what = ["template", "template_words", "label", "base"]
     votes = hits.groupBy(*row, *what, (F.col("_at") - F.col("position")).alias("diagonal")).agg(

@@ -95,11 +95,13 @@ class Words:
     ``hash``: 64-bit word hashes in order; ``first``: n+1 offsets of each text's
     words; ``counts``: words of each text.  ``lower``: A-Z count as a-z;
     ``unspaced``: each kana or Han character is a word of its own.
+    ``start`` and ``end``: bytes of each word, for ``words_at``.
     """
 
-    def __init__(self, texts: pa.Array, is_word: np.ndarray, lower: bool = True, unspaced: bool = False):
+    def __init__(self, texts: pa.Array, is_word: np.ndarray, lower: bool = True, unspaced: bool = False, places: bool = False):
         raw, offsets = buffer_of(texts)
         hashes, first, seen = [], [], 0
+        starts, ends = [], []
         held: tuple[int, int] | None = None  # hash and bytes of a word that reached the end of the chunk
         a = 0
         while a < len(raw):
@@ -129,6 +131,11 @@ class Words:
             elif held:
                 hashes.append(_word_hash(*np.array([[held[0]], [held[1]]], _U)))
             first.append(seen + np.searchsorted(start, cut) - goes_on)
+            if places:
+                starts.append(start[goes_on:] + a)
+                if goes_on:
+                    ends[-1] = ends[-1][:-1]
+                ends.append(end + a)
             seen += len(start) - goes_on
             held = None
             if len(end) and end[-1] == b - a and not (len(alone) and alone[-1] + 3 == b - a):
@@ -142,6 +149,14 @@ class Words:
         rest = len(offsets) - sum(map(len, first))
         self.first = np.concatenate([*first, np.full(rest, seen)]).astype(np.int64)
         self.counts = np.diff(self.first)
+        if places:
+            self.raw = raw
+            self.start, self.end = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (starts, ends))
+
+    def words_at(self, word: int, k: int) -> str:
+        """k words from this one on, a-z for A-Z, with one space between."""
+        spans = zip(self.start[word : word + k].tolist(), self.end[word : word + k].tolist())
+        return b" ".join(self.raw[a:b].tobytes() for a, b in spans).lower().decode()
 
     def text_of(self, word: np.ndarray) -> np.ndarray:
         """The text that each word stands in."""

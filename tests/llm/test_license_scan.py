@@ -4,6 +4,7 @@ import re
 
 from lakeloom.llm import license_scan as ls
 from tests.llm.helpers import by_id, documents
+from tests.llm.test_decontamination import least_distance
 
 
 def base_of(text):
@@ -57,3 +58,44 @@ def test_a_short_notice_repeated_back_to_back(spark):
         step = 4 + len(between.split()) + 1
         assert got[i]["labels"] == ("bsd" if "BSD" in n else "mit") and got[i]["score"] == 1
         assert [s["first_word"] for s in got[i]["spans"] if s["score"] == 1] == [step * j for j in range(k)]
+
+
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+
+
+def test_added_labels_against_a_plain_scan_of_the_corpus(spark):
+    """Every notice that stands there whole is found, and what is found is near in words to a notice of its label."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: words_of(r["text"]) for r in docs.collect()}
+    notices = [(label, words_of(t)) for label, t in ls.NOTICES]
+    whole = 0
+    for r in ls.scan(docs).collect():
+        text = f" {' '.join(texts[r['doc_id']])} "
+        found = {s["label"] for s in r["spans"]}
+        for label, notice in notices:
+            if f" {' '.join(notice)} " in text:
+                whole += 1
+                assert label in found
+        for s in r["spans"]:
+            own = texts[r["doc_id"]][s["first_word"] : s["last_word"] + 1]
+            assert min(least_distance(n, own) / len(n) for label, n in notices if label == s["label"]) <= 1 - ls.MIN_COVER + 1e-9
+    assert whole > 10
+
+
+def test_equal_hashes_with_other_words_do_not_count(spark):
+    rows = ls.template_grams(spark).collect()
+    other = [(*r[:1], "other words" if r["template"] >= 0 else r["words"], *r[2:]) for r in rows]
+    templates = spark.createDataFrame(other, ls.template_grams(spark).schema)
+    got = by_id(ls.scan(documents(spark, [(1, "all rights reserved, Released under the MIT License", "en", "a")]), templates))
+    assert got[1]["n_base"] == 0 and got[1]["labels"] == ""
+
+
+def test_slices_of_a_long_text_join(spark):
+    """Grams of a text over several slices keep their places."""
+    mit = next(t for label, t in ls.NOTICES if label == "mit" and t.startswith("Permission"))
+    n = ls.SLICE_WORDS
+    text = "filler " * (n - 30) + mit + " filler" * n + " all rights reserved"
+    r = ls.scan(documents(spark, [(1, text, "en", "a"), (2, "cc by", "en", "a")])).where("doc_id = 1").first()
+    assert [(s["label"], s["first_word"]) for s in r["spans"]] == [("mit", n - 30)] and r["spans"][0]["score"] == 1
+    assert r["n_base"] == 1 and r["first_word"] == r["n_words"] - 3
