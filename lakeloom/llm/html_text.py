@@ -8,19 +8,22 @@ beside an article that holds most of the page's words.  An id or class makes no
 furniture of a wrapper that holds the page's main element, its largest article or
 most of its words.  A link is an ``a`` with href, up to its end; one that is not
 closed ends at the next ``a`` or where its block ends.
-A decision tree, grown by Gini impurity on the small labelled table below, tells
-main text from the rest.  The table and the tree are the same for every page and
-size; Spark deals out the pages.
+A decision tree, grown by Gini impurity on the blocks of the small labelled table
+of pages below, tells main text from the rest: unmarked menus and notes by their
+own and their neighbours' words and links.  The tree is the same for every page
+and size; Spark deals out the pages.  A page is read in time linear in its length.
 
 Cases: a null or empty page, or one without main text, gives an empty text; markup
 that breaks off or is not closed is read as far as it goes; every page gives one
-row, repeated pages too; other columns are ignored.
+row, repeated pages too; a leaf of the tree with as many main blocks as others
+says main; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -34,7 +37,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*)(?:>|\Z)",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -53,8 +56,10 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A new element of the key ends an open one of the values, up to a container.
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-FURNITURE = frozenset("nav footer aside form menu dialog fieldset".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
+FURNITURE = frozenset("nav footer aside menu".split())
+#: Furniture too, but pages may stand in one as a whole.
+WRAPPERS = frozenset("form dialog fieldset".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 #: Words of an id or class that name page furniture.
 FURNITURE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners"
@@ -113,6 +118,8 @@ def _kind(tag: str, raw: str, in_article: bool) -> tuple[bool, bool, set[str], b
     hidden = "hidden" in own or own.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", "")) is not None
     furniture = tag in FURNITURE or (tag == "header" and not in_article) or role in ROLES
     named = set().union(*map(_furniture_words, names.split())) if words & FURNITURE_WORDS else set()
+    if tag in WRAPPERS:
+        named = named | {tag}
     if words & CONTENT_WORDS and named <= {"header", "side", "text"}:
         # "post-header" in an article is its title, "article-comments" are still comments.
         named = set()
@@ -137,6 +144,13 @@ def _settle(blocks: list[Block], places: list[tuple[int, str]], elements: list[E
         mine = [i for i, e in enumerate(elements) if e.tag == kind and not e.comments and e.words]
         if mine:
             largest[kind] = max(mine, key=lambda i: elements[i].words)
+    if len(largest) == 2:
+        main, article = largest["main"], largest["article"]
+        at = elements[article].parent
+        while at >= 0 and at != main:
+            at = elements[at].parent
+        if at < 0 and 2 * elements[article].words < elements[main].words:  # a teaser outside the main element
+            del largest["article"]
     holds = set()
     for i in largest.values():
         at = elements[i].parent
@@ -193,9 +207,42 @@ def blocks_of(page: str) -> list[Block]:
         if unclosed:
             link = unclosed = False
 
-    def enter(state: State | None) -> None:
+    # Of the open elements: how many of each block tag, where the blocks stand in the
+    # stack, and the inline tags open inside each block; an end tag that ends nothing
+    # costs one look.
+    open_blocks: Counter[str] = Counter()
+    block_at: list[int] = []
+    inline: list[Counter[str]] = [Counter()]
+
+    def push(state: State) -> None:
         nonlocal now
-        now = state or outside
+        if state.tag in BLOCK:
+            open_blocks[state.tag] += 1
+            block_at.append(len(stack))
+            inline.append(Counter())
+        else:
+            inline[-1][state.tag] += 1
+        stack.append(state)
+        now = state
+
+    def pop_to(size: int) -> None:
+        nonlocal now
+        while len(stack) > size:
+            tag = stack.pop().tag
+            if tag in BLOCK:
+                open_blocks[tag] -= 1
+                block_at.pop()
+                inline.pop()
+            else:
+                inline[-1][tag] -= 1
+        now = stack[-1] if stack else outside
+
+    def end_implied(tag: str) -> None:
+        """End the open paragraph, and the open item or cell that a new one ends, with all inline elements in them."""
+        if block_at and (stack[block_at[-1]].tag == "p" or stack[block_at[-1]].tag in CLOSES.get(tag, ())):
+            pop_to(block_at[-1])
+            if tag == "tr" and stack and stack[-1].tag == "tr":
+                pop_to(len(stack) - 1)
 
     at, end = 0, len(page)
     while at < end:
@@ -219,12 +266,11 @@ def blocks_of(page: str) -> list[Block]:
         elif closing:
             if tag == "a":
                 link = unclosed = False
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
-            if depth is not None and not (tag not in BLOCK and any(s.tag in BLOCK for s in stack[depth + 1 :])):
-                if tag in BLOCK:
-                    flush()
-                del stack[depth:]
-                enter(stack[-1] if stack else None)
+            if tag in BLOCK and open_blocks[tag]:
+                flush()
+                pop_to(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag))
+            elif tag not in BLOCK and inline[-1][tag]:
+                pop_to(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag))
             elif tag == "p":
                 flush()
         else:
@@ -234,8 +280,7 @@ def blocks_of(page: str) -> list[Block]:
                 continue
             if tag in BLOCK:
                 flush()
-                _end_implied(stack, tag)
-                enter(stack[-1] if stack else None)
+                end_implied(tag)
             if tag == "a":
                 link = "href" in _attributes(m[3])
                 following = _LINK_TAG.search(page, at)
@@ -249,56 +294,60 @@ def blocks_of(page: str) -> list[Block]:
             heading = now.heading or (tag if tag in ("h1", "h2", "h3", "h4", "h5", "h6") else "")
             state = State(tag, now.article or is_article, now.furniture or is_furniture, now.dropped or hidden or tag in RAW, heading, element)
             if not m[3].endswith("/") or tag in BLOCK:
-                stack.append(state)
-                enter(state)
+                push(state)
     flush()
     return _settle(out, places, elements)
 
 
-def _end_implied(stack: list[State], tag: str) -> None:
-    """End the open paragraph, and the open item or cell that a new one ends, with all inline elements in them."""
-    inner = len(stack)
-    while inner and stack[inner - 1].tag not in BLOCK:
-        inner -= 1
-    if inner and (stack[inner - 1].tag == "p" or stack[inner - 1].tag in CLOSES.get(tag, ())):
-        del stack[inner - 1 :]
-        if tag == "tr" and stack and stack[-1].tag == "tr":
-            stack.pop()
-
-
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "article", "furniture", "heading", "beside")
 
-#: Small labelled table: the features above but ``beside``, then 1 for main text.  Fixed values, made by hand.
-_LABELLED = (
-    # article paragraphs and headings
-    (40, 0.0, 35, 0.0, 50, 0.0, 1, 0, 0, 1), (12, 0.0, 6, 0.0, 30, 0.0, 1, 0, 0, 1), (3, 0.0, 60, 0.0, 2, 0.0, 1, 0, 0, 1),
-    (6, 0.0, 8, 0.0, 45, 0.0, 1, 0, 1, 1), (1, 0.0, 6, 1.0, 20, 0.0, 1, 0, 1, 1), (9, 0.0, 5, 0.0, 9, 0.0, 1, 0, 1, 1),
-    (25, 0.2, 30, 0.0, 28, 0.1, 1, 0, 0, 1), (8, 0.5, 30, 0.0, 40, 0.0, 1, 0, 0, 1), (2, 1.0, 30, 0.0, 40, 0.0, 1, 0, 0, 1),
-    (1, 0.0, 1, 0.0, 1, 0.0, 1, 0, 0, 1), (5, 1.0, 4, 1.0, 6, 1.0, 1, 0, 0, 1), (120, 0.05, 90, 0.0, 0, 0.0, 1, 0, 0, 1),
-    (4, 0.0, 6, 0.0, 11, 0.0, 1, 0, 0, 1), (2, 0.0, 7, 0.0, 7, 0.0, 1, 0, 0, 1), (7, 0.0, 7, 0.0, 10, 0.0, 1, 0, 0, 1),
-    # main text of pages without an article element
-    (45, 0.0, 6, 0.0, 50, 0.0, 0, 0, 0, 1), (30, 0.1, 40, 0.0, 35, 0.0, 0, 0, 0, 1), (18, 0.0, 30, 0.1, 25, 0.0, 0, 0, 0, 1),
-    (7, 0.0, 2, 1.0, 40, 0.0, 0, 0, 1, 1), (5, 0.0, 45, 0.0, 50, 0.0, 0, 0, 1, 1), (9, 0.0, 40, 0.0, 42, 0.0, 0, 0, 0, 1),
-    (80, 0.05, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (14, 0.0, 0, 0.0, 30, 0.0, 0, 0, 0, 1), (4, 0.0, 30, 0.0, 25, 0.0, 0, 0, 0, 1),
-    (5, 0.0, 4, 0.0, 6, 0.0, 0, 0, 1, 1), (3, 0.0, 5, 0.0, 5, 0.0, 0, 0, 0, 1), (6, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 1),
-    (11, 0.3, 20, 0.0, 30, 0.2, 0, 0, 0, 1), (22, 0.45, 25, 0.1, 30, 0.0, 0, 0, 0, 1), (2, 0.0, 20, 0.0, 3, 0.0, 0, 0, 0, 1),
-    # furniture, whatever its length
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0), (2, 1.0, 3, 1.0, 2, 1.0, 0, 1, 0, 0), (25, 0.0, 5, 1.0, 30, 0.0, 0, 1, 0, 0),
-    (9, 0.0, 1, 1.0, 7, 0.0, 0, 1, 0, 0), (14, 0.0, 60, 0.0, 0, 0.0, 0, 1, 0, 0), (4, 0.0, 1, 1.0, 8, 0.0, 0, 1, 1, 0),
-    (50, 0.1, 40, 0.0, 30, 0.0, 1, 1, 0, 0), (6, 0.2, 45, 0.0, 20, 0.0, 1, 1, 0, 0), (3, 0.0, 20, 0.0, 15, 0.0, 1, 1, 1, 0),
-    (30, 0.0, 8, 0.0, 30, 0.0, 0, 1, 0, 0), (12, 0.5, 3, 1.0, 0, 0.0, 0, 1, 0, 0), (2, 0.0, 8, 0.0, 9, 0.0, 0, 1, 0, 0),
-    # link lists outside any marked element
-    (2, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0), (4, 1.0, 3, 1.0, 5, 1.0, 0, 0, 0, 0),
-    (7, 0.85, 40, 0.0, 6, 1.0, 0, 0, 0, 0), (12, 0.9, 10, 1.0, 8, 1.0, 0, 0, 0, 0), (3, 0.67, 2, 1.0, 2, 1.0, 0, 0, 0, 0),
-    (6, 1.0, 30, 0.0, 30, 0.0, 0, 0, 0, 0), (5, 0.8, 6, 0.0, 4, 1.0, 0, 0, 0, 0), (3, 1.0, 7, 0.0, 2, 1.0, 0, 0, 1, 0),
-)
-#: Text beside an article that holds most of the page's words: teasers, notes of the site.
-_BESIDE = (
-    (30, 0.0, 40, 0.0, 20, 0.0, 0, 0, 0), (12, 0.0, 3, 1.0, 25, 0.0, 0, 0, 0), (6, 0.0, 2, 1.0, 14, 0.0, 0, 0, 1), (4, 0.0, 6, 0.0, 5, 0.0, 0, 0, 0),
-    (60, 0.05, 0, 0.0, 0, 0.0, 0, 0, 0), (18, 0.2, 20, 0.0, 9, 0.5, 0, 0, 0), (5, 0.0, 0, 0.0, 40, 0.0, 0, 0, 1), (25, 0.1, 30, 0.0, 28, 0.1, 1, 0, 0),
-    (9, 0.0, 6, 0.0, 45, 0.0, 1, 0, 1), (40, 0.0, 3, 1.0, 12, 0.0, 1, 0, 0), (8, 0.5, 4, 0.0, 7, 1.0, 1, 0, 0), (14, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0),
+#: Small labelled table: pages of the common layouts, made by hand.  ``{n}`` stands for n words, and each
+#: block of main text begins with the mark.  The blocks' features are those the parser finds.
+MARK = "\u00a7"
+_MENU = "<a href='/'>{1}</a></li><li><a href='/'>{2}</a></li><li><a href='/'>{1}</a></li>"
+LABELLED_PAGES = (
+    # an article element, everything else marked
+    f"<nav><ul><li>{_MENU}</ul></nav><div class='ad'>{{6}}</div><article><h1>§{{9}}</h1><p>§{{60}}</p><p>§{{35}}</p><p>§{{8}}</p></article><footer>{{14}}</footer>",
+    "<header><a href='/'>{2}</a></header><article><h1>§{5}</h1><p>§{20}</p><ul><li>§{2}</li><li>§{3}</li><li>§{1}</li></ul><h2>§{2}</h2><p>§{4}</p><div class='ad'>{9}</div><p>§{30}</p></article><aside><p>{25}</p></aside>",
+    "<article><h1>§{7}</h1><p>§{15} <a href='/'>{6}</a></p><p>§{1}</p><ul><li><a href='/'>§{3}</a></li><li><a href='/'>§{4}</a></li></ul></article><section id='comments'><p>{30}</p><p>{45}</p><p>{3}</p></section>",
+    "<main><h1>§{6}</h1><p>§{12}</p><figure><figcaption>§{7}</figcaption></figure><pre>§{2}</pre><p>§{50}</p><form><label>{2}</label><p>{12}</p></form></main><footer><p>{8}</p></footer>",
+    "<article><h1>§{6}</h1><p><a href='/'>§{3}</a></p><p>§{40}</p><h2>§{2}</h2><p><a href='/'>§{5}</a></p><p>§{30}</p><p>§{4}</p><p><a href='/'>§{6}</a></p></article>",
+    "<article><h1>§{4}</h1><p>§{25}</p><p><a href='/'>§{3}</a></p><p>§{5}</p><p><a href='/'>§{2}</a></p><h2>§{1}</h2><ul><li><a href='/'>§{3}</a></li><li>§{2}</li><li><a href='/'>§{4}</a></li></ul></article>",
+    # no article element; menus and notes unmarked, told by their neighbours and links
+    f"<div><ul><li>{_MENU}</ul></div><div>{{2}}</div><div><ul><li>{_MENU}</ul></div><h1>§{{6}}</h1><p>§{{45}}</p><p>§{{30}}</p><p>§{{9}}</p><p>§{{40}}</p><div><a href='/'>{{2}}</a></div><div>{{3}}</div><div><a href='/'>{{3}}</a></div>",
+    "<div><a href='/'>{1}</a></div><div><a href='/'>{2}</a></div><div>{1}</div><div><a href='/'>{1}</a></div><h1>§{4}</h1><div>§{25}</div><div>§{18}</div><div>§{22} <a href='/'>{6}</a></div><div><a href='/'>{2}</a></div><div>{4}</div><div><a href='/'>{2}</a></div>",
+    "<table><tr><td><a href='/'>{2}</a></td><td><a href='/'>{1}</a></td><td><a href='/'>{3}</a></td></tr><tr><td><p>§{28}</p><p>§{33}</p><p>§{14}</p><p>§{6}</p><p>§{41}</p></td></tr><tr><td><a href='/'>{2}</a></td><td>{2}</td><td><a href='/'>{1}</a></td></tr></table>",
+    "<div id='menu'><a href='/'>{1}</a></div><div class='cookie-banner'><p>{22}</p><a href='/'>{1}</a></div><h1>§{8}</h1><p>§{38}</p><h2>§{3}</h2><p>§{26}</p><p>§{5}</p><p>§{31}</p><div class='newsletter'><h3>{3}</h3><p>{18}</p></div><div class='footer'>{9}</div>",
+    "<h1>§{5}</h1><p>§{40}</p><p>§{10}</p><div><a href='/'>{2}</a></div><div>{1}</div><div><a href='/'>{1}</a></div>",
+    "<div><a href='/'>{2}</a></div><div>{3}</div><div><a href='/'>{1}</a></div><p>§{35}</p><p>§{50}</p><p>§{6}</p><ul><li><a href='/'>{3}</a></li><li><a href='/'>{2}</a></li></ul>",
+    "<p>§{30}</p><p>§{3}</p><p><a href='/'>{4}</a></p><p>{2}</p><p><a href='/'>{4}</a></p>",
+    # links in running text, and lists of links
+    "<div><p>§{20} <a href='/'>{4}</a></p><p>§{10} <a href='/'>{7}</a> {8}</p><p>§{24}</p><p>§{9} <a href='/'>{3}</a> {12}</p></div><div><a href='/'>{4}</a> {1}</div><div><a href='/'>{6}</a> {1}</div><div><a href='/'>{5}</a></div>",
+    "<h2>{1}</h2><ul><li><a href='/'>{4}</a></li><li><a href='/'>{6}</a></li><li><a href='/'>{5}</a></li></ul><p>§{55}</p><p>§{48}</p><h3><a href='/'>{3}</a></h3><ul><li><a href='/'>{7}</a></li><li><a href='/'>{2}</a></li></ul>",
+    # teasers and notes beside an article that holds most of the words
+    "<div><p>{12}</p></div><main><h1>§{6}</h1><p>§{90}</p><p>§{75}</p><p>§{7}</p></main><div><h3>{4}</h3><p>{25}</p></div><div><article><h3>{5}</h3><p>{20}</p></article><article><p>{16}</p></article></div><p>{6}</p>",
+    "<div>{5}</div><article><h1>§{4}</h1><p>§{120}</p></article><p>{30}</p><div><article><p>{18}</p></article></div><div>{8} <a href='/'>{4}</a></div>",
+    # little text
+    "<p>§{14}</p>",
+    "<div>§{4}</div><p>§{9}</p><p>§{3}</p>",
+    "<h1>§{5}</h1><p>§{7}</p><p>§{2}</p>",
+    "<article>§{2}</article>",
+    "<div><p>§{80}</p></div><div class='share'>{2}</div><div class='related'><h3>{2}</h3><p>{15}</p><p>{11}</p></div>",
+    "<p><a href='/'>{5}</a></p><p>§{30}</p><p>§{2}</p><p>§{26}</p><p><a href='/'>{2}</a></p>",
 )
-LABELLED = (*((*r[:-1], 0, r[-1]) for r in _LABELLED), *((*r, 1, 0) for r in _BESIDE))
+
+
+def labelled_rows() -> list[tuple]:
+    """The features of each block of the labelled pages, then 1 for main text."""
+    rows = []
+    for page in LABELLED_PAGES:
+        blocks = blocks_of(re.sub(r"\{(\d+)\}", lambda m: " ".join(["word"] * int(m[1])), page.replace("§", MARK)))
+        rows += [(*f, int(b.text.startswith(MARK))) for b, f in zip(blocks, features_of(blocks))]
+    return rows
+
+
+def fitted() -> Node:
+    return grow(labelled_rows())
 
 
 class Node(NamedTuple):
@@ -350,7 +399,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = grow(LABELLED)
+        tree = fitted()
         for batch in batches:
             for block in text_blocks(batch, "html"):
                 texts = [main_text(page, tree) for page in block.column(2).to_pylist()]

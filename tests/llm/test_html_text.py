@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import html
+import re
+import time
+
 from lakeloom.llm import html_text as ht
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; U</title><style>p{}</style></head><body>
@@ -54,16 +58,63 @@ def test_layouts_that_lost_the_article(spark):
 
 def test_teaser_articles_do_not_drop_the_main_text():
     cards = "".join(f"<article><p>{para(f't{k}x', 12)}</p></article>" for k in range(3))
-    text = ht.main_text(f"<body><div><h1>The title</h1><p>{para('a', 60)}</p><p>{para('b', 60)}</p></div><div>{cards}</div></body>", ht.grow(ht.LABELLED))
+    text = ht.main_text(f"<body><div><h1>The title</h1><p>{para('a', 60)}</p><p>{para('b', 60)}</p></div><div>{cards}</div></body>", ht.fitted())
     assert text.startswith(f"The title\n\n{para('a', 60)}\n\n{para('b', 60)}")
     linked = "<body><a href='/x'><div>" + para("card", 8) + "</div></a><div><p>" + para("a", 60) + "</p></div></body>"
-    assert ht.main_text(linked, ht.grow(ht.LABELLED)) == para("a", 60)
+    assert ht.main_text(linked, ht.fitted()) == para("a", 60)
+
+
+def features_in(tree):
+    return set() if tree.feature < 0 else {ht.FEATURES[tree.feature]} | features_in(tree.low) | features_in(tree.high)
+
+
+def test_tree_separates_its_table_by_words_and_links_of_neighbours():
+    tree, rows = ht.fitted(), ht.labelled_rows()
+    assert len(rows) < 200
+    wrong = sum(ht.is_main(tree, r[:-1]) != bool(r[-1]) for r in rows)
+    assert wrong <= 3
+    assert {"link_density", "furniture"} < features_in(tree)
+    assert {"words_before", "words_after", "link_density_before", "link_density_after"} & features_in(tree)
+
+
+def test_unmarked_menus_go_by_their_neighbours():
+    menu = "<div><a href='/'>Home</a></div><div>News today</div><div><a href='/'>Sport pages</a></div>"
+    body = f"<h1>The title</h1><p>{para('a', 40)}</p><p>{para('b', 50)}</p><p>{para('c', 12)}</p>"
+    want = "\n\n".join(["The title", para("a", 40), para("b", 50), para("c", 12)])
+    assert ht.main_text(f"<body>{menu}{body}{menu}</body>", ht.fitted()) == want
+
+
+def test_a_page_inside_a_form():
+    body = f"<article><h1>The title</h1><p>{para('a')}</p><p>{para('b')}</p></article>"
+    want = "\n\n".join(["The title", para("a"), para("b")])
+    for page in (f"<form id='aspnetForm'>{body}</form>", f"<form id='aspnetForm'><div>{body}</div><div class='sidebar'><p>{para('s', 9)}</p></div></form>", f"{body}<form><p>{para('f', 20)}</p></form>"):
+        assert ht.main_text(f"<body>{page}</body>", ht.fitted()) == want
+
+
+def test_long_and_broken_pages_take_linear_time():
+    n = 100_000
+    pages = ["<b>" * n + "</i>" * n, "<i><div>" + "<b>" * n + "</i>" * n, "<b>" * n + "<div></div>" * n, '<a "' * n, "<a ='" * n, "<div>" * n + "</p>" * n, "<ul>" + "<li>x<b>" * n, "<a href=x>" * n]
+    began = time.perf_counter()
+    for page in pages:
+        ht.blocks_of(page)
+    assert time.perf_counter() - began < 60
+
+
+def plain_article(page):
+    """The pages of the corpus by regular expressions: all paragraphs and headings of the one article."""
+    inner = re.search(r"<article>(.*?)(?:</article>|$)", page, re.S)[1]
+    inner = re.sub(r"<script.*?</script>|<style.*?</style>|<!--.*?-->", "", inner, flags=re.S)
+    blocks = re.split(r"</?(?:p|h1|h2|h3|div|li|ul)\b[^>]*>", re.sub(r"<br\s*/?>", " ", inner))
+    texts = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", b))).strip() for b in blocks]
+    return "\n\n".join(t for t in texts if t)
 
 
-def test_tree_separates_its_table():
-    tree = ht.grow(ht.LABELLED)
-    wrong = sum(ht.is_main(tree, r[:-1]) != bool(r[-1]) for r in ht.LABELLED)
-    assert wrong <= 2
+def test_the_corpus_against_plain_expressions(spark):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    got = {r["page_id"]: r["text"] for r in ht.op8_html_text(spark, "/root/testdata/sf0.01").collect()}
+    assert got.keys() == pages.keys()
+    wrong = [i for i, page in pages.items() if got[i] != plain_article(page)]
+    assert wrong == []
 
 
 def test_every_page_of_the_corpus_has_text_without_furniture(spark):
