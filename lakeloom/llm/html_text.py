@@ -320,6 +320,7 @@ LABELLED_PAGES = (
     "<div id='menu'><a href='/'>{1}</a></div><div class='cookie-banner'><p>{22}</p><a href='/'>{1}</a></div><h1>§{8}</h1><p>§{38}</p><h2>§{3}</h2><p>§{26}</p><p>§{5}</p><p>§{31}</p><div class='newsletter'><h3>{3}</h3><p>{18}</p></div><div class='footer'>{9}</div>",
     "<h1>§{5}</h1><p>§{40}</p><p>§{10}</p><div><a href='/'>{2}</a></div><div>{1}</div><div><a href='/'>{1}</a></div>",
     "<div><a href='/'>{2}</a></div><div>{3}</div><div><a href='/'>{1}</a></div><p>§{35}</p><p>§{50}</p><p>§{6}</p><ul><li><a href='/'>{3}</a></li><li><a href='/'>{2}</a></li></ul>",
+    "<div><a href='/'>{4}</a></div><div>{2}</div><div><a href='/'>{5}</a></div><div>{3}</div><div><a href='/'>{3}</a></div><p>§{60}</p><p>§{45}</p>",
     "<p>§{30}</p><p>§{3}</p><p><a href='/'>{4}</a></p><p>{2}</p><p><a href='/'>{4}</a></p>",
     # links in running text, and lists of links
     "<div><p>§{20} <a href='/'>{4}</a></p><p>§{10} <a href='/'>{7}</a> {8}</p><p>§{24}</p><p>§{9} <a href='/'>{3}</a> {12}</p></div><div><a href='/'>{4}</a> {1}</div><div><a href='/'>{6}</a> {1}</div><div><a href='/'>{5}</a></div>",
@@ -358,7 +359,7 @@ class Node(NamedTuple):
     share: float  # of main text among the table's rows that came here
 
 
-def grow(rows, depth: int = 5, least: int = 2) -> Node:
+def grow(rows, depth: int = 8, least: int = 2) -> Node:
     """A binary tree by Gini impurity; the first best split counts."""
     share = sum(r[-1] for r in rows) / len(rows)
     gini = lambda part: (lambda p: len(part) * p * (1 - p))(sum(r[-1] for r in part) / len(part))
