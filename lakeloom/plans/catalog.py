@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.plans import relational, star
+from lakeloom.functions import own
+from lakeloom.plans import relational, relations, scalars, star, statistics, windows
+from lakeloom.sources import formats
 from lakeloom.streaming import events
 
-_MODULES = (relational, star, events)
+_MODULES = (relational, star, statistics, windows, relations, scalars, own, formats, events)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -54,10 +54,10 @@ def matched_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def below_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlated average: lines under a fifth of their part's mean quantity."""
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("_lines")
     return spark.sql(
-        "SELECT l_partkey, count(*) AS n, cast(sum(l_quantity) as double) AS quantity FROM _lines a"
-        " WHERE l_quantity < (SELECT 0.2 * avg(l_quantity) FROM _lines b WHERE a.l_partkey = b.l_partkey) GROUP BY l_partkey"
+        "SELECT l_partkey, count(*) AS n, cast(sum(l_quantity) as double) AS quantity FROM {lines} a"
+        " WHERE l_quantity < (SELECT 0.2 * avg(l_quantity) FROM {lines} b WHERE a.l_partkey = b.l_partkey) GROUP BY l_partkey",
+        lines=table(spark, sf_dir, "lineitem"),
     )
 
 
@@ -82,8 +82,7 @@ def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = W.partitionBy("user_id").orderBy("ts", "event_id")
     events = table(spark, sf_dir, "events").withColumn("v", F.col("value").cast("decimal(12, 4)"))
     events = events.withColumns({"total": F.sum("v").over(own.rowsBetween(W.unboundedPreceding, 0)).cast("double"), "gap_us": (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(own).cast("timestamp"))).cast("long")})
-    events.createOrReplaceTempView("_events")
-    return spark.sql("SELECT event_id, total, gap_us, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n_day FROM _events")
+    return spark.sql("SELECT event_id, total, gap_us, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n_day FROM {events}", events=events)
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
