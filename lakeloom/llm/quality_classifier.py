@@ -14,7 +14,8 @@ Host and path are columns; here the source and, in it, the language.
 Cases: a null or empty text scores 0 and is not kept; null hosts and paths are
 groups of their own; labels of a repeated doc_id count once (the lower one), null
 labels not at all; without labels the prior is a half and the evidence 0; rows
-that repeat a doc_id are scored one by one; other columns are ignored.
+that repeat a doc_id are scored one by one; a score of exactly ``KEEP_FROM`` is kept;
+other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from lakeloom.llm.components import connected_components
+
 import random
 import re
 
@@ -84,3 +88,30 @@ def test_stage_tells_rows_by_id_and_text(spark):
     rows = [(3, a, "en", "a"), (7, a, "en", "a"), (7, b, "en", "a"), (7, c, "en", "a"), (7, d + " tail", "en", "a"), (8, d, "en", "a"), (7, "", "en", "a"), (None, a, "en", "a"), (None, d, "en", "a")]
     got = [(r["doc_id"], r["text"]) for r in nj.stage(spark, documents(spark, rows), "").collect()]
     assert sorted(got, key=repr) == sorted([(3, a), (7, b), (7, c), (7, d + " tail"), (7, ""), (None, a), (None, d)], key=repr)
+
+
+def test_one_long_text_gives_the_sets_of_many(monkeypatch):
+    """The way of a long text, slice by slice, and that of many texts agree; so do sums and checks."""
+    texts = ["", "one two", "a b c d e f g a b c d e f g", "x " * 50, "w " + " ".join(f"t{i % 37}" for i in range(500))]
+    many = nj.ShingleSets(pa.array(texts))
+    monkeypatch.setattr(nj, "SLICE_WORDS", 11)
+    for i, text in enumerate(texts):
+        one = nj.ShingleSets(pa.array([text]))
+        assert one.value.tolist() == many.value[many.first[i] : many.first[i + 1]].tolist()
+        assert (one.node[0], one.check()[0], one.n[0]) == (many.node[i], many.check()[i], many.n[i])
+
+
+def test_sets_that_share_a_digest_are_told_apart():
+    texts = pa.array(["a b c d e f", "g h i j k l", "m n o p q r"])
+    plain = nj.ShingleSets(texts)
+    told = nj.ShingleSets(texts, shared=np.array([plain.node[1]]))
+    assert told.node[[0, 2]].tolist() == plain.node[[0, 2]].tolist() and told.node[1] != plain.node[1]
+    assert told.check().tolist() == plain.check().tolist()
+
+
+def test_components_with_a_hot_node(spark):
+    """A star of most of the edges, a long path and pairs."""
+    edges = [(0, i) for i in range(1, 1500)] + [(5000 + i, 5001 + i) for i in range(60)] + [(9000 + 2 * i, 9001 + 2 * i) for i in range(40)] + [(7, 7)]
+    got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "x long, y long")).collect()}
+    want = {i: 0 for i in range(1500)} | {5000 + i: 5000 for i in range(61)} | {9000 + i: 9000 + i // 2 * 2 for i in range(80)}
+    assert got == want

@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lakeloom.llm import ngram_join, quality_rules, source_mix, token_files
+from tests.llm.helpers import documents
 from tests.llm.test_decontamination import brute as leaks
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +48,21 @@ def test_stages_take_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_awkward_rows_through_all_stages(spark, tmp_path):
+    """Nulls, repeated rows and ids, a long text and columns with clashing names, stage after stage."""
+    item = "what is the name of the longest river that runs through the old town"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    own = lambda k, n=80: " ".join(f"{k}word{i}" for i in range(n))
+    rows = [(1, None, None, None), (2, "", "en", "a"), (None, own("x"), None, None), (None, own("y"), "en", "a"), (3, own("a"), "en", "a"), (4, own("a"), "en", "a"), (4, own("a"), "en", "a")]
+    rows += [(5, own("b") + " " + item, "en", "a"), (5, own("c"), "en", None), (6, own("long", 60000), "en", "a"), (7, own("d"), None, "b")]
+    docs = documents(spark, rows)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        if name != "token_files":
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        if name == "decontamination":
+            left = sorted(((r["doc_id"], r["text"][:2]) for r in docs.collect()), key=repr)
+            assert left == sorted([(None, "xw"), (None, "yw"), (3, "aw"), (5, "cw"), (6, "lo"), (7, "dw")], key=repr)
+    assert {r["doc_id"] for r in docs.collect()} == {None, 3, 5, 6, 7}

@@ -35,3 +35,15 @@ def test_sparse_sites_shrink_more(spark):
     labels = spark.createDataFrame([(i, 0, 0) for i in range(10)] + [(200 + i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int")
     by = {r["doc_id"]: r for r in qc.classify(documents(spark, rows), labels).collect()}
     assert by[0]["path_posterior"] < by[100]["path_posterior"] < by[200]["path_posterior"]
+
+
+def test_held_out_labels(spark):
+    """Fitted on three quarters of the labels, the score ranks the good documents of the rest above the bad ones."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    score = {r["doc_id"]: r["score"] for r in qc.classify(docs, labels.where("doc_id % 4 <> 2")).collect()}
+    rest = [(score[r["doc_id"]], r["quality"]) for r in labels.where("doc_id % 4 = 2").collect() if r["doc_id"] in score]
+    good, bad = [s for s, q in rest if q], [s for s, q in rest if not q]
+    area = sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+    print("held-out area under the curve", area, len(good), len(bad))
+    assert area >= 0.9
