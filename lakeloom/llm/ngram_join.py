@@ -22,6 +22,13 @@ to be heavy: such sets are first compared with a few hubs and contracted, then
 those of one hub are compared across components, if their bound allows a link.
 No link between components is lost.
 
+A frequent shingle, with a large part of all postings, would put them in one task.
+The first pass over the texts finds such shingles (counters of bounded number in each
+task, over all sets, merged by sums).  They count as heavy without being counted out,
+so their rows are dealt by set as well, and what is known of a frequent shingle
+reaches its rows by a broadcast.  Which shingles are frequent only decides the way:
+any list of them leads to the same links.
+
 Nodes are 64-bit digests of the sets, told apart by a second one where two sets
 share a digest; shingles are 64-bit hashes.  One text of any length takes some
 tens of bytes a word.  Cases: null and empty texts are empty sets
@@ -60,6 +67,9 @@ REMEMBERED = 1 << 20
 MOST_SHARED = 10_000
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Frequent shingles are in so many sets at least, and have over one in COUNTERS (or four times the shuffle partitions, if more) of all postings.
+MANY_SETS = 1000
+COUNTERS = 1024
 
 
 def least_overlap(n, similarity: int):
@@ -141,24 +151,54 @@ class ShingleSets:
         return at, row
 
 
+class Met:
+    """Tells the sets of a task that it hasn't met before, as far as it remembers."""
+
+    def __init__(self) -> None:
+        self.seen: set[int] = set()
+
+    def fresh(self, sets: ShingleSets) -> np.ndarray:
+        new = sets.n > 0
+        for i, node in enumerate(sets.node.tolist()):
+            if node in self.seen:
+                new[i] = False
+            self.seen.add(node)
+        if len(self.seen) > REMEMBERED:
+            self.seen.clear()
+        return new
+
+
+class FrequentValues:
+    """At most ``most`` counters of the most frequent values (Misra-Gries, blocks at once).
+
+    A counter is at most 1 / most of all values below the true count, and those of
+    tasks may be added up with the same bound.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.total = most, 0
+        self.value, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, values: np.ndarray) -> None:
+        self.total += len(values)
+        new, count = np.unique(values, return_counts=True)
+        value, at = np.unique(np.concatenate([self.value, new]), return_inverse=True)
+        count = np.bincount(at, np.concatenate([self.count, count]), len(value)).astype(np.int64)
+        if len(value) > self.most:
+            count -= np.partition(count, -self.most - 1)[-self.most - 1]
+        self.value, self.count = value[count > 0], count[count > 0]
+
+
 def _mapped(docs: DataFrame, schema: str, rows_of: Callable[[ShingleSets, np.ndarray], list[pa.Array]], k: int, shared: np.ndarray) -> DataFrame:
-    """Arrow rows made from the shingle sets; ``rows_of`` also gets the marks of
-    sets that the task hasn't met before (as far as it remembers)."""
+    """Arrow rows made from the shingle sets; ``rows_of`` also gets the marks of fresh ones."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        met = Met()
         for batch in batches:
             for block in text_blocks(batch, "text"):
                 sets = ShingleSets(block.column(1), k, shared)
-                fresh = sets.n > 0
-                for i, node in enumerate(sets.node.tolist()):
-                    if node in seen:
-                        fresh[i] = False
-                    seen.add(node)
-                if len(seen) > REMEMBERED:
-                    seen.clear()
-                columns = rows_of(sets, fresh)
+                columns = rows_of(sets, met.fresh(sets))
                 for a in range(0, len(columns[0]), 1 << 16):
                     yield pa.RecordBatch.from_arrays([c[a : a + (1 << 16)] for c in columns], names)
 
@@ -166,30 +206,53 @@ def _mapped(docs: DataFrame, schema: str, rows_of: Callable[[ShingleSets, np.nda
 
 
 def _nodes(docs: DataFrame, k: int, shared: np.ndarray | None = None) -> DataFrame:
-    names = ["doc_id", "text_hash", "n_shingles", "node", "check"]
+    """A row a document, and rows of frequent shingles: ``node`` is the shingle and ``times`` how many sets it was counted in."""
+    names = ["doc_id", "text_hash", "n_shingles", "node", "check", "times"]
+    most = _counters(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, frequent = Met(), FrequentValues(most)
         for batch in batches:
             for block in text_blocks(batch, "text"):
                 sets = ShingleSets(block.column(1), k, shared)
-                yield pa.RecordBatch.from_arrays([block.column(0), block.column(2), pa.array(sets.n), pa.array(sets.node), pa.array(sets.check())], names)
+                frequent.add(sets.value[np.repeat(met.fresh(sets), sets.n)].view(np.int64))
+                yield pa.RecordBatch.from_arrays([block.column(0), block.column(2), pa.array(sets.n), pa.array(sets.node), pa.array(sets.check()), pa.nulls(len(sets.n), pa.int64())], names)
+        # What is dropped here is below 1 / most of the task's values, as is what the counters missed.
+        at = np.flatnonzero(frequent.count * most >= frequent.total)
+        none = pa.nulls(len(at), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(frequent.value[at]), none, pa.array(frequent.count[at])], names)
 
     rows = text_documents(docs).withColumn("text_hash", text_hash(F.col("text")))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, check long")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, check long, times long")
+
+
+def _counters(spark: SparkSession) -> int:
+    return max(COUNTERS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _frequent(held: DataFrame) -> DataFrame:
+    """The frequent shingles (token), fewer than there are counters."""
+    total = held.where("times IS NULL").agg(F.sum("n_shingles")).first()[0] or 0
+    least = max(MANY_SETS, total // _counters(held.sparkSession) + 1)
+    found = held.where("times IS NOT NULL").groupBy(F.col("node").alias("token")).agg(F.sum("times").alias("times")).where(F.col("times") >= least)
+    return materialise(found.select("token"), "frequent")
 
 
-def _told_apart(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """The nodes of all rows, and the digests that different sets share.
+def _told_apart(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, DataFrame]:
+    """The nodes of all rows, the digests that different sets share, and the frequent shingles.
 
     Among n distinct sets about n * n / 2**65 share one, so their list is next to
     empty; a list that is not means that something else is wrong.
     """
-    nodes = materialise(_nodes(docs, k), "nodes", keep=True)
+    held = materialise(_nodes(docs, k), "nodes", keep=True)
+    nodes, frequent = held.where("times IS NULL").drop("times"), _frequent(held)
     twice = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").select("node")
     shared = np.array([r["node"] for r in twice.limit(MOST_SHARED + 1).collect()], np.int64)
     if len(shared) > MOST_SHARED:
         raise ValueError("the digests of different sets agree too often")
-    return (materialise(_nodes(docs, k, shared), "nodes", keep=True), shared) if len(shared) else (nodes, shared)
+    if len(shared):
+        nodes = materialise(_nodes(docs, k, shared).where("times IS NULL").drop("times"), "nodes", keep=True)
+    return nodes, shared, frequent
 
 
 def _postings(docs: DataFrame, share: int, similarity: int, k: int, shared: np.ndarray) -> DataFrame:
@@ -213,11 +276,24 @@ def _overlap(n: str, similarity: int) -> str:
     return f"({similarity} * {n} + 99) div 100"
 
 
-def _shared(postings: DataFrame) -> DataFrame:
-    """Postings of shingles with two sets at least, once a set, with ``df``, the number of sets."""
-    by = W.partitionBy("token")
-    once = postings.withColumn("_last", F.lag("node").over(by.orderBy("node"))).where("_last IS NULL OR _last <> node").drop("_last")
-    return once.withColumn("df", F.count("*").over(by)).where("df > 1")
+def _shared(postings: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Postings of shingles with two sets at least, once a set, with ``df``, the number of sets.
+
+    Frequent shingles are marked; they count as heavy ones, and their rows are dealt by shingle and set.
+    """
+    marked = postings.join(F.broadcast(frequent.withColumn("_often", F.lit(True))), "token", "left")
+    marked = marked.select("token", "node", "n", F.when(F.col("_often"), F.col("node")).alias("_salt"))
+    by = W.partitionBy("token", "_salt")
+    once = marked.withColumn("_last", F.lag("node").over(by.orderBy("node"))).where("_last IS NULL OR _last <> node").drop("_last")
+    often = F.col("_salt").isNotNull()
+    counted = once.withColumn("df", F.when(often, F.lit(FEW_SETS + 1).cast("long")).otherwise(F.count("*").over(by)))
+    return counted.where("df > 1").withColumn("often", often).drop("_salt")
+
+
+def _of_token(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows joined with a few known rows of their shingle; those of the (boundedly many) frequent shingles are broadcast."""
+    plain = rows.where("NOT often").join(known.where("NOT often").drop("often"), "token")
+    return plain.unionByName(rows.where("often").join(F.broadcast(known.where("often").drop("often")), "token"))
 
 
 def _still_possible(shared: DataFrame, similarity: int) -> DataFrame:
@@ -267,19 +343,19 @@ def _linked(docs: DataFrame, similarity: int, k: int) -> tuple[DataFrame, DataFr
 
 
 def _link(rows: DataFrame, similarity: int, k: int) -> tuple[DataFrame, DataFrame]:
-    nodes, shared = _told_apart(rows, k)
+    nodes, shared, frequent = _told_apart(rows, k)
 
-    first = _shared(_postings(rows, FIRST_SHARE, similarity, k, shared)).groupBy("node", "n").agg(F.count("*").alias("c"))
+    first = _shared(_postings(rows, FIRST_SHARE, similarity, k, shared), frequent).groupBy("node", "n").agg(F.count("*").alias("c"))
     # A partner may be smaller: its l, of its size, is what both share at least.
     first = first.where(f"c >= greatest(1, ({FIRST_SHARE} * ({_overlap('n', similarity)}) + 99) div 100)")
-    second = _shared(_postings(_documents_of(rows, nodes, materialise(first.select("node"), "first")), 100, similarity, k, shared))
+    second = _shared(_postings(_documents_of(rows, nodes, materialise(first.select("node"), "first")), 100, similarity, k, shared), frequent)
     second = materialise(_still_possible(second, similarity), "second")
 
     sets = materialise(_sets(_documents_of(rows, nodes, second), k, shared).join(second, "node"), "sets")
     least, extra = f"cast({_overlap('n', similarity)} as int)", "cast(greatest(1, (share * n + 99) div 100) as int)"
     sets = materialise(sets.withColumn("l", F.expr(f"least({extra}, {least})")).drop("share"), "sets")
     prefixes = sets.select("node", "n", F.expr(f"explode(slice(tokens, 1, n - {least} + l))").alias("token"))
-    third = materialise(prefixes.withColumn("df", F.count("*").over(W.partitionBy("token"))).where("df > 1"), "third")
+    third = materialise(_shared(prefixes, frequent), "third")
     heavy = third.where(F.col("df") > FEW_SETS)
     held = heavy.groupBy("node").agg(F.count("*").alias("h"))
     sizes = materialise(sets.select("node", "n", "l").join(held, "node", "left").fillna(0, ["h"]), "sizes")
@@ -295,17 +371,17 @@ def _link(rows: DataFrame, similarity: int, k: int) -> tuple[DataFrame, DataFram
 
     # Pairs of heavy shingles alone.  The sets of a shingle in an order of their own, one for all shingles,
     # those with the largest heavy share first: sets that share much meet the same few hubs.
-    full = heavy.select("token", "node").join(sizes.where(f"100 * h >= {similarity} * n"), "node")
+    full = heavy.select("token", "node", "often").join(sizes.where(f"100 * h >= {similarity} * n"), "node")
     order = W.partitionBy("token").orderBy(F.col("h") / F.col("n") * -1, "node")
     hubs = full.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= HUBS)
-    first = hubs.where("_rank = 1").select("token", F.col("node").alias("hub"))
-    hubs = hubs.select("token", F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("h").alias("_h"))
+    first = hubs.where("_rank = 1").select("token", "often", F.col("node").alias("hub"))
+    hubs = hubs.select("token", "often", F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("h").alias("_h"))
     bound = f"{_sizes_fit('n', '_n', similarity)} AND {_may_link('least(h, _h)', 'n', '_n', similarity)}"
-    of_hubs = full.join(hubs, "token").where(f"node <> _node AND {bound}").select(*_pair("node", "_node")).distinct()
+    of_hubs = _of_token(full, hubs).where(f"node <> _node AND {bound}").select(*_pair("node", "_node")).distinct()
     links = materialise(_verified(pairs.unionByName(of_hubs).distinct(), sets, similarity), "links")
     labels = connected_components(links)
 
-    of_hub = full.join(first, "token").select("hub", "node", "n", "h").distinct()
+    of_hub = _of_token(full, first).select("hub", "node", "n", "h").distinct()
     of_hub = of_hub.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = of_hub.groupBy("hub").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("hub")
     of_hub = materialise(of_hub.join(several, "hub", "left_semi"), "of-hub")

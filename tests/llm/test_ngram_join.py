@@ -76,6 +76,32 @@ def test_groups_of_near_copies_and_shared_passages(spark, seed):
     assert rows_of(nj.link_components(documents(spark, rows))) == brute(rows)
 
 
+@pytest.mark.parametrize("most", [16, 4096])
+def test_frequent_shingles_lose_no_link(spark, monkeypatch, most):
+    """Shingles that count as frequent, the passage's or all of them, are dealt by set; the links stay."""
+    monkeypatch.setattr(nj, "MANY_SETS", 1)
+    monkeypatch.setattr(nj, "_counters", lambda spark: most)
+    r = random.Random(most)
+    passage = [f"p{i}" for i in range(30)]
+    rows = [(i, " ".join(edited(passage[: r.randrange(20, 31)], r.choice([0, 0, 1, 2]), r) + [f"own{i}y{j}" for j in range(r.choice([0, 2, 6, 10, 40]))]), "en", "a") for i in range(80)]
+    assert rows_of(nj.link_components(documents(spark, rows))) == brute(rows)
+
+
+def test_counters_find_what_is_frequent():
+    """No value with over 1 / most of all is missed, whatever the order, and counters stay below the true counts by at most that."""
+    r = np.random.default_rng(3)
+    values = np.concatenate([r.integers(0, 1 << 40, 50000), np.repeat([1, 2, 3], [4000, 2000, 1000])])
+    r.shuffle(values)
+    counters = nj.FrequentValues(64)
+    for a in range(0, len(values), 999):
+        counters.add(values[a : a + 999])
+    got = dict(zip(counters.value.tolist(), counters.count.tolist()))
+    assert len(got) <= 64 and counters.total == len(values)
+    for v, n in ((1, 4000), (2, 2000), (3, 1000)):
+        assert n - len(values) / 64 <= got.get(v, 0) <= n
+    assert got[1] and got[2]
+
+
 def test_stage_keeps_one_of_each_group(spark):
     body = " ".join(f"w{i}" for i in range(40))
     rows = [(2, body, "en", "a"), (1, body, "en", "a"), (1, body, "en", "a"), (3, "lonely", "en", "a"), (4, None, "en", "a"), (None, body, "en", "a")]
