@@ -356,6 +356,9 @@ def _link(rows: DataFrame, similarity: int, k: int) -> tuple[DataFrame, DataFram
     sets = materialise(sets.withColumn("l", F.expr(f"least({extra}, {least})")).drop("share"), "sets")
     prefixes = sets.select("node", "n", F.expr(f"explode(slice(tokens, 1, n - {least} + l))").alias("token"))
     third = materialise(_shared(prefixes, frequent), "third")
+    # Shingles of few sets in the corpus may be frequent among what is left.
+    many = max(MANY_SETS, third.count() // _counters(rows.sparkSession) + 1)
+    third = third.withColumn("often", F.col("often") | (F.col("df") >= many))
     heavy = third.where(F.col("df") > FEW_SETS)
     held = heavy.groupBy("node").agg(F.count("*").alias("h"))
     sizes = materialise(sets.select("node", "n", "l").join(held, "node", "left").fillna(0, ["h"]), "sizes")
