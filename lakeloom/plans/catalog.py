@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom.functions import own
-from lakeloom.plans import relational, relations, scalars, star, statistics, windows
+from lakeloom.plans import relational, relations, scalars, scripts, star, statistics, windows
 from lakeloom.sources import formats
-from lakeloom.streaming import events
+from lakeloom.streaming import events, states
 
-_MODULES = (relational, star, statistics, windows, relations, scalars, own, formats, events)
+_MODULES = (relational, star, statistics, windows, relations, scalars, scripts, own, formats, events, states)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
