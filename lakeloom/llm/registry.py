@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lakeloom.llm import decontamination, html_text, language_id, license_scan, ngram_join, quality_classifier, quality_rules, source_mix, token_counts, token_files
+from lakeloom.llm import decontamination, html_text, language_id, license_scan, ngram_join, quality_classifier, quality_rules, source_mix, token_alignment, token_counts, token_files
 
 _QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -20,6 +20,7 @@ _QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_language_id": language_id.op9_language_id,
     "op10_token_files": token_files.op10_token_files,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
 }
 _QUERIES["pipeline"] = corpus_pipeline.run
 _ORACLES = {
