@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from lakeloom.functions.aggregates import Spread, WeightedMoments, aggregated
 from lakeloom.sources.tables import table
 
 
@@ -18,35 +19,42 @@ def discounted(price: pd.Series, discount: pd.Series) -> pd.Series:
     return price * (1 - discount)
 
 
-@F.pandas_udf(DoubleType())
-def spread(values: pd.Series) -> float:
-    return float(values.max() - values.min())
-
-
 @F.udtf(returnType=StructType([StructField("part", StringType()), StructField("n", LongType())]))
 class Parts:
-    """The dot-separated parts of a host, from the last one."""
+    """The dot-separated parts of a host, from the last one; none of a null host."""
 
     def eval(self, host: str):
-        for i, part in enumerate(reversed(host.split("."))):
-            yield part, i
+        if host is not None:
+            for i, part in enumerate(reversed(host.split("."))):
+                yield part, i
 
 
 def pandas_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scalar and a grouped-aggregate pandas function."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000")
-    rows = lines.withColumn("net", discounted("l_extendedprice", "l_discount"))
-    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.round(spread("net"), 4).alias("net_spread"), F.round(spread("l_quantity"), 4).alias("quantity_spread"))
+    """A scalar pandas function, and aggregates whose states are merged: no worker sees a whole group."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("net", discounted("l_extendedprice", "l_discount"))
+    by = ["l_returnflag", "l_linestatus"]
+    net = aggregated(lines, by, ["net"], Spread()).withColumnRenamed("spread", "net_spread")
+    moments = aggregated(lines, by, ["l_discount", "l_quantity"], WeightedMoments())
+    rows = net.join(moments, by)
+    return rows.select(*by, F.round("net_spread", 4).alias("net_spread"), F.round("w_mean", 8).alias("w_mean"), F.round("w_var", 8).alias("w_var"))
+
+
+def _frames(orders: DataFrame) -> int:
+    """Groups of customers: the orders of one are a pandas frame of some megabytes at any scale."""
+    return max(8, orders.count() // 100_000)
 
 
 def grouped_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """applyInPandas on small groups: each customer's orders with the gap to the one before."""
+    """applyInPandas on groups of many customers: each one's orders with the gap to the one before."""
 
     def gaps(orders: pd.DataFrame) -> pd.DataFrame:
-        orders = orders.sort_values(["o_orderdate", "o_orderkey"])
-        return pd.DataFrame({"o_orderkey": orders["o_orderkey"], "gap_days": orders["o_orderdate"].diff().dt.days.astype("float64")})
+        orders = orders.sort_values(["o_custkey", "o_orderdate", "o_orderkey"])
+        gap = orders.groupby("o_custkey", dropna=False)["o_orderdate"].diff().dt.days.astype("float64")
+        return pd.DataFrame({"o_orderkey": orders["o_orderkey"], "gap_days": gap})
 
-    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate").groupBy("o_custkey").applyInPandas(gaps, "o_orderkey long, gap_days double")
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    frame = F.pmod(F.xxhash64("o_custkey"), F.lit(_frames(orders)))
+    return orders.groupBy(frame.alias("frame")).applyInPandas(gaps, "o_orderkey long, gap_days double")
 
 
 def arrow_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,16 +72,18 @@ def arrow_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Python table function called laterally from SQL, and a SQL function that Catalyst inlines."""
-    spark.udtf.register("host_parts", Parts)
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION page_host(url STRING) RETURNS STRING RETURN split_part(url, '/', 3)")
-    return spark.sql("SELECT page_id, part, n FROM (SELECT page_id, page_host(url) AS host FROM {pages}) p, LATERAL host_parts(p.host)", pages=table(spark, sf_dir, "pages"))
+    spark.udtf.register("lakeloom_host_parts", Parts)
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION lakeloom_page_host(url STRING) RETURNS STRING RETURN split_part(url, '/', 3)")
+    return spark.sql("SELECT page_id, part, n FROM (SELECT page_id, lakeloom_page_host(url) AS host FROM {pages}) p, LATERAL lakeloom_host_parts(p.host)", pages=table(spark, sf_dir, "pages"))
 
 
 QUERIES = {f.__name__: f for f in (pandas_functions, grouped_maps, arrow_maps, table_functions)}
 ORACLES = {
     "pandas_functions": """
-        SELECT l_returnflag, l_linestatus, round(max(net) - min(net), 4) AS net_spread, round(max(l_quantity) - min(l_quantity), 4) AS quantity_spread
-        FROM (SELECT *, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_orderkey < 2000) GROUP BY ALL""",
+        WITH m AS (SELECT l_returnflag, l_linestatus, sum(l_discount * l_quantity) / sum(l_quantity) AS w_mean FROM lineitem GROUP BY ALL)
+        SELECT l_returnflag, l_linestatus, round(max(l_extendedprice * (1 - l_discount)) - min(l_extendedprice * (1 - l_discount)), 4) AS net_spread, round(any_value(w_mean), 8) AS w_mean,
+               round(sum(l_quantity * (l_discount - w_mean) ** 2) / sum(l_quantity), 8) AS w_var
+        FROM lineitem JOIN m USING (l_returnflag, l_linestatus) GROUP BY ALL""",
     "grouped_maps": """
         SELECT o_orderkey, date_diff('day', lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), o_orderdate)::DOUBLE AS gap_days FROM orders""",
     "arrow_maps": "SELECT c_custkey, floor(c_acctbal)::DOUBLE AS whole FROM customer WHERE c_acctbal > 5000",
