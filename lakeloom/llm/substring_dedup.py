@@ -301,15 +301,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     counted = materialise(counted.select("symbol", "window", (F.col("rows") >= many).alias("often")), "counted")
     met = _looked_up(windows, counted, ["symbol", "window"], "often")
     masks = met.groupBy("symbol", "span").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
-    masks = materialise(masks, "masks")
-
     whole = shared.where("NOT several").select("doc", "text_hash", "start", F.expr("shiftleft(1L, n) - 1").alias("mask"))
-    mixed = shared.where("several").select("doc", "text_hash", "start", "symbol", "span").join(masks, ["symbol", "span"])
-    often = of_hot.where(F.col("times") >= many).select("symbol", "span", F.lit(True).alias("often"))
-    of_hot = masks.join(of_hot.select("symbol", "span"), ["symbol", "span"], "left_semi").join(F.broadcast(often), ["symbol", "span"], "left").fillna(False, ["often"])
-    most_met = _looked_up(hot.drop("n"), materialise(of_hot, "hot-masks"), ["symbol", "span"], "often")
-    out = ["doc", "text_hash", "start", "mask"]
-    return materialise(whole.unionByName(mixed.select(*out)).unionByName(most_met.select(*out)), "repeated")
+    names = ["doc", "text_hash", "start", "symbol", "span"]
+    mixed = shared.where("several").select(*names).unionByName(hot.select(*names))
+    # A span with a large part of all rows has a frequent symbol.
+    often = of_hot.where(F.col("times") >= max(MANY, anchors.count() // most + 1)).select("symbol", "span", F.lit(True).alias("often"))
+    masks = materialise(masks.join(F.broadcast(often), ["symbol", "span"], "left").fillna(False, ["often"]), "masks")
+    mixed = _looked_up(mixed, masks, ["symbol", "span"], "often").select("doc", "text_hash", "start", "mask")
+    return materialise(whole.unionByName(mixed), "repeated")
 
 
 def _covered(n: int, start: np.ndarray, mask: np.ndarray, window: int) -> np.ndarray:
