@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from lakeloom.functions import own
 from lakeloom.plans import advanced, relational, relations, scalars, scripts, star, statistics, windows
 from lakeloom.sources import formats
-from lakeloom.streaming import events, states
+from lakeloom.streaming import events, states, timers
 
-_MODULES = (advanced, relational, star, statistics, windows, relations, scalars, scripts, own, formats, events, states)
+_MODULES = (advanced, relational, star, statistics, windows, relations, scalars, scripts, own, formats, events, states, timers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

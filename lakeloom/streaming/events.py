@@ -35,11 +35,14 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).format("parquet").load(f"{sf_dir}/[e]vents.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, what: str) -> DataFrame:
-    """Append the stream's rows to a shared folder until the input ends, and read them."""
+def drained(stream: DataFrame, what: str, **trigger: bool) -> DataFrame:
+    """Append the stream's rows to a shared folder until the input ends, and read them.
+
+    Streams of processing time never end by themselves: they ask for ``once=True``, one batch.
+    """
     spark = stream.sparkSession
     out = _folder(spark, what)
-    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", _folder(spark, f"{what}-checkpoint")).trigger(availableNow=True).start(out).awaitTermination()
+    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", _folder(spark, f"{what}-checkpoint")).trigger(**(trigger or {"availableNow": True})).start(out).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
