@@ -23,6 +23,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ VOCABULARY = "word_bpe_49k.json"
 NULL_ID = np.iinfo(np.int64).min
 #: Text of one partition, about; a task also holds 16 bytes a document of it.
 PART_BYTES = 256 << 20
-#: Words whose ids a task keeps at once.
-CACHED_WORDS = 600_000
+#: Words whose ids a worker keeps at once.
+CACHED_WORDS = 800_000
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
@@ -108,7 +109,9 @@ class TextEncoder:
         self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        # Words used since the last change of generations, and those of the generation before.
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     @staticmethod
     def _words(text: str | None) -> list[bytes]:
@@ -155,15 +158,22 @@ class TextEncoder:
         if not self.by_words:
             return self._whole([t or "" for t in texts])
         words = [self._words(t) for t in texts]
-        all_words = set().union(*words)
-        new = list(all_words.difference(self.known))
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = list(all_words)
-        self._learn(new)
+        if len(self.known) > CACHED_WORDS // 2:
+            # Words in use come back from the older generation; the others go with it.
+            self.before, self.known = self.known, {}
+        new = set().union(*words).difference(self.known)
+        again = new.intersection(self.before)
+        self.known.update(zip(again, map(self.before.__getitem__, again)))
+        self._learn(list(new.difference(again)))
         return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> TextEncoder:
+    """One a worker process: the words it has met serve its next tasks."""
+    return TextEncoder(path)
+
+
 _MANIFEST = "part long, folder string, dtype string, n_docs long, n_ids long"
 
 
@@ -173,7 +183,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder = TextEncoder(vocabulary)
+        encoder = _encoder(vocabulary)
         fs, root = pafs.FileSystem.from_uri(folder)
         own = f"{root}/{part}-{uuid.uuid4().hex}"
         end = np.array([end_id], encoder.dtype).tobytes()

@@ -87,3 +87,13 @@ def test_files_are_cut_by_bytes_and_read_by_ranges(spark, monkeypatch, tmp_path)
     local = tf._File(tf.pafs.LocalFileSystem(), f"{tmp_path}/t/{r['part']}.ids.bin", r["dtype"])
     assert ranged.values is None and ranged.length == local.length == r["n_ids"]
     assert ranged[3:9].tolist() == local[3:9].tolist() and ranged[0 : r["n_ids"]].tolist() == local[0 : r["n_ids"]].tolist()
+
+
+def test_generations_of_words_change_no_ids(monkeypatch):
+    draw = random.Random(8)
+    texts = [" ".join(draw.choice(["hot", "Word,", f"w{draw.randrange(300)}", "çé!", "<|x"]) for _ in range(draw.randrange(60))) for _ in range(200)]
+    monkeypatch.setattr(tf, "CACHED_WORDS", 40)
+    encoder = tf.TextEncoder(tf.tokenizer_path())
+    got = [e for i in range(0, len(texts), 7) for e in encoder.encode(texts[i : i + 7])]
+    assert got == encoder._whole(texts)
+    assert len(encoder.known) + len(encoder.before) < 400
