@@ -1,17 +1,20 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page is cut into flat blocks at block-level tags.  A block has its word count
-and link density, those of its neighbours, and what its surroundings say: whether
-it stands in an article or main element, in a heading, in an element whose tag,
-role, id or class names page furniture (menus, notices, adverts, comments), or
-beside an article that holds most of the page's words.  An id or class makes no
-furniture of a wrapper that holds the page's main element, its largest article or
-most of its words.  A link is an ``a`` with href, up to its end; one that is not
-closed ends at the next ``a`` or where its block ends.
+and link density, those of its neighbours, its place and depth, and what its
+surroundings say: whether it stands in an article or main element, in a heading, before
+the page's title, beside an article that holds most of the page's words, and in an
+element named as furniture.  For the name (tag, role, id or class) around it that
+speaks most of furniture (menus, notices, adverts, comments) a block has the share of
+the name's words that do so ("site-footer": all, since words that only say where
+something stands don't count; "popular-science": half), the share of the page's words
+inside that element, whether it is of comments, and whether it holds the page's main
+element, title or largest article.  A link is an ``a`` with href, up to
+its end; one that is not closed ends at the next ``a`` or where its block ends.
 A decision tree, grown by Gini impurity on the blocks of the small labelled table
-of pages below, tells main text from the rest: unmarked menus and notes by their
-own and their neighbours' words and links.  The tree is the same for every page
-and size; Spark deals out the pages.  A page is read in time linear in its length.
+of pages below, weighs all this and alone tells main text from the rest.  The tree is
+the same for every page and size; Spark deals out the pages.  A page is read in time
+linear in its length.
 
 Cases: a null or empty page, or one without main text, gives an empty text; markup
 that breaks off or is not closed is read as far as it goes; every page gives one
@@ -60,7 +63,7 @@ FURNITURE = frozenset("nav footer aside menu".split())
 #: Furniture too, but pages may stand in one as a whole.
 WRAPPERS = frozenset("form dialog fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
-#: Words of an id or class that name page furniture.
+#: Words of an id or class that speak of page furniture.
 FURNITURE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners"
     " nav navbar navigation menu menus breadcrumb breadcrumbs crumbs header masthead topbar footer foot colophon bottombar copyright"
@@ -68,6 +71,11 @@ FURNITURE_WORDS = frozenset(
     " cookie cookies consent gdpr notice notices alert notification popup modal overlay newsletter subscribe subscription signup login"
     " comment comments disqus reply replies respond discussion share sharing social toolbar pagination pager tags legal disclaimer skip".split()
 )
+#: Words of a name that say neither: where or how something stands.
+PLAIN_WORDS = frozenset(
+    "site page area box block section wrap wrapper container inner outer content main body item items list links link left right top bottom primary secondary global"
+    " post posts article articles story stories entry text buttons button form bar icons slot unit col column row grid fixed sticky slide js id".split()
+)
 #: Words that name the page's content; a heading block "header" inside an article is one of them.
 CONTENT_WORDS = frozenset("article content post entry story main body text".split())
 
@@ -78,21 +86,33 @@ LAYOUT_WORDS = frozenset("has have with no without hide hidden show".split())
 COMMENT_WORDS = frozenset("comment comments disqus reply replies respond discussion".split())
 
 
+class Name(NamedTuple):
+    """What the name that speaks most of furniture says of a block: ordered from the weakest evidence."""
+
+    strength: float = 0.0  # 0 if the element holds the page's main text
+    comments: bool = False
+    share: float = 0.0  # of the page's words outside links that stand in the element
+    holds: bool = False
+
+
 class Block(NamedTuple):
     text: str
     words: int
     linked: int  # words inside links
     article: bool
-    furniture: bool
+    furniture: bool  # by tag or role
     heading: bool
+    depth: int
+    name: Name = Name()
     beside: bool = False
+    before_title: bool = False
 
 
 class Element:
-    """An element that an id or class names furniture, or an article or main element."""
+    """An element with a name that speaks of furniture, or an article or main element."""
 
-    def __init__(self, parent: int, tag: str, named: bool, comments: bool):
-        self.parent, self.tag, self.named, self.comments = parent, tag, named, comments
+    def __init__(self, parent: int, tag: str, strength: float, comments: bool):
+        self.parent, self.tag, self.strength, self.comments = parent, tag, strength, comments
         self.words = 0  # outside links and furniture by tag or role
         self.title = False  # holds an h1
 
@@ -101,31 +121,36 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
 
 
-def _furniture_words(name: str) -> set[str]:
-    """Words of one id or class that name furniture."""
+def _speaks(name: str) -> tuple[float, set[str]]:
+    """The share of one id's or class's words that speak of furniture, and these words."""
     words = _NAME.findall(name.replace("_", " ").replace("-", " "))
     found = {w for i, w in enumerate(words) if w in FURNITURE_WORDS and not (i and any(x in LAYOUT_WORDS for x in words[:i]))}
     # Page builders call every part a widget: "elementor-widget-text-editor".
-    return found if words[:1] and words[0] in ("widget", "widgets") else found - {"widget", "widgets"}
+    if not (words[:1] and words[0] in ("widget", "widgets")):
+        found -= {"widget", "widgets"}
+    said = [w for w in words if w not in PLAIN_WORDS and not w.isdigit()]
+    return (sum(w in found for w in said) / len(said) if found else 0.0), found
 
 
-def _kind(tag: str, raw: str, in_article: bool) -> tuple[bool, bool, set[str], bool]:
-    """Whether an element is an article, is furniture by its tag or role, the words that name it furniture, whether it is hidden."""
+def _kind(tag: str, raw: str, in_article: bool) -> tuple[bool, bool, float, bool, bool]:
+    """Whether an element is an article, is furniture by its tag or role, how much its names speak of furniture, whether of comments, whether it is hidden."""
     own = _attributes(raw) if raw else {}
     role = own.get("role", "").lower()
     names = f"{own.get('id', '')} {own.get('class', '')}".lower()
     words = set(_NAME.findall(names.replace("_", " ").replace("-", " ")))
     hidden = "hidden" in own or own.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", "")) is not None
     furniture = tag in FURNITURE or (tag == "header" and not in_article) or role in ROLES
-    named = set().union(*map(_furniture_words, names.split())) if words & FURNITURE_WORDS else set()
-    if tag in WRAPPERS:
-        named = named | {tag}
+    strength, named = max(map(_speaks, names.split()), key=lambda x: x[0], default=(0.0, set())) if words & FURNITURE_WORDS else (0.0, set())
     if words & CONTENT_WORDS and named <= {"header", "side", "text"}:
         # "post-header" in an article is its title, "article-comments" are still comments.
-        named = set()
+        strength, named = 0.0, set()
+    if tag in WRAPPERS:
+        strength = 1.0
     if tag in ("article", "main", "body", "html") and not role:
-        furniture, named = False, named & COMMENT_WORDS if tag == "article" else set()
-    return tag in ("article", "main") or role in ("article", "main"), furniture, named, hidden
+        furniture = False
+        if tag != "article" or not named & COMMENT_WORDS:
+            strength, named = 0.0, set()
+    return tag in ("article", "main") or role in ("article", "main"), furniture, strength, bool(named & COMMENT_WORDS), hidden
 
 
 def _settle(blocks: list[Block], places: list[tuple[int, str]], elements: list[Element]) -> list[Block]:
@@ -160,16 +185,20 @@ def _settle(blocks: list[Block], places: list[tuple[int, str]], elements: list[E
             if elements[i].tag == "main" or e.title or (2 * elements[i].words >= e.words and 10 * elements[i].words >= total):
                 holds.add(at)
             at = e.parent
-    within, furniture = [], []
+    within: list[bool] = []
+    names: list[Name] = []
     for i, e in enumerate(elements):
         within.append(i in largest.values() or (e.parent >= 0 and within[e.parent]))
         most = 2 * e.words > total and (within[i] or not largest)
         wrapper = (i in holds or most) and (not e.comments or e.title)
-        furniture.append((e.named and not wrapper) or (e.parent >= 0 and furniture[e.parent]))
-    text = [not b.furniture and (at < 0 or not furniture[at]) for b, (at, _) in zip(blocks, places)]
-    total = sum(b.words - b.linked for b, t in zip(blocks, text) if t)
-    most = any(2 * elements[i].words > total and not furniture[i] for i in largest.values())
-    return [b._replace(furniture=not t, beside=most and not (at >= 0 and within[at])) for b, t, (at, _) in zip(blocks, text, places)]
+        own = Name(0.0 if wrapper else e.strength, e.comments and not wrapper, e.words / total if total and e.strength else 0.0, wrapper and e.strength > 0)
+        names.append(max(own, names[e.parent]) if e.parent >= 0 else own)
+    of = [names[at] if at >= 0 else Name() for at, _ in places]
+    plain = [not b.furniture and n.strength < 1 for b, n in zip(blocks, of)]
+    total = sum(b.words - b.linked for b, t in zip(blocks, plain) if t)
+    most = any(2 * elements[i].words > total and names[i].strength < 1 for i in largest.values())
+    title = next((i for i, (b, (_, heading)) in enumerate(zip(blocks, places)) if heading == "h1" and not b.furniture), 0)
+    return [b._replace(name=n, beside=most and not (at >= 0 and within[at]), before_title=i < title) for i, (b, n, (at, _)) in enumerate(zip(blocks, of, places))]
 
 
 class State(NamedTuple):
@@ -200,7 +229,7 @@ def blocks_of(page: str) -> list[Block]:
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
             words = text.count(" ") + 1
-            out.append(Block(text, words, min(words, len("".join(linked).split())), now.article, now.furniture, now.heading != ""))
+            out.append(Block(text, words, min(words, len("".join(linked).split())), now.article, now.furniture, now.heading != "", len(block_at)))
             places.append((now.element, now.heading))
         parts.clear()
         linked.clear()
@@ -285,11 +314,11 @@ def blocks_of(page: str) -> list[Block]:
                 link = "href" in _attributes(m[3])
                 following = _LINK_TAG.search(page, at)
                 unclosed = link and not (following and following[1])
-            is_article, is_furniture, named, hidden = _kind(tag, m[3], now.article)
+            is_article, is_furniture, strength, comments, hidden = _kind(tag, m[3], now.article)
             element = now.element
-            if (is_article or named) and not now.furniture:
+            if (is_article or strength) and not now.furniture:
                 role = "main" if tag == "main" or (is_article and "main" in _attributes(m[3]).get("role", "").lower()) else "article" if is_article else tag
-                elements.append(Element(element, role, bool(named), bool(named & COMMENT_WORDS)))
+                elements.append(Element(element, role, strength, comments))
                 element = len(elements) - 1
             heading = now.heading or (tag if tag in ("h1", "h2", "h3", "h4", "h5", "h6") else "")
             state = State(tag, now.article or is_article, now.furniture or is_furniture, now.dropped or hidden or tag in RAW, heading, element)
@@ -299,7 +328,10 @@ def blocks_of(page: str) -> list[Block]:
     return _settle(out, places, elements)
 
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "article", "furniture", "heading", "beside")
+FEATURES = (
+    "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after",
+    "article", "heading", "depth", "place", "name", "name_share", "comments", "holds", "beside", "before_title",
+)
 
 #: Small labelled table: pages of the common layouts, made by hand.  ``{n}`` stands for n words, and each
 #: block of main text begins with the mark.  The blocks' features are those the parser finds.
@@ -335,13 +367,31 @@ LABELLED_PAGES = (
     "<article>§{2}</article>",
     "<div><p>§{80}</p></div><div class='share'>{2}</div><div class='related'><h3>{2}</h3><p>{15}</p><p>{11}</p></div>",
     "<p><a href='/'>{5}</a></p><p>§{30}</p><p>§{2}</p><p>§{26}</p><p><a href='/'>{2}</a></p>",
+    # names that share a word with furniture, around main text; and furniture of such names beside it
+    "<article><h1>§{6}</h1><p>§{40}</p><section class='popular-science'><h2>§{3}</h2><p>§{50}</p><p>§{4}</p></section><div class='share-buttons'>{3}</div></article>",
+    "<article><h1>§{5}</h1><p>§{20}</p><div class='legal-analysis'><p>§{30}</p><p>§{7}</p></div><div class='legal-notice'><p>{20}</p></div><div class='popular-posts'><p>{6}</p></div></article>",
+    "<article><h1>§{9}</h1><div class='share-holders-meeting'><p>§{50}</p><p>§{12}</p><ul><li>§{2}</li><li>§{4}</li></ul></div><p>§{25}</p><div class='share'>{4}</div></article>",
+    "<main><h1>§{4}</h1><div id='side-effects'><p>§{35}</p><p>§{3}</p></div><div class='alert-systems'><p>§{18}</p></div><div class='side-box'><p>{12}</p></div></main><div class='footer-note'>{9}</div>",
+    "<div class='entry'><h1>§{7}</h1><p>§{60}</p><div class='banner-history'><p>§{22}</p><p>§{31}</p></div><p>§{40}</p></div><div class='banner-large'><p>{8}</p></div><div class='comment-7'><p>{28}</p></div>",
+    "<div class='story'><h1>§{3}</h1><p>§{35}</p><p>§{44}</p><div class='social-policy'><p>§{38}</p></div></div><div class='social-follow'>{3}</div><div class='newsletter-offer'><p>{15}</p></div><div class='reader-comments'><p>{40}</p><p>{6}</p></div>",
+    # lines and lists before the title, without a name
+    "<div>{2}</div><h1>§{6}</h1><p>§{50}</p><p>§{31}</p><p>§{4}</p>",
+    "<p>{3}</p><p>{5}</p><h1>§{4}</h1><p>§{28}</p><p>§{22}</p><div>{2} <a href='/'>{2}</a></div>",
+    "<div>{2}</div><div>{12}</div><div><h1>§{8}</h1></div><div>§{33}</div><div>§{5}</div><div>§{41}</div><div>§{19}</div>",
+    "<div>{1}</div><article><h1>§{5}</h1><p>§{34}</p><p>§{3}</p><p>§{3}</p><p>§{28}</p></article><div>{6}</div>",
+    # no title
+    "<article><p>§{30}</p><p>§{3}</p><div class='recommended'><p>{14}</p></div><p>§{40}</p></article><div class='tags'>{4}</div>",
+    "<main><p>§{4}</p><p>§{44}</p><div class='pager'>{2}</div></main><nav><p>{6}</p></nav>",
 )
 
 
 def labelled_rows() -> list[tuple]:
-    """The features of each block of the labelled pages, then 1 for main text."""
+    """The features of each block of the labelled pages, then 1 for main text.
+
+    Each page stands alone and in two elements more, so depth alone tells nothing.
+    """
     rows = []
-    for page in LABELLED_PAGES:
+    for page in (before + page + after for before, after in (("", ""), ("<div><div>", "</div></div>")) for page in LABELLED_PAGES):
         blocks = blocks_of(re.sub(r"\{(\d+)\}", lambda m: " ".join(["word"] * int(m[1])), page.replace("§", MARK)))
         rows += [(*f, int(b.text.startswith(MARK))) for b, f in zip(blocks, features_of(blocks))]
     return rows
@@ -387,7 +437,8 @@ def features_of(blocks: list[Block]) -> list[tuple]:
     """Features of each block; beyond the ends stand blocks without words."""
     size = [(b.words, b.linked / b.words) for b in blocks]
     padded = [(0, 0.0), *size, (0, 0.0)]
-    return [(*padded[i + 1], *padded[i], *padded[i + 2], int(b.article), int(b.furniture), int(b.heading), int(b.beside)) for i, b in enumerate(blocks)]
+    around = lambda i, b: (int(b.article), int(b.heading), b.depth, i / len(blocks), max(b.name.strength, float(b.furniture)), b.name.share, int(b.name.comments), int(b.name.holds), int(b.beside), int(b.before_title))
+    return [(*padded[i + 1], *padded[i], *padded[i + 2], *around(i, b)) for i, b in enumerate(blocks)]
 
 
 def main_text(page: str | None, tree: Node) -> str:

@@ -70,10 +70,10 @@ def features_in(tree):
 
 def test_tree_separates_its_table_by_words_and_links_of_neighbours():
     tree, rows = ht.fitted(), ht.labelled_rows()
-    assert len(rows) < 200
+    assert len(rows) < 600
     wrong = sum(ht.is_main(tree, r[:-1]) != bool(r[-1]) for r in rows)
-    assert wrong <= 3
-    assert {"link_density", "furniture"} < features_in(tree)
+    assert wrong <= 6
+    assert {"link_density", "name"} < features_in(tree)
     assert {"words_before", "words_after", "link_density_before", "link_density_after"} & features_in(tree)
 
 
@@ -120,3 +120,49 @@ def test_the_corpus_against_plain_expressions(spark):
 def test_every_page_of_the_corpus_has_text_without_furniture(spark):
     docs = ht.op8_html_text(spark, "/root/testdata/sf0.01").collect()
     assert len(docs) == 250 and all(r["n_chars"] > 0 for r in docs)
+
+
+def test_names_that_share_a_word_with_furniture():
+    lost = {"popular-science": 50, "share-holders-meeting": 50, "legal-analysis": 30, "alert-fatigue-study": 12, "side-channel": 20}
+    for name, n in lost.items():
+        page = f"<body><article><h1>The title</h1><p>{para('a', 50)}</p><section class='{name}'><p>{para('b', n)}</p></section></article></body>"
+        assert ht.main_text(page, ht.fitted()) == "\n\n".join(["The title", para("a", 50), para("b", n)]), name
+    page = f"<body>News today<h1>The title</h1><p>{para('a', 50)}</p><p>{para('b', 40)}</p></body>"
+    assert ht.main_text(page, ht.fitted()) == "\n\n".join(["The title", para("a", 50), para("b", 40)])
+
+
+#: Layouts that the tree was not fitted on; a block of main text begins with the mark.
+OTHER_LAYOUTS = (
+    "<div id='wrap'><div id='top'><a href='/'>{2}</a> <a href='/'>{1}</a></div><div id='content'><h1>§{7}</h1><p>§{42}</p><p>§{27}</p><blockquote>§{19}</blockquote><p>§{33}</p></div><div id='footer'>{8}</div></div>",
+    "<div class='page'><ul class='nav-links'><li><a href='/'>{1}</a></li><li><a href='/'>{2}</a></li></ul><h1>§{5}</h1><p>§{64}</p><h2>§{3}</h2><p>§{48}</p><p>§{11}</p><div class='share-icons'>{3}</div></div>",
+    "<table><tr><td colspan=2><a href='/'>{2}</a></td></tr><tr><td><a href='/'>{1}</a><br><a href='/'>{2}</a></td><td><h1>§{6}</h1><p>§{37}</p><p>§{52}</p></td></tr></table>",
+    "<div role='banner'>{3}</div><div role='main'><h1>§{4}</h1><p>§{21}</p><p>§{16} <a href='/'>{3}</a> {9}</p><ol><li>§{8}</li><li>§{5}</li></ol></div><div role='contentinfo'>{9}</div>",
+    "<section><h1>§{9}</h1><div>§{44}</div><div>§{39}</div></section><section class='related-stories'><h2>{2}</h2><p>{9}</p><p>{12}</p></section>",
+    "<div class='post-body'><h1>§{5}</h1><p>§{31}</p><pre>§{18}</pre><p>§{22}</p></div><div id='disqus_thread'><p>{25}</p><p>{31}</p></div>",
+    "<main><article><header><h1>§{8}</h1></header><p>§{55}</p><figure><img src=x><figcaption>§{9}</figcaption></figure><p>§{47}</p></article></main><aside><h3>{2}</h3><p>{18}</p></aside>",
+    "<div class='cookie-consent'>{25}</div><div class='story-text'><p>§{29}</p><p>§{36}</p><p>§{41}</p></div><div class='subscribe-box'>{14}</div>",
+    "<div><a href='/'>{3}</a></div><h1>§{6}</h1><div class='science-of-advertising'><p>§{33}</p><p>§{28}</p></div><p>§{45}</p><div class='advertisement'>{11}</div>",
+    "<h1>§{3}</h1><p>§{26}</p><p>§{5}</p><p>§{34}</p><hr><p><a href='/'>{2}</a></p><p><a href='/'>{3}</a></p>",
+    "<article><h1>§{5}</h1><div class='notice-and-takedown'><p>§{24}</p></div><p>§{38}</p><div class='notice'>{13}</div></article><nav>{4}</nav>",
+    "<div id='main-content'><h1>§{7}</h1><dl><dt>§{2}</dt><dd>§{19}</dd><dt>§{1}</dt><dd>§{23}</dd></dl><p>§{30}</p></div><ul class='pagination'><li><a href='/'>{1}</a></li><li><a href='/'>{1}</a></li></ul>",
+    "<form action='/'><div><h1>§{6}</h1><p>§{50}</p><p>§{35}</p></div><div class='site-footer'>{10}</div></form>",
+    "<div class='layout has-sidebar'><div><h1>§{4}</h1><p>§{58}</p><p>§{22}</p></div><div class='sidebar-right'><p>{17}</p><a href='/'>{4}</a></div></div>",
+    "<p>{2}</p><h1>§{8}</h1><p>§{47}</p><p>§{29}</p><p>§{14}</p>",
+    "<article><p>§{62}</p><p>§{4}</p><p>§{38}</p></article><section id='reader-comments'><article class='comment'><p>{21}</p></article><article class='comment'><p>{8}</p></article></section>",
+)
+
+
+def test_other_layouts():
+    """Blocks of pages that the tree hasn't seen, each at two sizes: precision, recall, and how often the tree goes against or without a name."""
+    tree, right, said, wanted, free, total = ht.fitted(), 0, 0, 0, 0, 0
+    for page in OTHER_LAYOUTS:
+        for scale in (1, 2):
+            blocks = ht.blocks_of("<body>" + re.sub(r"\{(\d+)\}", lambda m: " ".join(["word"] * (int(m[1]) * scale)), page) + "</body>")
+            for b, f in zip(blocks, ht.features_of(blocks)):
+                main, mine = b.text.startswith("§"), ht.is_main(tree, f)
+                right, said, wanted, total = right + (main and mine), said + mine, wanted + main, total + 1
+                named = b.furniture or b.name.strength > 0
+                free += named if mine else not named
+    print(f"{total} blocks: precision {right / said:.3f}, recall {right / wanted:.3f}, against or without a name {free / total:.3f}")
+    assert right / said > 0.95 and right / wanted > 0.95
+    assert free / total >= 0.1
