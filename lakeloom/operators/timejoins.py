@@ -55,18 +55,31 @@ def interval_join(left: DataFrame, right: DataFrame, by: list[str], left_time: s
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str) -> DataFrame:
-    """Pairs with low <= point <= high, for numbers; null bounds and points match nothing.
+    """Pairs with low <= point <= high, for numbers; null or NaN bounds and points match nothing, bounds may be infinite.
 
     A range falls on the level of the power of two at or above its width and
     covers two or three steps of that level; a point looks into its step on each level
     that has ranges (there are under a hundred), so the join is on a key however the
-    widths differ.
+    widths differ.  Ranges that no level of ``LEVELS`` holds, by their width or because
+    their bounds lie beyond the last level's numbered steps, stand on one more level of
+    a single step, which all points look into.
     """
     first, last = LEVELS
-    width = F.greatest(F.col(high) - F.col(low), F.lit(2.0**first)).cast("double")
-    kept = ranges.where(F.col(high) >= F.col(low)).withColumn("_level", F.greatest(F.lit(first), F.least(F.lit(last), F.ceil(F.log2(width)))).cast("int"))
+    is_number = lambda df, *names: df.where(" AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(cast(`{c}` AS double))" for c in names))
+    least, most = (F.col(c).cast("double") for c in (low, high))
+    width = F.greatest(most - least, F.lit(2.0**first))
+    level = F.greatest(F.lit(first), F.ceil(F.log2(width))).cast("int")
+    kept = is_number(ranges, low, high).where(F.col(high) >= F.col(low))
+    at = lambda x, level: F.floor(x / F.pow(F.lit(2.0), level))
+    # Steps are numbered exactly where the bounds are below 2**52 of them.
+    fits = (width < F.lit(2.0**last)) & (F.greatest(F.abs(least), F.abs(most)) / F.pow(F.lit(2.0), level) < F.lit(2.0**52))
+    kept = kept.withColumn("_level", F.when(fits, level).otherwise(last + 1))
     levels = sorted(r["_level"] for r in kept.select("_level").distinct().collect())  # bounded by LEVELS
-    at = lambda c, level: F.floor(F.col(c) / F.pow(F.lit(2.0), level))
-    covered = kept.withColumn("_step", F.explode(F.sequence(at(low, F.col("_level")), at(high, F.col("_level")))))
-    own = points.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).withColumn("_step", at(point, F.col("_level")))
-    return own.join(covered, ["_level", "_step"]).where(F.col(point).between(F.col(low), F.col(high))).drop("_level", "_step")
+    own_level = F.col("_level")
+    steps = F.when(own_level <= last, F.sequence(at(least, own_level), at(most, own_level))).otherwise(F.array(F.lit(0).cast("long")))
+    covered = kept.withColumn("_step", F.explode(steps))
+    own = is_number(points, point).withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")))
+    place = F.col(point).cast("double") / F.pow(F.lit(2.0), own_level)
+    # A point beyond the numbered steps meets no range of this level.
+    step = F.when(own_level > last, F.lit(0).cast("long")).when(F.abs(place) < F.lit(2.0**53), F.floor(place))
+    return own.withColumn("_step", step).join(covered, ["_level", "_step"]).where(F.col(point).between(F.col(low), F.col(high))).drop("_level", "_step")

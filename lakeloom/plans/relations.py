@@ -18,7 +18,7 @@ def price_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def outer_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full outer join with a condition beside the key, and a left outer one by USING."""
-    customers, suppliers = table(spark, sf_dir, "customer").where("c_custkey < 300"), table(spark, sf_dir, "supplier")
+    customers, suppliers = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
     both = customers.join(suppliers, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("c_acctbal") < F.col("s_acctbal")), "full_outer")
     counted = both.groupBy(F.coalesce("c_nationkey", "s_nationkey").alias("n_nationkey")).agg(F.count("c_custkey").alias("with_customer"), F.count("s_suppkey").alias("with_supplier"), F.count("*").alias("n"))
     return table(spark, sf_dir, "nation").select("n_nationkey", "n_name").join(counted, "n_nationkey", "left_outer")
@@ -44,7 +44,8 @@ def lateral_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recursive_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recursive CTE: a calendar of months, with the orders of each."""
     return spark.sql(
-        """WITH RECURSIVE months(m) AS (SELECT DATE '1995-01-01' UNION ALL SELECT cast(add_months(m, 1) AS date) FROM months WHERE m < DATE '1999-12-01')
+        """WITH RECURSIVE ends AS (SELECT cast(trunc(min(o_orderdate), 'MM') AS date) AS low, cast(trunc(max(o_orderdate), 'MM') AS date) AS high FROM {orders}),
+               months(m, high) AS (SELECT low, high FROM ends UNION ALL SELECT cast(add_months(m, 1) AS date), high FROM months WHERE m < high)
            SELECT m, count(o_orderkey) AS n FROM months LEFT JOIN {orders} ON cast(trunc(o_orderdate, 'MM') AS date) = m GROUP BY m""",
         orders=table(spark, sf_dir, "orders"),
     )
@@ -84,7 +85,7 @@ ORACLES = {
     "outer_conditions": """
         SELECT n_nationkey, n_name, with_customer, with_supplier, n FROM nation LEFT JOIN (
             SELECT coalesce(c_nationkey, s_nationkey) AS n_nationkey, count(c_custkey) AS with_customer, count(s_suppkey) AS with_supplier, count(*) AS n
-            FROM (SELECT * FROM customer WHERE c_custkey < 300) FULL JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal < s_acctbal GROUP BY 1) USING (n_nationkey)""",
+            FROM customer FULL JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal < s_acctbal GROUP BY 1) USING (n_nationkey)""",
     "hinted": """
         SELECT o_orderstatus, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM lineitem JOIN orders ON l_orderkey = o_orderkey
         WHERE o_orderpriority = '1-URGENT' GROUP BY ALL""",
@@ -93,7 +94,7 @@ ORACLES = {
             SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2) o ON o_custkey = c_custkey
         WHERE c_mktsegment = 'BUILDING'""",
     "recursive_days": """
-        SELECT m::DATE AS m, count(o_orderkey) AS n FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '1999-12-01', INTERVAL 1 MONTH))::DATE AS m)
+        SELECT m::DATE AS m, count(o_orderkey) AS n FROM (SELECT unnest(generate_series((SELECT date_trunc('month', min(o_orderdate)) FROM orders), (SELECT date_trunc('month', max(o_orderdate)) FROM orders), INTERVAL 1 MONTH))::DATE AS m)
         LEFT JOIN orders ON date_trunc('month', o_orderdate)::DATE = m GROUP BY ALL""",
     "shorthand": "SELECT l_returnflag, count(*) AS n, sum(l_quantity * 2 + 1)::DOUBLE AS total FROM lineitem WHERE l_quantity BETWEEN 20 AND 40 GROUP BY ALL",
     "ordered_page": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 10",

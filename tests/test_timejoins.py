@@ -32,3 +32,15 @@ def test_range_join_of_mixed_widths(spark):
     want = {(i, j) for i, x in points for j, lo, hi in ranges if None not in (x, lo, hi) and lo <= x <= hi}
     rows = [(g["i"], g["j"]) for g in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_range_join_of_any_width(spark):
+    inf = float("inf")
+    numbers = [None, float("nan"), -inf, inf, 0.0, -1e-300, 1e40, -1e40, 1e300, 5.0, 1e17, 1e17 + 16]
+    points = list(enumerate(numbers))
+    bounds = [(-inf, inf), (0.0, inf), (-inf, 0.0), (-1e40, 1e40), (1e40, 1e40), (0.0, 1e300), (1e300, inf), (float("nan"), 1.0), (0.0, float("nan")), (inf, inf), (1e17, 1e17 + 16), (4.0, 6.0), (6.0, 4.0)]
+    ranges = [(j, lo, hi) for j, (lo, hi) in enumerate(bounds)]
+    got = range_join(spark.createDataFrame(points, "i long, x double"), spark.createDataFrame(ranges, "j long, lo double, hi double"), "x", "lo", "hi")
+    rows = [(g["i"], g["j"]) for g in got.collect()]
+    want = {(i, j) for i, x in points for j, lo, hi in ranges if x is not None and lo <= x <= hi}
+    assert len(rows) == len(set(rows)) and set(rows) == want
