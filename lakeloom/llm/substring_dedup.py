@@ -23,7 +23,8 @@ equal windows have the same anchor at the same place, whatever stands around the
 
 Anchors, windows and spans are counted with map-side sums.  A symbol, window or span
 with a large part of all rows is one of at most a few thousand; such ones are found
-by bounded counters or by their counts, and what is known of them is broadcast.
+by bounded counters or by their counts, their list is sent to the tasks, and what is
+known of them is broadcast.
 
 Cases: null and empty texts, and texts of fewer words than a window, lose nothing;
 repeated rows, with or without doc_id, are repeats of each other; an empty table
@@ -39,7 +40,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -236,12 +237,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.select(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("doc"), text_hash(F.col("text")).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
 
 
-def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str], often: str) -> DataFrame:
-    """Rows joined with the table's row of their keys; the (boundedly many) rows of the table marked often are broadcast."""
-    hot = table.where(often)
-    marked = rows.join(F.broadcast(hot.select(*keys, F.lit(True).alias("_often"))), keys, "left")
-    plain = marked.where("_often IS NULL").drop("_often").join(table.where(f"NOT {often}"), keys)
-    return plain.unionByName(rows.join(F.broadcast(hot), keys))
+def _often(rows: DataFrame, key: str) -> Column:
+    """Whether a key is among these: at most as many as there are counters."""
+    return F.coalesce(F.col(key).isin([r[key] for r in rows.select(key).distinct().collect()]), F.lit(False))
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str], often: Column) -> DataFrame:
+    """Rows joined with the table's row of their keys; those of the (boundedly many) frequent keys are broadcast."""
+    plain = rows.where(~often).join(table.where(~often), keys)
+    return plain.unionByName(rows.where(often).join(F.broadcast(table.where(often)), keys))
 
 
 def _window_hashes(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
@@ -281,11 +285,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     anchors = held.where("times IS NULL").drop("times")
     many = max(MANY, anchors.count() // most + 1)
     found = held.where("times IS NOT NULL").groupBy("symbol").agg(F.sum("times").alias("times")).where(F.col("times") >= many)
-    frequent = materialise(found.select("symbol", F.lit(True).alias("often")), "frequent")
-
-    marked = anchors.join(F.broadcast(frequent), "symbol", "left")
-    hot = marked.where("often").drop("often")
-    plain = marked.where("often IS NULL").drop("often").repartition("symbol")
+    often = _often(found, "symbol")
+    hot, plain = anchors.where(often), anchors.where(~often).repartition("symbol")
     by_span = W.partitionBy("symbol", "span")
     plain = plain.withColumn("rank", F.row_number().over(by_span.orderBy("doc", "text_hash", "start"))).withColumn("times", F.count("*").over(by_span))
     by_symbol = W.partitionBy("symbol")
@@ -297,17 +298,16 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spans = shared.where("several AND rank = 1").select(*names).unionByName(of_hot.select("at.*", "symbol", "span", "times").select(*names))
     windows = materialise(_window_hashes(docs, spans, window), "windows")
     counted = windows.groupBy("symbol", "window").agg(F.sum("times").alias("met"), F.count("*").alias("rows")).where("met > 1")
-    many = max(MANY, windows.count() // most + 1)
-    counted = materialise(counted.select("symbol", "window", (F.col("rows") >= many).alias("often")), "counted")
-    met = _looked_up(windows, counted, ["symbol", "window"], "often")
+    counted = materialise(counted, "counted")
+    often = _often(counted.where(F.col("rows") >= max(MANY, windows.count() // most + 1)), "window")
+    met = _looked_up(windows, counted.select("symbol", "window"), ["symbol", "window"], often)
     masks = met.groupBy("symbol", "span").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
     whole = shared.where("NOT several").select("doc", "text_hash", "start", F.expr("shiftleft(1L, n) - 1").alias("mask"))
     names = ["doc", "text_hash", "start", "symbol", "span"]
     mixed = shared.where("several").select(*names).unionByName(hot.select(*names))
     # A span with a large part of all rows has a frequent symbol.
-    often = of_hot.where(F.col("times") >= max(MANY, anchors.count() // most + 1)).select("symbol", "span", F.lit(True).alias("often"))
-    masks = materialise(masks.join(F.broadcast(often), ["symbol", "span"], "left").fillna(False, ["often"]), "masks")
-    mixed = _looked_up(mixed, masks, ["symbol", "span"], "often").select("doc", "text_hash", "start", "mask")
+    often = _often(of_hot.where(F.col("times") >= many), "span")
+    mixed = _looked_up(mixed, materialise(masks, "masks"), ["symbol", "span"], often).select("doc", "text_hash", "start", "mask")
     return materialise(whole.unionByName(mixed), "repeated")
 
 
