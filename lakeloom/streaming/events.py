@@ -6,26 +6,11 @@ writes to a shared folder; the batch query over the same rows is its oracle.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-
-def _folder(spark: SparkSession, what: str) -> str:
-    """A new folder that driver and executors share; it goes when the driver's JVM ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='lakeloom-streams-')}"
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
+from lakeloom.scratch import scratch_path
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,20 +26,20 @@ def drained(stream: DataFrame, what: str, **trigger: bool) -> DataFrame:
     Streams of processing time never end by themselves: they ask for ``once=True``, one batch.
     """
     spark = stream.sparkSession
-    out = _folder(spark, what)
-    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", _folder(spark, f"{what}-checkpoint")).trigger(**(trigger or {"availableNow": True})).start(out).awaitTermination()
+    out = scratch_path(spark, what)
+    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", scratch_path(spark, f"{what}-checkpoint")).trigger(**(trigger or {"availableNow": True})).start(out).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
 def drained_states(stream: DataFrame, what: str, keys: list[str], mode: str) -> DataFrame:
     """Of a stream in update or complete mode the last row of each key; every batch is written under its number."""
     spark = stream.sparkSession
-    out = _folder(spark, what)
+    out = scratch_path(spark, what)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", _folder(spark, f"{what}-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", scratch_path(spark, f"{what}-checkpoint")).trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, _batch int").parquet(out)
     last = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("_batch")))
     return rows.withColumn("_last", last).where("_last = 1").drop("_last", "_batch", "batch")

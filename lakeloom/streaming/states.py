@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from lakeloom.streaming.events import _folder, drained, events_stream
+from lakeloom.scratch import scratch_path
+from lakeloom.streaming.events import drained, events_stream
 
 
 class Streaks(StatefulProcessor):
@@ -65,10 +66,10 @@ def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     low, high = events.agg(F.min("day"), F.max("day")).first()
     third = (high - low) // 3
     parts = [events.where(F.col("day") <= low + third), events.where(F.col("day") > high - third), events.where((F.col("day") > low + third) & (F.col("day") <= high - third))]
-    source = _folder(spark, "late-source")
+    source = scratch_path(spark, "late-source")
     files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
     files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(files)
-    out, checkpoint = _folder(spark, "late"), _folder(spark, "late-checkpoint")
+    out, checkpoint = scratch_path(spark, "late"), scratch_path(spark, "late-checkpoint")
     stream = spark.readStream.schema(events.select("event_id", "ts").schema).option("recursiveFileLookup", "true").parquet(source)
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "6 hours")
     counts = stream.groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "n")
