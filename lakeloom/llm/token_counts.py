@@ -5,7 +5,10 @@ probability of any segmentation of its prefix (the forward score) and that
 segmentation's number of tokens.  A prefix that pre-tokens share is computed
 once; the node where a pre-token ends gives its count, and a document's count is
 the sum over its pre-tokens.  Trie and counts live in one task and start anew
-beyond ``MAX_NODES`` nodes, so memory is bounded and nothing is shuffled.
+beyond ``MAX_NODES`` nodes, looked at before each pre-token; one of more than
+``MAX_INSERTED`` bytes never enters the trie: its forward scores are kept for the
+bytes of the longest token alone.  So memory is bounded beyond the text itself, and
+nothing is shuffled.
 
 The vocabulary is a public one; its order of ranks gives Zipf's probabilities
 1 / ((rank + 1) H).  It holds every single byte, so any text has a segmentation.
@@ -30,6 +33,8 @@ from lakeloom.llm.textkernels import text_blocks
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 MAX_NODES = 1_000_000
+#: Bytes of a pre-token that the trie takes; a longer one is scored in a window of its last bytes.
+MAX_INSERTED = 4096
 COUNTS = "doc_id long, n_bytes long, n_pretokens long, n_tokens long"
 
 
@@ -49,6 +54,7 @@ class Trie:
         # the tokens that end at a node are met by lengthening the end while it is known.
         self.ends = {t[i:]: -math.inf for t in log_probs for i in range(1, len(t))}
         self.ends.update(log_probs)
+        self.longest = max(map(len, log_probs))
         self.clear()
 
     def clear(self) -> None:
@@ -83,6 +89,33 @@ class Trie:
         return node
 
 
+    def tokens(self, word: bytes) -> int:
+        """The word's token count."""
+        if len(word) > MAX_INSERTED:
+            return self._alone(word)
+        if len(self.score) > MAX_NODES:
+            self.clear()
+        return self.count[self.insert(word)]
+
+    def _alone(self, word: bytes) -> int:
+        """The same of a long word, with the scores of its last bytes alone."""
+        size, end = self.longest + 1, self.ends.get
+        score, count = [0.0] * size, [0] * size
+        for i in range(1, len(word) + 1):
+            best, tokens = -math.inf, 0
+            for j in range(i - 1, max(i - size, -1), -1):
+                p = end(word[j:i])
+                if p is None:
+                    break
+                p += score[j % size]
+                if p >= best:
+                    k = count[j % size] + 1
+                    if p > best or k < tokens:
+                        best, tokens = p, k
+            score[i % size], count[i % size] = best, tokens
+        return count[len(word) % size]
+
+
 def count_tokens(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_pretokens, n_tokens of every document."""
     import public_tokenizers
@@ -95,17 +128,20 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, pattern: str |
 
         cut = regex.compile(pattern).findall
         trie = Trie(read_vocabulary(vocabulary))
-        counts: dict[str, int] = {}  # at the node where each pre-token ends
+        counts: dict[str, int] = {}  # of the pre-tokens that the trie has met
         for batch in batches:
             for block in text_blocks(batch, "text"):
                 out = []
                 for doc_id, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist()):
                     words = cut(text) if text else []
-                    for w in set(words).difference(counts):
-                        counts[w] = trie.count[trie.insert(w.encode())]
-                    out.append((doc_id, len(text.encode()) if text else 0, len(words), sum(map(counts.__getitem__, words))))
-                    if len(trie.score) > MAX_NODES:
-                        trie.clear()
+                    distinct = set(words)
+                    own = {w: counts[w] for w in distinct.intersection(counts)}
+                    for w in distinct.difference(own):
+                        own[w] = trie.tokens(w.encode())
+                        if len(w) <= MAX_INSERTED:
+                            counts[w] = own[w]
+                    out.append((doc_id, len(text.encode()) if text else 0, len(words), sum(map(own.__getitem__, words))))
+                    if len(counts) > MAX_NODES // 4:
                         counts.clear()
                 ids, sizes, words, tokens = zip(*out)
                 yield pa.RecordBatch.from_arrays(

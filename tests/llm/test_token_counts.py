@@ -47,3 +47,28 @@ def test_awkward_texts_and_a_full_trie(spark, monkeypatch):
     got = sorted((tuple(r) for r in tc.count_tokens(documents(spark, rows)).collect()), key=repr)
     assert got == expected(rows)
     assert tc.count_tokens(documents(spark, [])).count() == 0
+
+
+def test_long_pretokens_stay_out_of_the_trie(monkeypatch):
+    import random
+    import tracemalloc
+
+    import public_tokenizers
+
+    log_probs = tc.read_vocabulary(public_tokenizers.path(tc.VOCABULARY))
+    trie, draw = tc.Trie(log_probs), random.Random(3)
+    for n in (1, 5, 300, 4000):
+        word = bytes(draw.choice(b"abcdefghtheing \xc3\xa9") for _ in range(n))
+        assert trie._alone(word) == trie.count[trie.insert(word)]
+    before = len(trie.score)
+    long = bytes(draw.choice(b"theingabcd") for _ in range(1 << 20))
+    tracemalloc.start()
+    n = trie.tokens(long)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 0 and len(trie.score) == before and most < 1 << 20
+    monkeypatch.setattr(tc, "MAX_NODES", 50)
+    small = tc.Trie(log_probs)
+    words = [bytes(draw.choice(b"abc") for _ in range(draw.randrange(1, 30))) for _ in range(200)]
+    assert [small.tokens(w) for w in words] == [trie.count[trie.insert(w)] for w in words]
+    assert len(small.score) < 120
