@@ -11,14 +11,15 @@ text's language is the one with the shortest code.
 Bytes are taken as they are and all counts are kept.  Counts are gathered by
 Spark: tasks count byte runs per language with numpy, one grouped sum merges them.
 The trees are sparse (sorted runs and contexts of each length).  Languages are
-dealt by hash into blocks of about ``BLOCK_RUNS`` runs, and each block is one pass
-over the texts that carries the best code so far, so neither the driver nor a task
-holds more than a block, however many languages there are.
+dealt by hash into blocks of about ``BLOCK_RUNS`` runs (one language at least), and each
+block is a pass over the texts with tasks of its own, so neither the driver nor a
+task holds more than a block, however many languages there are; the blocks' codes of a
+text meet in a grouped aggregate.
 
 Training: documents with a text and a language whose crc32(doc_id) mod 4 is not
-2; of a language with more than ``MAX_TRAINING_DOCS`` such documents, those whose
-hash falls under the matching share (a bound on a labelled sample, nothing else
-is capped).  Every whole text is predicted, a slice at a time if it is long.
+2; of a language with more than ``MAX_TRAINING_DOCS`` such documents, or
+``MAX_TRAINING_BYTES`` of their text, those whose hash falls under the matching share
+(a bound on a labelled sample, nothing else is capped).  Every whole text is predicted, a slice at a time if it is long.
 
 Cases: a null text or one without a letter is ``und`` with score 0; a null lang or
 doc_id trains nothing; ties go to the first language by name; with nothing to
@@ -36,12 +37,13 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import Scratch, materialise, pick, text_documents
+from lakeloom.llm.common import Scratch, materialise, pick, text_documents, text_hash
 from lakeloom.llm.textkernels import buffer_of, text_blocks
 
 ORDER = 4
 #: Labelled documents a language is learned from, about.
 MAX_TRAINING_DOCS = 20_000
+MAX_TRAINING_BYTES = 96 << 20
 #: Runs of the languages of one pass, about.
 BLOCK_RUNS = 4_000_000
 #: Languages whose table is broadcast to the rows it samples; more are joined by a shuffle.
@@ -110,10 +112,12 @@ def _merged(held: tuple[np.ndarray, np.ndarray] | None, run: np.ndarray, times:
 
 
 def _sample(docs: DataFrame, most: int) -> DataFrame:
-    """Training documents: all of a language, or a share by hash of about ``most``."""
+    """Training documents: all of a language, or a share by hash of about ``most`` and of the bytes allowed."""
     rows = text_documents(docs, "lang").withColumn("lang", F.col("lang").cast("string"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    many = materialise(rows.groupBy("lang").count().where(F.col("count") > most).select(F.col("lang").alias("_lang"), (F.lit(float(most)) / F.col("count")).alias("_share")), "langs")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    share = F.least(F.lit(float(most)) / F.col("n"), F.lit(float(MAX_TRAINING_BYTES)) / F.greatest("bytes", F.lit(1)))
+    many = materialise(sizes.select(F.col("lang").alias("_lang"), share.alias("_share")).where("_share < 1"), "langs")
     few = many.count() <= BROADCAST_LANGS
     rows = rows.join(F.broadcast(many) if few else many, F.col("lang") == F.col("_lang"), "left")
     return rows.where(F.col("_share").isNull() | (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("_share") * (1 << 20))).select("doc_id", "text", "lang")
@@ -179,35 +183,46 @@ def train(docs: DataFrame, most: int = MAX_TRAINING_DOCS) -> list[Broadcast]:
         return [spark.sparkContext.broadcast(counts.where(own == block).toArrow()) for block in range(blocks)]
 
 
+def _scored(rows: DataFrame, sent: Broadcast) -> DataFrame:
+    """doc_id, _hash, _letter, and of a block of languages the shortest code, its language, and the sum of 2 ** (shortest - length) over all."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None
+        for batch in batches:
+            for block in text_blocks(batch, "text", SLICE_BYTES):
+                if model is None:
+                    table = sent.value
+                    model = Model(table["lang"].to_numpy(), table["run"].to_numpy(), table["n"].to_numpy())
+                bits = model.lengths(block.column(1)) if model.langs else np.full((block.num_rows, 1), np.inf)
+                best = bits.min(axis=1)
+                name = np.array(model.langs or [UNKNOWN], object)[bits.argmin(axis=1)]
+                total = np.exp2(np.maximum(np.where(np.isinf(bits), 0, best[:, None] - bits), -1000)).sum(axis=1)
+                columns = [block.column(0), *block.columns[2:], pa.array(best), pa.array(name, pa.string()), pa.array(total)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_hash", "_letter", "_bits", "_lang", "_sum"])
+
+    return rows.mapInArrow(score, "doc_id long, _hash long, _letter boolean, _bits double, _lang string, _sum double")
+
+
 def predict(docs: DataFrame, models: list[Broadcast]) -> DataFrame:
     """doc_id, held_out, lang_pred, score; the score is the language's posterior per text, all alike before."""
-    rows = text_documents(docs).withColumn("_letter", F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False)))
-    # What is carried from pass to pass: the shortest code, its language, and the sum of 2 ** (shortest - length) over all.
-    rows = rows.withColumns({"_bits": F.lit(float("inf")).cast("double"), "_lang": F.lit(UNKNOWN), "_sum": F.lit(0.0).cast("double")})
-    for sent in models:
-
-        def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            model = None
-            for batch in batches:
-                for block in text_blocks(batch, "text", SLICE_BYTES):
-                    if model is None:
-                        table = sent.value
-                        model = Model(table["lang"].to_numpy(), table["run"].to_numpy(), table["n"].to_numpy())
-                    if not model.langs:
-                        yield block
-                        continue
-                    bits, before = model.lengths(block.column(1)), block.column(3).to_numpy()
-                    lang = np.array(block.column(4).to_pylist(), object)
-                    own, name = bits.min(axis=1), np.array(model.langs, object)[bits.argmin(axis=1)]
-                    best = np.minimum(own, before)
-                    total = np.exp2(np.maximum(best[:, None] - bits, -1000)).sum(axis=1)
-                    total += np.where(np.isinf(before), 0, block.column(5).to_numpy() * np.exp2(np.maximum(best - np.where(np.isinf(before), best, before), -1000)))
-                    taken = (own < before) | ((own == before) & (name < lang))
-                    yield pa.RecordBatch.from_arrays([*block.columns[:3], pa.array(best), pa.array(np.where(taken, name, lang), pa.string()), pa.array(total)], block.schema.names)
-
-        rows = rows.mapInArrow(score, rows.schema)
-    known = F.col("_letter") & ~F.col("_bits").isin(float("inf"))
-    return rows.select(
+    letter = F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False))
+    rows = text_documents(docs).withColumns({"_hash": text_hash(F.col("text")), "_letter": letter})
+    if not models:
+        out = rows.select("doc_id", F.lit(False).alias("_letter"), F.lit(0.0).alias("_bits"), F.lit(UNKNOWN).alias("_lang"), F.lit(1.0).alias("_sum"))
+    elif len(models) == 1:
+        out = _scored(rows, models[0])
+    else:
+        parts = None
+        for i, sent in enumerate(models):
+            own = _scored(rows, sent).withColumn("_block", F.lit(i))
+            parts = own if parts is None else parts.unionByName(own)
+        # Rows that agree in doc_id and text have the same codes: one of them stands for all, as often as they are.
+        one = parts.groupBy("doc_id", "_hash", "_letter", "_block").agg(F.count("*").alias("_n"), F.min(F.struct("_bits", "_lang", "_sum")).alias("_b"))
+        met = one.groupBy("doc_id", "_hash", "_letter").agg(F.max("_n").alias("_n"), F.min("_b").alias("_best"), F.collect_list("_b").alias("_all"))  # a block an entry
+        total = F.aggregate("_all", F.lit(0.0), lambda s, b: s + b["_sum"] * F.pow(F.lit(2.0), F.greatest(F.col("_best._bits") - b["_bits"], F.lit(-1000.0))))
+        out = met.select("doc_id", "_letter", "_best._bits", "_best._lang", total.alias("_sum"), F.explode(F.sequence(F.lit(1).cast("long"), "_n")))
+    known = F.col("_letter") & (F.col("_bits") < float("inf"))
+    return out.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         F.when(known, F.col("_lang")).otherwise(UNKNOWN).alias("lang_pred"),
