@@ -37,6 +37,8 @@ from lakeloom.llm.textkernels import WORD_BY_ALNUM, Words, text_blocks
 ERROR_SHARE = 0.2
 #: Item text that one pass over the documents looks for, about.
 BLOCK_BYTES = 8 << 20
+#: Texts with a hit that are broadcast at most; more are joined by a shuffle.
+BROADCAST_HITS = 1_000_000
 #: Words and hits that are worked on at once.
 SLICE_WORDS = 1 << 18
 MOST_HITS = 1 << 20
@@ -206,20 +208,45 @@ def find_items(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def without_items(rows: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """The rows whose text holds no item, each judged by its own text; no row moves between tasks."""
-    for sent in list(_sent_blocks(items)):
+    """The rows whose text holds no item, each judged by its own text.
 
-        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            pieces = Pieces(sent.value)
+    With one block of items no row moves between tasks.  With several, each block is a
+    pass of its own tasks that yields the hashes of texts with a hit, and rows with
+    such a text are dropped by a join: one pass on another would hold all blocks at once.
+    """
+    sent = list(_sent_blocks(items))
+
+    def hits(block: Broadcast, texts: pa.Array, pieces: list[Pieces]) -> np.ndarray:
+        if not pieces:
+            pieces.append(Pieces(block.value))
+        hit = np.zeros(len(texts), bool)
+        hit[[r for r, *_ in pieces[0].matches(_words(texts))]] = True
+        return hit
+
+    if len(sent) == 1:
+
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pieces: list[Pieces] = []
+            for batch in batches:
+                for part in text_blocks(batch, text):
+                    yield part.filter(pa.array(~hits(sent[0], part.column(part.schema.get_field_index(text)), pieces)))
+
+        return rows.mapInArrow(clean, rows.schema)
+    keyed = rows.withColumns({"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(7), text)})
+    found = None
+    for block in sent:
+
+        def search(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            pieces: list[Pieces] = []
             for batch in batches:
                 for part in text_blocks(batch, text):
-                    texts = part.column(part.schema.get_field_index(text))
-                    keep = np.ones(part.num_rows, bool)
-                    keep[[r for r, *_ in pieces.matches(_words(texts))]] = False
-                    yield part.filter(pa.array(keep))
+                    yield part.select(["_h1", "_h2"]).filter(pa.array(hits(block, part.column(0), pieces)))
 
-        rows = rows.mapInArrow(clean, rows.schema)
-    return rows
+        own = keyed.select(text, "_h1", "_h2").mapInArrow(search, "_h1 long, _h2 long")
+        found = own if found is None else found.unionByName(own)
+    found = materialise(found.distinct(), "hits", keep=True)
+    few = found.count() <= BROADCAST_HITS
+    return keyed.join(F.broadcast(found) if few else found, ["_h1", "_h2"], "left_anti").drop("_h1", "_h2")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
