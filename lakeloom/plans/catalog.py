@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom.functions import own
-from lakeloom.plans import advanced, changing, relational, relations, scalars, scripts, star, statistics, windows
+from lakeloom.plans import advanced, changing, functions, relational, relations, scalars, scripts, star, statistics, windows
 from lakeloom.sources import formats
 from lakeloom.streaming import events, states, timers
 
-_MODULES = (advanced, changing, relational, star, statistics, windows, relations, scalars, scripts, own, formats, events, states, timers)
+_MODULES = (advanced, changing, functions, relational, star, statistics, windows, relations, scalars, scripts, own, formats, events, states, timers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -32,16 +32,24 @@ def qualified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GROUPS frames as ranges over dense ranks, EXCLUDE CURRENT ROW by subtraction, and a distinct count over a window as a set's size."""
+    """GROUPS frames as ranges over dense ranks, EXCLUDE by subtraction, and a distinct count over a window without sets.
+
+    Of the types in the days from one before to one after, those of the day before count all,
+    those of the day itself if the type was last seen two days ago or earlier, those of the day
+    after if three: three counts a user and day, added up by lag and lead.
+    """
     events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
     events = events.withColumn("_group", F.dense_rank().over(W.partitionBy("user_id").orderBy("day")))
+    types = events.where("event_type IS NOT NULL").select("user_id", "_group", "event_type").distinct()
+    ago = F.coalesce(F.col("_group") - F.lag("_group").over(W.partitionBy("user_id", "event_type").orderBy("_group")), F.lit(3))
+    days = types.withColumn("_ago", ago).groupBy("user_id", "_group").agg(F.count("*").alias("_all"), F.count_if(F.col("_ago") >= 2).alias("_two"), F.count_if(F.col("_ago") >= 3).alias("_three"))
+    every = events.select("user_id", "_group").distinct().join(days, ["user_id", "_group"], "left").fillna(0, ["_all", "_two", "_three"])
+    by_user = W.partitionBy("user_id").orderBy("_group")
+    distinct = every.select("user_id", "_group", (F.coalesce(F.lag("_all").over(by_user), F.lit(0)) + F.col("_two") + F.coalesce(F.lead("_three").over(by_user), F.lit(0))).alias("n_types"))
     near = W.partitionBy("user_id").orderBy("_group").rangeBetween(-1, 1)
-    return events.select(
-        "event_id",
-        F.count("*").over(near).alias("n_near"),
-        (F.count("*").over(near) - 1).alias("n_others"),
-        F.size(F.collect_set("event_type").over(near)).cast("long").alias("n_types"),
-    )
+    n_near, n_peers = F.count("*").over(near), F.count("*").over(W.partitionBy("user_id", "_group"))
+    counted = events.select("event_id", "user_id", "_group", n_near.alias("n_near"), (n_near - 1).alias("n_others"), (n_near - n_peers).alias("n_no_group"), (n_near - n_peers + 1).alias("n_no_ties"))
+    return counted.join(distinct, ["user_id", "_group"]).drop("user_id", "_group")
 
 
 QUERIES = {f.__name__: f for f in (ranks, qualified, frames_rewritten)}
@@ -56,6 +64,8 @@ ORACLES = {
         QUALIFY o_totalprice > avg(o_totalprice) OVER (PARTITION BY o_custkey) AND row_number() OVER (PARTITION BY o_orderdate ORDER BY o_totalprice DESC, o_orderkey) = 1""",
     "frames_rewritten": """
         SELECT event_id, count(*) OVER near AS n_near, count(*) OVER (PARTITION BY user_id ORDER BY ts::DATE GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW) AS n_others,
+               count(*) OVER (PARTITION BY user_id ORDER BY ts::DATE GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE GROUP) AS n_no_group,
+               count(*) OVER (PARTITION BY user_id ORDER BY ts::DATE GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE TIES) AS n_no_ties,
                count(DISTINCT event_type) OVER near AS n_types
         FROM events WINDOW near AS (PARTITION BY user_id ORDER BY ts::DATE GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""",
 }
