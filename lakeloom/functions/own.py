@@ -34,8 +34,8 @@ def pandas_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").withColumn("net", discounted("l_extendedprice", "l_discount"))
     by = ["l_returnflag", "l_linestatus"]
     net = aggregated(lines, by, ["net"], Spread()).withColumnRenamed("spread", "net_spread")
-    moments = aggregated(lines, by, ["l_discount", "l_quantity"], WeightedMoments())
-    rows = net.join(moments, by)
+    moments = aggregated(lines, by, ["l_discount", "l_quantity"], WeightedMoments()).toDF("_flag", "_status", "w_mean", "w_var")
+    rows = net.join(moments, F.col("l_returnflag").eqNullSafe(F.col("_flag")) & F.col("l_linestatus").eqNullSafe(F.col("_status")), "left")
     return rows.select(*by, F.round("net_spread", 4).alias("net_spread"), F.round("w_mean", 8).alias("w_mean"), F.round("w_var", 8).alias("w_var"))
 
 
@@ -80,10 +80,10 @@ def table_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (pandas_functions, grouped_maps, arrow_maps, table_functions)}
 ORACLES = {
     "pandas_functions": """
-        WITH m AS (SELECT l_returnflag, l_linestatus, sum(l_discount * l_quantity) / sum(l_quantity) AS w_mean FROM lineitem GROUP BY ALL)
+        WITH m AS (SELECT l_returnflag AS f, l_linestatus AS s, sum(l_discount * l_quantity) / sum(l_quantity) FILTER (l_discount IS NOT NULL) AS w_mean FROM lineitem GROUP BY ALL)
         SELECT l_returnflag, l_linestatus, round(max(l_extendedprice * (1 - l_discount)) - min(l_extendedprice * (1 - l_discount)), 4) AS net_spread, round(any_value(w_mean), 8) AS w_mean,
-               round(sum(l_quantity * (l_discount - w_mean) ** 2) / sum(l_quantity), 8) AS w_var
-        FROM lineitem JOIN m USING (l_returnflag, l_linestatus) GROUP BY ALL""",
+               round(sum(l_quantity * (l_discount - w_mean) ** 2) / sum(l_quantity) FILTER (l_discount IS NOT NULL), 8) AS w_var
+        FROM lineitem JOIN m ON l_returnflag IS NOT DISTINCT FROM f AND l_linestatus IS NOT DISTINCT FROM s GROUP BY ALL""",
     "grouped_maps": """
         SELECT o_orderkey, date_diff('day', lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), o_orderdate)::DOUBLE AS gap_days FROM orders""",
     "arrow_maps": "SELECT c_custkey, floor(c_acctbal)::DOUBLE AS whole FROM customer WHERE c_acctbal > 5000",

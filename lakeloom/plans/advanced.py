@@ -69,5 +69,5 @@ ORACLES = {
         SELECT l_returnflag, l_linestatus, grouping_id(l_returnflag, l_linestatus)::BIGINT AS level, count(DISTINCT l_partkey) AS n_distinct
         FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), (l_linestatus), ())""",
     "frequent_pairs": f"""
-        SELECT event_type || ':' || user_id AS pair, count(*) AS n, true AS not_below FROM events GROUP BY ALL HAVING count(*) > {HEAVY_SHARE} * (SELECT count(*) FROM events)""",
+        SELECT concat_ws(':', event_type, user_id) AS pair, count(*) AS n, true AS not_below FROM events GROUP BY ALL HAVING count(*) > {HEAVY_SHARE} * (SELECT count(*) FROM events)""",
 }

@@ -38,7 +38,8 @@ def drifting_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN 1 THEN to_json(named_struct('id', cast(o_orderkey AS string), 'who', o_custkey))
         WHEN 2 THEN to_json(named_struct('id', o_orderkey, 'who', named_struct('key', cast(o_custkey AS string), 'tags', array(named_struct('t', o_orderstatus)))))
         ELSE '{"id": null, "who": []}' END"""
-    found = leaves(table(spark, sf_dir, "orders").select("o_orderkey", F.expr(shape).alias("record")), "o_orderkey", "record")
+    orders = table(spark, sf_dir, "orders").fillna({"o_custkey": -1, "o_orderstatus": "?", "o_orderpriority": "?"})  # nulls would leave no leaf
+    found = leaves(orders.select("o_orderkey", F.expr(shape).alias("record")), "o_orderkey", "record")
     length = found.groupBy("path").agg(F.sum(F.length("value")).alias("chars"))
     return merged_schema(found).join(length, "path")
 
@@ -47,14 +48,14 @@ QUERIES = {f.__name__: f for f in (row_updates, collated_keys, drifting_records)
 ORACLES = {
     "row_updates": """
         WITH u AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'F' AND o_totalprice > 200000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
-            CASE WHEN o_orderstatus = 'F' AND o_totalprice > 200000 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_custkey % 7 <> 0)
+            CASE WHEN o_orderstatus = 'F' AND o_totalprice > 200000 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders WHERE coalesce(o_custkey % 7 <> 0, true))
         SELECT * FROM u UNION ALL SELECT o_orderkey, o_custkey, 'N', o_totalprice FROM orders WHERE o_custkey % 7 = 0 AND o_orderstatus = 'O'""",
     "collated_keys": r"""
         WITH w AS (SELECT doc_id, lower(nullif(regexp_extract(text, '^\s*(\p{L}+)', 1), '')) AS first, lower(nullif(regexp_extract(text, '(\p{L}+)\P{L}*$', 1), '')) AS last FROM documents),
         f AS (SELECT first, count(*) AS n, min(doc_id) AS least FROM w GROUP BY ALL), l AS (SELECT last, count(*) AS n_last FROM w WHERE last IS NOT NULL GROUP BY ALL)
         SELECT n, least, coalesce(n_last, 0) AS n_last FROM f LEFT JOIN l ON first = last""",
     "drifting_records": """
-        WITH o AS (SELECT o_orderkey::VARCHAR AS id, o_custkey::VARCHAR AS c, o_orderstatus AS s, o_orderpriority AS p, o_orderkey % 4 AS k FROM orders),
+        WITH o AS (SELECT o_orderkey::VARCHAR AS id, coalesce(o_custkey, -1)::VARCHAR AS c, coalesce(o_orderstatus, '?') AS s, coalesce(o_orderpriority, '?') AS p, o_orderkey % 4 AS k FROM orders),
         e AS (SELECT 'id' AS path, CASE k WHEN 1 THEN 'STRING' WHEN 3 THEN 'VOID' ELSE 'BIGINT' END AS type, CASE WHEN k <> 3 THEN id END AS value FROM o
             UNION ALL SELECT 'who.key', CASE k WHEN 0 THEN 'BIGINT' ELSE 'STRING' END, c FROM o WHERE k IN (0, 2)
             UNION ALL SELECT 'who', CASE k WHEN 1 THEN 'BIGINT' ELSE 'ARRAY' END, CASE k WHEN 1 THEN c ELSE '[]' END FROM o WHERE k IN (1, 3)

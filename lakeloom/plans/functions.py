@@ -41,7 +41,7 @@ def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maps and arrays element by element, rows from text formats, and generators."""
     return spark.sql(
-        """WITH n AS (SELECT n_nationkey, n_name, n_regionkey, array(n_nationkey, n_regionkey, n_nationkey + n_regionkey) AS a FROM {nation}),
+        """WITH n AS (SELECT n_nationkey, coalesce(n_name, '') AS n_name, array(n_nationkey, coalesce(n_regionkey, 0), n_nationkey + coalesce(n_regionkey, 0)) AS a FROM {nation}),
                m AS (SELECT *, map_from_arrays(array('x', 'y', 'z'), a) AS m FROM n),
                t AS (SELECT n_nationkey, k, v FROM m LATERAL VIEW stack(2, 'odd', size(map_filter(m, (k, v) -> v % 2 = 1)), 'sum', aggregate(map_values(transform_values(m, (k, v) -> v * 2)), 0, (s, x) -> cast(s + x AS int))) s AS k, v),
                i AS (SELECT n_nationkey, concat('z', c1) AS k, c2 AS v FROM m LATERAL VIEW inline(zip_with(a, sequence(1, 3), (x, y) -> named_struct('p', y, 'q', cast(x * y AS int)))) s AS c1, c2),
@@ -72,9 +72,9 @@ ORACLES = {
                date_sub('month', TIMESTAMP '1990-01-01', o_orderdate) AS months, o_orderdate + INTERVAL 1 MONTH + INTERVAL 2 DAY AS later,
                last_day(o_orderdate) AS month_end, levenshtein(o_orderpriority, '5-LOW')::INT AS away FROM orders""",
     "digests": """
-        SELECT c_custkey, array_to_string(list_transform(string_split_regex(trim(c_name), '\\s+'), lambda w: w[1]), '') AS initials, sha256(c_name) AS sha, md5(c_name) AS md, true AS back, true AS valid, 3 AS mended FROM customer""",
+        SELECT c_custkey, array_to_string(list_transform(string_split_regex(trim(c_name), '\\s+'), lambda w: w[1]), '') AS initials, sha256(c_name) AS sha, md5(c_name) AS md, c_name = c_name AS back, c_name = c_name AS valid, CASE WHEN c_name IS NOT NULL THEN 3 END AS mended FROM customer""",
     "collections": """
-        WITH n AS (SELECT n_nationkey AS n, n_regionkey AS r FROM nation)
+        WITH n AS (SELECT n_nationkey AS n, coalesce(n_regionkey, 0) AS r FROM nation)
         SELECT n AS n_nationkey, k, v::BIGINT AS v FROM (
             SELECT n, 'odd' AS k, n % 2 + r % 2 + (n + r) % 2 AS v FROM n UNION ALL SELECT n, 'sum', 4 * (n + r) FROM n
             UNION ALL SELECT n, 'z1', n FROM n UNION ALL SELECT n, 'z2', 2 * r FROM n UNION ALL SELECT n, 'z3', 3 * (n + r) FROM n
@@ -82,7 +82,7 @@ ORACLES = {
             UNION ALL SELECT n, 'keyX', n FROM n UNION ALL SELECT n, 'keyY', r FROM n UNION ALL SELECT n, 'keyZ', n + r FROM n)""",
     "more_aggregates": """
         WITH c AS (SELECT l_returnflag, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL)
-        SELECT l_returnflag, (SELECT min(l_linenumber) FROM c WHERE c.l_returnflag = l.l_returnflag AND n = (SELECT max(n) FROM c d WHERE d.l_returnflag = l.l_returnflag))::BIGINT AS usual,
+        SELECT l_returnflag, (SELECT min(l_linenumber) FROM c WHERE c.l_returnflag IS NOT DISTINCT FROM l.l_returnflag AND l_linenumber IS NOT NULL AND n = (SELECT max(n) FROM c d WHERE d.l_returnflag IS NOT DISTINCT FROM l.l_returnflag AND l_linenumber IS NOT NULL))::BIGINT AS usual,
                bit_and(l_suppkey)::BIGINT AS all_bits, bit_or(l_suppkey)::BIGINT AS any_bits, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, round(regr_intercept(l_extendedprice, l_quantity), 3) AS base,
                bool_or(l_tax > 0.07) AS taxed, count(*) FILTER (l_tax > 0.07) AS n_taxed FROM lineitem l GROUP BY l_returnflag""",
 }

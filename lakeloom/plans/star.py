@@ -76,10 +76,15 @@ def several_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several distinct counts, each from its own distinct pairs: together in one aggregate they would copy every row for each of them."""
     lines = table(spark, sf_dir, "lineitem")
     distinct = lambda c, name: lines.select("l_returnflag", c).distinct().groupBy("l_returnflag").agg(F.count(c).alias(name))
-    rest = lines.groupBy("l_returnflag").agg(F.count_if(F.col("l_discount") > 0.05).alias("n_cheap"), F.max("l_extendedprice").alias("_dearest"))
-    dearest = lines.join(F.broadcast(rest.select("l_returnflag", F.col("_dearest").alias("l_extendedprice"))), ["l_returnflag", "l_extendedprice"])  # a row a flag
+    rest = lines.groupBy("l_returnflag").agg(F.count_if(F.col("l_discount") > 0.05).alias("n_cheap"), F.max(F.when(F.col("l_linenumber").isNotNull(), F.col("l_extendedprice"))).alias("_dearest"))
+    top = F.broadcast(rest.select(F.col("l_returnflag").alias("_flag"), "_dearest"))  # a row a flag
+    dearest = lines.join(top, F.col("l_returnflag").eqNullSafe(F.col("_flag")) & (F.col("l_extendedprice") == F.col("_dearest")))
     line = dearest.groupBy("l_returnflag").agg(F.max("l_linenumber").cast("long").alias("line_of_dearest"))
-    return rest.drop("_dearest").join(distinct("l_partkey", "parts"), "l_returnflag").join(distinct("l_suppkey", "suppliers"), "l_returnflag").join(line, "l_returnflag")
+    out = rest.drop("_dearest")
+    for own in (distinct("l_partkey", "parts"), distinct("l_suppkey", "suppliers"), line):
+        own = own.withColumnRenamed("l_returnflag", "_flag")
+        out = out.join(own, F.col("l_returnflag").eqNullSafe(F.col("_flag")), "left").drop("_flag")  # a null flag is a group
+    return out
 
 
 def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +175,7 @@ ORACLES = {
         FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)""",
     "several_distinct": """
         SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers, (count(*) FILTER (l_discount > 0.05))::BIGINT AS n_cheap,
-               max_by(l_linenumber, (l_extendedprice, l_linenumber))::BIGINT AS line_of_dearest FROM lineitem GROUP BY ALL""",
+               max_by(l_linenumber, (l_extendedprice, l_linenumber)) FILTER (l_extendedprice IS NOT NULL)::BIGINT AS line_of_dearest FROM lineitem GROUP BY ALL""",
     "running_totals": """
         SELECT event_id, (sum(value::DECIMAL(12, 4)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::DOUBLE AS total,
                epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap_us,

@@ -43,13 +43,15 @@ def frames_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = events.where("event_type IS NOT NULL").select("user_id", "_group", "event_type").distinct()
     ago = F.coalesce(F.col("_group") - F.lag("_group").over(W.partitionBy("user_id", "event_type").orderBy("_group")), F.lit(3))
     days = types.withColumn("_ago", ago).groupBy("user_id", "_group").agg(F.count("*").alias("_all"), F.count_if(F.col("_ago") >= 2).alias("_two"), F.count_if(F.col("_ago") >= 3).alias("_three"))
-    every = events.select("user_id", "_group").distinct().join(days, ["user_id", "_group"], "left").fillna(0, ["_all", "_two", "_three"])
+    days = days.withColumnsRenamed({"user_id": "_user", "_group": "_day"})
+    every = events.select("user_id", "_group").distinct().join(days, F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("_group") == F.col("_day")), "left").fillna(0, ["_all", "_two", "_three"])
     by_user = W.partitionBy("user_id").orderBy("_group")
     distinct = every.select("user_id", "_group", (F.coalesce(F.lag("_all").over(by_user), F.lit(0)) + F.col("_two") + F.coalesce(F.lead("_three").over(by_user), F.lit(0))).alias("n_types"))
     near = W.partitionBy("user_id").orderBy("_group").rangeBetween(-1, 1)
     n_near, n_peers = F.count("*").over(near), F.count("*").over(W.partitionBy("user_id", "_group"))
     counted = events.select("event_id", "user_id", "_group", n_near.alias("n_near"), (n_near - 1).alias("n_others"), (n_near - n_peers).alias("n_no_group"), (n_near - n_peers + 1).alias("n_no_ties"))
-    return counted.join(distinct, ["user_id", "_group"]).drop("user_id", "_group")
+    distinct = distinct.toDF("_user", "_day", "n_types")
+    return counted.join(distinct, F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("_group") == F.col("_day"))).drop("user_id", "_group", "_user", "_day")
 
 
 QUERIES = {f.__name__: f for f in (ranks, qualified, frames_rewritten)}

@@ -25,10 +25,11 @@ def formats_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.col("s_acctbal").cast("decimal(12, 2)").alias("s_acctbal"))
     forms = [("orc", {}), ("csv", {"header": "true"}), ("json", {}), ("xml", {"rowTag": "row"})]
     out = [round_trip(rows, form, **options).groupBy(F.lit(form).alias("form")).agg(F.count("*").alias("n"), F.sum("s_suppkey").alias("keys"), F.sum("s_acctbal").cast("double").alias("balance"), F.max("s_name").alias("name")) for form, options in forms]
-    lines = round_trip(rows.select(F.col("s_name").alias("value")), "text")
+    named = rows.where("s_name IS NOT NULL")  # a line cannot be null
+    lines = round_trip(named.select(F.col("s_name").alias("value")), "text")
     out.append(lines.groupBy(F.lit("text").alias("form")).agg(F.count("*").alias("n"), F.lit(None).cast("bigint").alias("keys"), F.lit(None).cast("double").alias("balance"), F.max("value").alias("name")))
     whole = scratch_path(spark, "binary")
-    rows.select("s_name").write.text(whole)
+    named.select("s_name").write.text(whole)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(whole).select(F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line")).where("line <> ''")
     out.append(files.groupBy(F.lit("binaryFile").alias("form")).agg(F.count("*").alias("n"), F.lit(None).cast("bigint").alias("keys"), F.lit(None).cast("double").alias("balance"), F.max("line").alias("name")))
     done = out[0]
@@ -86,15 +87,16 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "ledger")
     events = events_stream(spark, sf_dir).select("event_id", "user_id", "event_type", "value")
     events.writeStream.format("lakeloom_ledger").option("path", folder).option("checkpointLocation", scratch_path(spark, "ledger-checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.format("lakeloom_ledger").option("path", folder).load()
+    schema = "event_id long, user_id long, event_type string, value double, _batch long"
+    rows = spark.read.format("lakeloom_ledger").schema(schema).option("path", folder).load()
     return rows.where("event_type = 'purchase' AND value > 20 AND _batch >= 0").select("event_id", "user_id", "value")
 
 
 QUERIES = {f.__name__: f for f in (formats_agree, python_source, ledger, sampled)}
 ORACLES = {
     "formats_agree": """
-        WITH s AS (SELECT count(*) AS n, sum(s_suppkey)::BIGINT AS keys, sum(s_acctbal::DECIMAL(12, 2))::DOUBLE AS balance, max(s_name) AS name FROM supplier)
-        SELECT form, n, keys, balance, name FROM s, (VALUES ('orc'), ('csv'), ('json'), ('xml')) f(form) UNION ALL SELECT form, n, NULL, NULL, name FROM s, (VALUES ('text'), ('binaryFile')) f(form)""",
+        WITH s AS (SELECT count(*) AS n, sum(s_suppkey)::BIGINT AS keys, sum(s_acctbal::DECIMAL(12, 2))::DOUBLE AS balance, max(s_name) AS name, count(s_name) AS named FROM supplier)
+        SELECT form, n, keys, balance, name FROM s, (VALUES ('orc'), ('csv'), ('json'), ('xml')) f(form) UNION ALL SELECT form, named, NULL, NULL, name FROM s, (VALUES ('text'), ('binaryFile')) f(form)""",
     "python_source": "SELECT c_custkey, c_custkey * c_custkey AS square FROM customer WHERE c_custkey >= 0",
     "ledger": "SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase' AND value > 20",
     "sampled": "SELECT true AS repeats, true AS sized",

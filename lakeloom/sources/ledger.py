@@ -131,7 +131,9 @@ class LedgerReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [Part(n, f) for n in whole_batches(self.folder) if all(_holds(f, n) for f in self.batches) for f in _files(self.folder, n)]
 
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Part | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no partitions at all
+            return
         term = None
         for f in self.terms:
             own = _term(f, self.columns)

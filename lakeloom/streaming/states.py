@@ -49,7 +49,7 @@ def stream_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        laps = events_stream(spark, sf_dir).select("user_id", "ts", "event_id").groupBy("user_id").transformWithStateInPandas(Streaks(), "user_id long, lap long, last_id long, ids long", "append", "none")
+        laps = events_stream(spark, sf_dir).where("user_id IS NOT NULL").select("user_id", "ts", "event_id").groupBy("user_id").transformWithStateInPandas(Streaks(), "user_id long, lap long, last_id long, ids long", "append", "none")
         return drained(laps, "laps")
     finally:
         spark.conf.set(provider, before)
@@ -64,6 +64,8 @@ def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("day", F.to_date("ts"))
     low, high = events.agg(F.min("day"), F.max("day")).first()
+    if low is None:
+        return spark.createDataFrame([], "day timestamp_ntz, n long")
     third = (high - low) // 3
     parts = [events.where(F.col("day") <= low + third), events.where(F.col("day") > high - third), events.where((F.col("day") > low + third) & (F.col("day") <= high - third))]
     source = scratch_path(spark, "late-source")
@@ -91,7 +93,7 @@ QUERIES = {f.__name__: f for f in (stream_laps, stream_late, stream_in_memory)}
 ORACLES = {
     "stream_laps": f"""
         SELECT user_id, lap, max_by(event_id, place) AS last_id, sum(event_id)::BIGINT AS ids
-        FROM (SELECT *, (place - 1) // {Streaks.LAP} + 1 AS lap FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events))
+        FROM (SELECT *, (place - 1) // {Streaks.LAP} + 1 AS lap FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events WHERE user_id IS NOT NULL))
         GROUP BY ALL HAVING count(*) = {Streaks.LAP}""",
     "stream_late": """
         WITH e AS (SELECT ts, ts::DATE AS day FROM events), b AS (SELECT min(day) AS low, max(day) AS high, (max(day) - min(day)) // 3 AS third, max(ts) AS latest FROM e)

@@ -128,7 +128,7 @@ def closed_sessions(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 
 def first_of_life(events: DataFrame, ttl_ms: int = FORGOTTEN_MS) -> DataFrame:
-    rows = events.select("user_id", "event_type", "ts", "event_id")
+    rows = events.where("user_id IS NOT NULL AND event_type IS NOT NULL").select("user_id", "event_type", "ts", "event_id")
     return rows.groupBy("user_id", "event_type").transformWithStateInPandas(FirstOfLife(ttl_ms), "user_id long, event_type string, event_id long", "append", "processingTime")
 
 
@@ -148,10 +148,10 @@ def stream_first_of_life(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (stream_closed_sessions, stream_first_of_life)}
 ORACLES = {
     "stream_closed_sessions": """
-        WITH e AS (SELECT user_id, ts, value, coalesce(ts >= lag(ts) OVER own + INTERVAL 30 MINUTE, true) AS new FROM events WINDOW own AS (PARTITION BY user_id ORDER BY ts, event_id)),
+        WITH e AS (SELECT user_id, ts, value, coalesce(ts >= lag(ts) OVER own + INTERVAL 30 MINUTE, true) AS new FROM events WHERE user_id IS NOT NULL WINDOW own AS (PARTITION BY user_id ORDER BY ts, event_id)),
         s AS (SELECT user_id, ts, value, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e),
         closed AS (SELECT user_id, min(ts) AS began, count(*) AS n, round(sum(coalesce(value, 0)), 6) AS value FROM s GROUP BY user_id, k
-            HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events))
+            HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events WHERE user_id IS NOT NULL))
         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY began) AS nth, row_number() OVER (PARTITION BY user_id, began::DATE ORDER BY began) AS nth_of_day FROM closed""",
-    "stream_first_of_life": "SELECT user_id, event_type, min_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL",
+    "stream_first_of_life": "SELECT user_id, event_type, min_by(event_id, (ts, event_id)) AS event_id FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL",
 }
