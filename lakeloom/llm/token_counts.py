@@ -135,7 +135,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, pattern: str |
                 for doc_id, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist()):
                     words = cut(text) if text else []
                     distinct = set(words)
-                    own = {w: counts[w] for w in distinct.intersection(counts)}
+                    own = {w: counts[w] for w in distinct if w in counts}
                     for w in distinct.difference(own):
                         own[w] = trie.tokens(w.encode())
                         if len(w) <= MAX_INSERTED:
