@@ -12,7 +12,7 @@ from lakeloom.operators.vectors import nearest_vectors
 from lakeloom.sources.tables import table
 
 #: A frequent value has over this share of all rows.
-HEAVY_SHARE = 0.002
+HEAVY_SHARE = 0.008
 
 
 def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +49,8 @@ def distinct_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frequent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users and event types with over a five-hundredth of all events of three types, and whether the estimate keeps its bound."""
-    events = table(spark, sf_dir, "events").withColumn("pair", F.concat_ws(":", "event_type", "user_id"))
+    """Event types and hours of the day that hold over 0.8 percent of all events, and whether the estimate keeps its bound."""
+    events = table(spark, sf_dir, "events").withColumn("pair", F.concat_ws(":", "event_type", F.hour("ts")))
     found = heavy_hitters(events, "pair", HEAVY_SHARE)
     return found.select(F.col("value").alias("pair"), "n", F.expr("estimate >= n").alias("not_below"))
 
@@ -69,5 +69,5 @@ ORACLES = {
         SELECT l_returnflag, l_linestatus, grouping_id(l_returnflag, l_linestatus)::BIGINT AS level, count(DISTINCT l_partkey) AS n_distinct
         FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), (l_linestatus), ())""",
     "frequent_pairs": f"""
-        SELECT concat_ws(':', event_type, user_id) AS pair, count(*) AS n, true AS not_below FROM events GROUP BY ALL HAVING count(*) > {HEAVY_SHARE} * (SELECT count(*) FROM events)""",
+        SELECT concat_ws(':', event_type, hour(ts)) AS pair, count(*) AS n, true AS not_below FROM events GROUP BY ALL HAVING count(*) > {HEAVY_SHARE} * (SELECT count(*) FROM events)""",
 }
