@@ -10,7 +10,7 @@ from lakeloom.sources.tables import table
 
 
 @F.udf(StringType())
-def initials(name: str | None) -> str | None:
+def initials(name):
     """A plain Python function, a row at a time: the first character of each word."""
     return None if name is None else "".join(word[0] for word in name.split())
 
