@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,76 +13,97 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from lakeloom.streaming.events import drained, events_stream
 
 GAP_MS = 30 * 60 * 1000
+#: Open sessions in a row of state.
+PACK = 1024
+DAY_US = 24 * 3600 * 1_000_000
 #: Milliseconds after which a key that no row touched is forgotten.
 FORGOTTEN_MS = 24 * 3600 * 1000
-SESSIONS = "user_id long, began timestamp, n long, value double, nth long, nth_of_day long"
+#: ``us``: the session's begin in microseconds, made a timestamp by the plan, for all rows at once.
+SESSIONS = "user_id long, us long, n long, value double, nth long, nth_of_day long"
 
 
 class ClosingSessions(StatefulProcessor):
     """Sessions of a user that end half an hour after their last event, closed by timers of event time.
 
     State of a user: a list of the open sessions (first and last event in microseconds,
-    events, sum of values), which are disjoint; a value, the number of closed ones; a
+    events, sum of values), which are disjoint, ``PACK`` of them in a row of columns, since
+    each row of state costs a conversion on both sides; a value, the number of closed ones; a
     map from day to the number closed that began on it, of the last day alone.  So it is
     bounded by the sessions that the watermark leaves open.  Rows may come in any order:
     an event joins the sessions it falls within half an hour of, two of them become one.
 
+    A user has one timer, of the first open session: it closes all that the watermark has
+    passed, so state is read and written once a user and batch, not once a session.
+
     A batch's events of one user are held at once: bound batches by ``maxFilesPerTrigger``.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "began long, ended long, n long, value double")
+        self.open = handle.getListState("open", "began array<long>, ended array<long>, n array<long>, value array<double>")
         self.closed = handle.getValueState("closed", "n long")
         self.days = handle.getMapState("days", "day long", "n long")
 
-    def _timer(self, ended: int) -> int:
-        # Timers count whole milliseconds: the first at or after the end.
-        return -(-ended // 1000) + GAP_MS
+    def _opened(self) -> list[tuple]:
+        return [s for pack in self.open.get() for s in zip(*pack)]
+
+    def _open(self, sessions: list) -> None:
+        self.open.put([tuple(map(list, zip(*sessions[i : i + PACK]))) for i in range(0, len(sessions), PACK)])
+
+    def _over(self, session: tuple) -> int:
+        """The watermark at which it is closed, in whole milliseconds: the first at or after its end."""
+        return -(-session[1] // 1000) + GAP_MS
+
+    def _timer(self, session: tuple) -> int:
+        # Spark's timers expire when the watermark is beyond them.
+        return self._over(session) - 1
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = [tuple(s) for s in self.open.get()] if self.open.exists() else []
-        events = pd.concat(list(rows))
-        at = events["us"].tolist()
-        pieces = sorted(before + [(t, t, 1, v if v == v and v is not None else 0.0) for t, v in zip(at, events["value"].tolist())])
+        before = self._opened()
+        pieces = list(before)
+        for events in rows:
+            pieces += [(t, t, 1, v if v == v and v is not None else 0.0) for t, v in zip(events["us"].tolist(), events["value"].tolist())]
         merged: list[list] = []
-        for began, ended, n, value in pieces:
+        for began, ended, n, value in sorted(pieces):
             if merged and began < merged[-1][1] + GAP_MS * 1000:
                 last = merged[-1]
                 last[1], last[2], last[3] = max(last[1], ended), last[2] + n, last[3] + value
             else:
                 merged.append([began, ended, n, value])
-        self.open.put([tuple(s) for s in merged])
-        was, now = {self._timer(s[1]) for s in before}, {self._timer(s[1]) for s in merged}
-        for t in was - now:
-            self.handle.deleteTimer(t)
-        for t in now - was:
-            self.handle.registerTimer(t)
+        self._open(merged)
+        was, now = self._timer(before[0]) if before else None, self._timer(merged[0])
+        if was != now:
+            if before:
+                self.handle.deleteTimer(was)
+            self.handle.registerTimer(now)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        expired = expiredTimerInfo.getExpiryTimeInMs()
-        sessions = [tuple(s) for s in self.open.get()] if self.open.exists() else []
-        done = [s for s in sessions if self._timer(s[1]) <= expired]
+        mark = timerValues.getCurrentWatermarkInMs()
+        sessions = self._opened()
+        done = [s for s in sessions if self._over(s) <= mark]
         stay = sessions[len(done) :]  # sessions are in order of time
+        if not done:
+            return
         if stay:
-            self.open.put(stay)
+            self._open(stay)
+            self.handle.registerTimer(self._timer(stay[0]))
         else:
             self.open.clear()
-        nth = self.closed.get()[0] if self.closed.exists() else 0
-        out = []
-        for began, _, n, value in done:
-            day, nth = began // 86_400_000_000, nth + 1
-            of_day = (self.days.getValue((day,))[0] if self.days.containsKey((day,)) else 0) + 1
-            for (old,) in list(self.days.keys()):
-                if old != day:
-                    self.days.removeKey((old,))
-            self.days.updateValue((day,), (of_day,))
-            out.append((key[0], datetime.fromtimestamp(began / 1_000_000, timezone.utc), n, value, nth, of_day))
-        if out:
-            self.closed.update((nth,))
-            frame = pd.DataFrame(out, columns=["user_id", "began", "n", "value", "nth", "nth_of_day"])
-            yield frame.assign(began=pd.to_datetime(frame["began"], utc=True))
+        (nth,) = self.closed.get() or (0,)
+        (last,), (of_day,) = next(iter(self.days.iterator()), ((None,), (0,)))
+        day, places = last, []
+        began, _, n, value = map(list, zip(*done))
+        for at in began:
+            if at // DAY_US != day:
+                day, of_day = at // DAY_US, 0
+            of_day += 1
+            places.append(of_day)
+        if last is not None and last != day:
+            self.days.removeKey((last,))
+        self.days.updateValue((day,), (of_day,))
+        self.closed.update((nth + len(done),))
+        yield pd.DataFrame({"user_id": key[0], "us": began, "n": n, "value": value, "nth": range(nth + 1, nth + len(done) + 1), "nth_of_day": places})
 
     def close(self) -> None:
         pass
@@ -124,7 +144,8 @@ def state_on_disk(spark: SparkSession) -> Iterator[None]:
 def closed_sessions(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """The sessions that the watermark (``delay`` behind the latest event) has passed; ``events``: a stream with user_id, ts, value."""
     rows = events.where("user_id IS NOT NULL AND ts IS NOT NULL").select("user_id", "ts", F.unix_micros("ts").alias("us"), "value").withWatermark("ts", delay)
-    return rows.groupBy("user_id").transformWithStateInPandas(ClosingSessions(), SESSIONS, "append", "eventTime")
+    closed = rows.groupBy("user_id").transformWithStateInPandas(ClosingSessions(), SESSIONS, "append", "eventTime")
+    return closed.select("user_id", F.timestamp_micros("us").alias("began"), "n", "value", "nth", "nth_of_day")
 
 
 def first_of_life(events: DataFrame, ttl_ms: int = FORGOTTEN_MS) -> DataFrame:

@@ -76,6 +76,21 @@ def test_sessions_with_late_and_disordered_rows(spark):
     assert len(state("open")) <= 3
 
 
+def test_one_timer_a_user(spark, monkeypatch):
+    """Sessions of a user that the watermark passes together are closed in one call, the last one where the watermark meets its end."""
+    rows = [(i, 60.0 * i, 1, "view", 1.0) for i in range(40)] + [(90, 60.0 * 39 + 40, 2, "view", 1.0)]
+    folder = tempfile.mkdtemp(prefix="calls-")
+
+    class Counted(timers.ClosingSessions):
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            for frame in super().handleExpiredTimer(key, timerValues, expiredTimerInfo):
+                yield frame.assign(value=float(len(frame)))
+
+    monkeypatch.setattr(timers, "ClosingSessions", Counted)
+    got = run(spark, [rows], timers.closed_sessions, folder, availableNow=True).collect()
+    assert sorted((r["user_id"], r["nth"], r["nth_of_day"], r["value"]) for r in got) == [(1, i + 1, i % 24 + 1, 40.0) for i in range(40)]
+
+
 def test_state_ends(spark):
     rows = [[(1, 5.0, 1, "view", 1.0), (2, 4.0, 1, "view", 1.0), (3, 1.0, 2, "buy", None)], [(4, 6.0, 1, "view", 1.0), (5, 6.0, 3, "view", 1.0)]]
     folder = tempfile.mkdtemp(prefix="ends-")
