@@ -12,7 +12,8 @@ that a third of the rows share is cut as well.  Strips make a grid:
   that strip.
 
 ``matching_rows`` counts the matches of each left row in n log n steps without making
-a pair; ``inequality_pairs`` returns the pairs.
+a pair, ``matching_sums`` counts and sums them by a column of the left rows in as many;
+``inequality_pairs`` returns the pairs.
 """
 
 from __future__ import annotations
@@ -34,10 +35,11 @@ PAIR_STRIP_ROWS = 256
 PAIR_BLOCK = 4096
 
 
-def _stacked(left: DataFrame, right: DataFrame, x: str, y: str, keep_left: str, keep_right: str) -> DataFrame:
-    """id, x, y, is_right; rows with a null in x or y match nothing and are left out."""
-    side = lambda df, key, flag: df.select(F.col(key).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"), F.lit(flag).alias("is_right"))
-    return side(left, keep_left, False).unionByName(side(right, keep_right, True)).where("x IS NOT NULL AND y IS NOT NULL")
+def _stacked(left: DataFrame, right: DataFrame, x: str, y: str, keep_left: str, keep_right: str, of_left: tuple[Column, ...] = (), of_right: tuple[Column, ...] = ()) -> DataFrame:
+    """id, x, y, is_right and further columns of a side; rows with a null in x or y match nothing and are left out."""
+    side = lambda df, key, flag, more: df.select(F.col(key).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"), F.lit(flag).alias("is_right"), *more)
+    rows = side(left, keep_left, False, of_left).unionByName(side(right, keep_right, True, of_right), allowMissingColumns=True)
+    return rows.where("x IS NOT NULL AND y IS NOT NULL")
 
 
 def _strips(rows: DataFrame, n: int) -> DataFrame:
@@ -51,8 +53,8 @@ def _strips(rows: DataFrame, n: int) -> DataFrame:
     return rows
 
 
-def _dominated(first: np.ndarray, second: np.ndarray, is_right: np.ndarray) -> np.ndarray:
-    """For each left row the number of right rows behind it in ``first`` and before it in ``second``.
+def _dominated(first: np.ndarray, second: np.ndarray, is_right: np.ndarray, weight: np.ndarray | int = 1) -> np.ndarray:
+    """For each left row the number (or sum of weights) of right rows behind it in ``first`` and before it in ``second``.
 
     Ranks in ``second`` are split bit by bit: rows that agree in the higher bits form a group
     in order of ``first``, and a left row with the bit set counts the right rows
@@ -62,24 +64,25 @@ def _dominated(first: np.ndarray, second: np.ndarray, is_right: np.ndarray) -> n
     order = np.argsort(first, kind="stable")
     rank = np.empty(n, np.int64)
     rank[np.argsort(second, kind="stable")] = np.arange(n)
-    rank, right = rank[order], is_right[order]
+    rank, right = rank[order], np.where(is_right, weight, 0)[order]
+    left = ~is_right[order]
     found, place = np.zeros(n, np.int64), np.arange(n)
     for bit in range(max(n - 1, 0).bit_length() - 1, -1, -1):
         group = rank >> (bit + 1)
         zero = (rank >> bit) & 1 == 0
-        upto = np.cumsum(right & zero)
+        upto = np.cumsum(right * zero)
         end = np.searchsorted(group, group, "right") - 1
-        asks = ~right & ~zero
+        asks = left & ~zero
         found[place[asks]] += (upto[end] - upto)[asks]
         step = np.argsort(rank >> bit, kind="stable")  # keeps the order of ``first`` within the new groups
-        rank, right, place = rank[step], right[step], place[step]
+        rank, right, left, place = rank[step], right[step], left[step], place[step]
     out = np.empty(n, np.int64)
     out[order] = found
     return out
 
 
-def _inside(rows: DataFrame, by: str, other: str, n: int) -> DataFrame:
-    """id, n: matches of left rows among the right rows of their own strip ``by``.
+def _inside(rows: DataFrame, by: str, key: str, sums: list[str]) -> DataFrame:
+    """``key`` and ``sums`` (``n`` first): matches of left rows among the right rows of their own strip ``by``.
 
     In a strip of x all pairs count, in a strip of y those of different strips of x: the
     others were counted there.
@@ -89,15 +92,40 @@ def _inside(rows: DataFrame, by: str, other: str, n: int) -> DataFrame:
         right = strip["is_right"].to_numpy()
         xs, ys, x, y = (strip[c].to_numpy() for c in ("xs", "ys", "xi", "yi"))
         if by == "xs":
-            got = _dominated(x, np.argsort(np.argsort(ys * (np.int64(1) << 33) + y, kind="stable"), kind="stable"), right)
+            first, second = x, np.argsort(np.argsort(ys * (np.int64(1) << 33) + y, kind="stable"), kind="stable")
         else:
             # Behind it in strips of x: inside a strip left rows are put behind right ones, so none of it counts.
-            got = _dominated(xs.astype(np.int64) * 2 + ~right, y, right)
-        keep = ~right & (got > 0)
-        return pa.table({"id": strip["id"].filter(pa.array(keep)), "n": got[keep]})
-
-    kind = dict(rows.dtypes)["id"]
-    return rows.select("id", "is_right", "xs", "ys", "xi", "yi").groupBy(by).applyInArrow(count, f"id {kind}, n long")
+            first, second = xs.astype(np.int64) * 2 + ~right, y
+        got = [_dominated(first, second, right, strip[c].to_numpy()) for c in sums]
+        keep = ~right & (got[0] > 0)
+        return pa.table({key: strip[key].filter(pa.array(keep)), **{c: g[keep] for c, g in zip(sums, got)}})
+
+    longs = "".join(f", {c} long" for c in sums)
+    return rows.select(key, "is_right", "xs", "ys", "xi", "yi", *sums).groupBy(by).applyInArrow(count, f"{key} {dict(rows.dtypes)[key]}{longs}")
+
+
+def _matched(rows: DataFrame, key: str, sums: list[str]) -> DataFrame:
+    """``key`` and ``sums`` of left rows, in several rows: of the right rows' columns ``sums``, long without nulls, over their matches; ``n`` is first and 1."""
+    spark = rows.sparkSession
+    strips = max(1, min(MOST_STRIPS, -(-rows.count() // STRIP_ROWS)))
+    rows = _strips(rows, strips)
+    cells = np.zeros((len(sums), strips + 1, strips + 1), np.int64)
+    for r in rows.where("is_right").groupBy("xs", "ys").agg(*[F.sum(c).alias(c) for c in sums]).collect():  # MOST_STRIPS squared at most
+        cells[:, r["xs"], r["ys"]] = [r[c] for c in sums]
+    # Right rows in later strips of x and earlier strips of y.
+    later = np.cumsum(cells[:, ::-1], axis=1)[:, ::-1]
+    whole = np.zeros((len(sums), strips, strips), np.int64)
+    whole[:, :, 1:] = np.cumsum(later[:, 1:, : strips - 1], axis=2)[:, :strips]
+    sent = spark.sparkContext.broadcast(whole)
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = sent.value[:, batch.column(1).to_numpy(), batch.column(2).to_numpy()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found)], [key, *sums])
+
+    longs = "".join(f", {c} long" for c in sums)
+    outside = rows.where("NOT is_right").select(key, "xs", "ys").mapInArrow(looked_up, f"{key} {dict(rows.dtypes)[key]}{longs}")
+    return outside.unionByName(_inside(rows, "xs", key, sums)).unionByName(_inside(rows, "ys", key, sums))
 
 
 def matching_rows(left: DataFrame, right: DataFrame, x: str, y: str, left_key: str, right_key: str) -> DataFrame:
@@ -106,29 +134,28 @@ def matching_rows(left: DataFrame, right: DataFrame, x: str, y: str, left_key: s
     Keys are distinct on either side.  Left rows without x, y or matches have n = 0.
     """
     with Scratch(left.sparkSession):
-        rows = _stacked(left, right, x, y, left_key, right_key)
-        strips = max(1, min(MOST_STRIPS, -(-rows.count() // STRIP_ROWS)))
-        rows = _strips(rows, strips)
-        cells = np.zeros((strips + 1, strips + 1), np.int64)
-        for r in rows.where("is_right").groupBy("xs", "ys").count().collect():  # MOST_STRIPS squared at most
-            cells[r["xs"], r["ys"]] = r["count"]
-        # Right rows in later strips of x and earlier strips of y.
-        later = np.cumsum(cells[::-1], axis=0)[::-1]
-        whole = np.zeros((strips, strips), np.int64)
-        whole[:, 1:] = np.cumsum(later[1:, : strips - 1], axis=1)[:strips]
-        sent = left.sparkSession.sparkContext.broadcast(whole)
-
-        def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sent.value[batch.column(1).to_numpy(), batch.column(2).to_numpy()])], ["id", "n"])
-
-        kind = dict(rows.dtypes)["id"]
-        outside = rows.where("NOT is_right").select("id", "xs", "ys").mapInArrow(looked_up, f"id {kind}, n long")
-        parts = outside.unionByName(_inside(rows, "xs", "ys", strips)).unionByName(_inside(rows, "ys", "xs", strips))
+        parts = _matched(_stacked(left, right, x, y, left_key, right_key).withColumn("n", F.lit(1).cast("long")), "id", ["n"])
         parts = parts.unionByName(left.where(F.col(x).isNull() | F.col(y).isNull()).select(F.col(left_key).alias("id"), F.lit(0).cast("long").alias("n")))
         return materialise(parts.groupBy("id").agg(F.sum("n").alias("n")), "matching", keep=True)
 
 
+def matching_sums(left: DataFrame, right: DataFrame, x: str, y: str, left_key: str, right_key: str, by: str, value: str) -> DataFrame:
+    """Of each value of the left rows' ``by`` (``by``) the pairs with ``left.x < right.x AND left.y > right.y`` (``n``) and the sum of their right rows' ``value``, an integer without nulls (``total``).
+
+    Values without pairs have no row.  Keys are distinct on either side, or nearly so: they cut runs of equal x or y.
+    """
+    with Scratch(left.sparkSession):
+        held = F.col(value).cast("long")
+        # Halves of the value: their sums over right rows stay within 64 bits whatever the values are.
+        halves = (F.shiftright(held, 32).alias("high"), held.bitwiseAND((1 << 32) - 1).alias("low"))
+        rows = _stacked(left, right, x, y, left_key, right_key, (F.col(by).alias("by"),), halves)
+        rows = rows.withColumn("n", F.lit(1).cast("long")).fillna(0, ["high", "low"])
+        sums = ["n", "high", "low"]
+        found = _matched(rows, "by", sums).groupBy("by").agg(*[F.sum(F.col(c).cast("decimal(20, 0)")).alias(c) for c in sums]).where("n > 0")
+        found = found.select("by", F.col("n").cast("long").alias("n"), F.expr("cast(high * 4294967296BD + low as bigint)").alias("total"))
+        return materialise(found, "matching-sums", keep=True)
+
+
 def _nodes(at: str, bits: int) -> Column:
     """All dyadic blocks that hold a strip: level * 2**20 + number."""
     return F.array(*[F.lit(level << 20) + F.shiftright(F.col(at), level) for level in range(bits)])

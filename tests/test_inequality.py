@@ -35,6 +35,26 @@ def test_counts_and_pairs(spark, monkeypatch, strip):
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
+@pytest.mark.parametrize("strip", [3, 40, 100000])
+def test_sums_by_a_column_without_pairs(spark, monkeypatch, strip):
+    from lakeloom.plans import advanced
+
+    assert not hasattr(advanced, "inequality_pairs")  # no query sums over made pairs
+    monkeypatch.setattr(inequality, "STRIP_ROWS", strip)
+    left, right = sides(strip + 1)
+    wide = lambda k: (-1) ** k * (k + 2**52)
+    a = spark.createDataFrame([(*r, None if r[0] % 5 == 4 else r[0] % 5) for r in left], "k long, x double, y double, kind int")
+    b = spark.createDataFrame([(*r, wide(r[0])) for r in right], "k long, x double, y double, v long")
+    want = {}
+    for i, j in wanted(left, right):
+        kind = None if i % 5 == 4 else i % 5
+        n, total = want.get(kind, (0, 0))
+        want[kind] = n + 1, total + wide(j)
+    got = inequality.matching_sums(a, b, "x", "y", "k", "k", "kind", "v")
+    assert dict(got.dtypes) == {"by": "int", "n": "bigint", "total": "bigint"}
+    assert {r["by"]: (r["n"], r["total"]) for r in got.collect()} == want
+
+
 def test_strips_are_bounded_at_one_hot_value(spark):
     rows = spark.range(20000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7.0D ELSE cast(id AS double) END AS x", "cast(id % 5 AS double) AS y", "id % 2 = 0 AS is_right")
     placed = inequality._strips(rows, 40)
