@@ -104,6 +104,22 @@ def test_state_ends(spark):
     assert {r["event_id"] for r in again.collect()} == {2, 3, 4, 5}
 
 
+def test_types_of_a_user_are_handled_in_one_call(spark, monkeypatch):
+    rows = [(i, 10.0 - i, i % 2, f"type {i % 3}", None) for i in range(1, 13)] + [(13, None, 0, "untimed", 1.0), (14, 1.0, 0, None, 1.0), (15, 1.0, None, "view", 1.0)]
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counted(timers.FirstOfLife):
+        def handleInputRows(self, key, rows, timerValues):
+            calls.add(1)
+            yield from super().handleInputRows(key, rows, timerValues)
+
+    monkeypatch.setattr(timers, "FirstOfLife", Counted)
+    got = run(spark, [rows], timers.first_of_life, tempfile.mkdtemp(prefix="types-"), once=True).collect()
+    # The latest id is the earliest row.
+    assert {(r["user_id"], r["event_type"], r["event_id"]) for r in got} == {(i % 2, f"type {i % 3}", i) for i in range(7, 13)} | {(0, "untimed", 13)} and len(got) == 7
+    assert calls.value == 2
+
+
 @pytest.mark.parametrize("stream_of", [timers.closed_sessions])
 def test_empty_stream(spark, stream_of):
     assert run(spark, [[]], stream_of, tempfile.mkdtemp(prefix="none-"), availableNow=True).count() == 0
